@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, secrets
+from . import chat, packing, quality, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack": packing.op2_pack,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op6_chat_format": chat.op6_chat_format,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLE: dict[str, str] = {"op6_chat_format": chat.OP6_SQL}
