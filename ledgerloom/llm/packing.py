@@ -180,7 +180,7 @@ def pack(made: DataFrame, groups: int, sequence: int = SEQUENCE) -> DataFrame:
     ``sequence_id`` holds the group in its upper bits and the group's own bin in the lower 32.
     """
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32", "salt"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
         lengths = rows["length"].to_numpy()
         full = int((lengths >= sequence).sum())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, language, packing, quality, secrets, toxicity
+from . import chat, fingerprints, language, packing, quality, secrets, similarity_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": language.op1_language,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_format": chat.op6_chat_format,
     "op7_fingerprint": fingerprints.op7_fingerprint,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_jaccard": similarity_join.op9_jaccard,
     "op10_quality": quality.op10_quality,
 }
 
