@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, language, packing, quality, secrets, similarity_join, toxicity
+from . import chat, decontaminate, fingerprints, language, line_templates, packing, quality, secrets, similarity_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": language.op1_language,
     "op2_pack": packing.op2_pack,
+    "op3_line_dedup": line_templates.op3_line_dedup,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_chat_format": chat.op6_chat_format,
     "op7_fingerprint": fingerprints.op7_fingerprint,
     "op8_toxicity": toxicity.op8_toxicity,
