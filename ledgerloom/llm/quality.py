@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents_only, map_texts, raw_bytes, table
+from .common import documents_only, map_texts, raw_bytes, table, text_slices
 from .sampling import held_out, labelled_sample
 
 FILTERS, WIDTH, SYMBOLS = 12, 5, 3 * 256
@@ -159,6 +159,18 @@ def quality(docs: DataFrame, net: Network) -> DataFrame:
     return map_texts(documents_only(docs), "doc_id long, score double", build, limit=1 << 20)
 
 
+def accepted(docs: DataFrame, net: Network, threshold: float) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text's score reaches the threshold."""
+
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch, limit=1 << 20):
+                keep = net.scores(*raw_bytes(part.column("text").fill_null(""))) >= threshold
+                yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: tuple[int, int] = PER_CLASS) -> Network:
     sample = labelled_sample(docs, labels, label, ~held_out(5, 0), per_class, MAX_BYTES)
     return train([t for t, _ in sample], [y for _, y in sample])

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, documents_only, map_texts, materialize, mix64, raw_bytes, shingle_hashes, table, text_slices, word_hashes, word_spans
@@ -337,5 +337,21 @@ def _possible(n_a: str, pos_a: str, n_b: str, pos_b: str, num: int, den: int) ->
     return (den * F.least(a, b) >= num * F.greatest(a, b)) & (F.least(a - F.col(pos_a), b - F.col(pos_b)) >= need)
 
 
+def one_per_component(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, all columns, without near duplicates: of each component the document with the
+    smallest doc_id stays, and of several rows with that id the one whose text sorts first. Texts without
+    a word are linked with nothing and stay, as do rows with a null doc_id."""
+    found = jaccard_components(docs, width, num, den).where("doc_id is not null and n_shingles > 0")
+    seen = materialize(found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id")), "components")
+    gone = seen.where("component_id != doc_id").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = seen.where("component_id = doc_id and rows > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    first = Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("text"))
+    some = kept.join(again, "doc_id", "left_semi").select(docs.columns).withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(some)
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
