@@ -1,0 +1,66 @@
+"""Reproducible synthetic batches with controlled defects. Every value is a function of (seed, salt, id)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.expressions import normal, uniform, weighted_choice
+from .schema import MONEY, RAW
+
+#: Shares of types and states, log-normal parameters of amounts by type, defect rates.
+TYPE_SHARES = {"COMPRA": 0.45, "TRANSFERENCIA": 0.20, "RETIRO": 0.15, "DEPOSITO": 0.10, "PAGO_SERVICIO": 0.10}
+STATE_SHARES = {"COMPLETADA": 0.90, "PENDIENTE": 0.05, "FALLIDA": 0.04, "REVERTIDA": 0.01}
+AMOUNTS = {"COMPRA": (4.2, 0.9), "DEPOSITO": (5.6, 0.8), "RETIRO": (4.9, 0.6), "TRANSFERENCIA": (5.2, 1.0), "PAGO_SERVICIO": (4.5, 0.7)}
+DEFECTS = {"monto_nulo": 0.005, "usuario_nulo": 0.002, "tipo_nulo": 0.003, "fecha_nula": 0.001, "monto_negativo": 0.001, "tipo_sucio": 0.02, "estado_nulo": 0.01, "reenvio": 0.001}
+YEAR_START, YEAR_SECONDS = 1735689600, 365 * 86400
+USER_SIGMA, LARGEST_CENTS = 0.6, 500_000_000
+
+
+def generate(spark: SparkSession, rows: int, users: int, seed: int = 42) -> DataFrame:
+    """Clean transactions; ids grow with time (instants are stratified, so no global sort is needed).
+
+    Users are drawn by log-normal activity: a user and a bar are drawn, and where the bar is above the
+    user's activity, his neighbour in a fixed ring takes the row instead. No table of users is built.
+    """
+    i = F.col("id")
+    draw = F.floor(uniform(seed, "user", i) * users).cast("long")
+    activity = F.exp(USER_SIGMA * normal(seed, "activity", draw))
+    other = F.pmod(draw * 7919 + F.floor(uniform(seed, "other", i) * 3).cast("long"), F.lit(users))
+    kind = weighted_choice(uniform(seed, "type", i), TYPE_SHARES)
+    base = spark.range(1, rows + 1).select(
+        i,
+        F.timestamp_micros((F.lit(YEAR_START * 1_000_000) + F.lit(YEAR_SECONDS * 1_000_000.0) * ((i - 1 + uniform(seed, "time", i)) / rows)).cast("long")).alias("fecha"),
+        (F.when(uniform(seed, "bar", i) * 3.0 < activity, draw).otherwise(other) + 1).cast("int").alias("usuario_id"),
+        kind.alias("tipo_transaccion"),
+        weighted_choice(uniform(seed, "state", i), STATE_SHARES).alias("estado"),
+    )
+    mu = F.element_at(F.create_map(*(F.lit(x) for k, (m, _) in AMOUNTS.items() for x in (k, m))), F.col("tipo_transaccion"))
+    sigma = F.element_at(F.create_map(*(F.lit(x) for k, (_, s) in AMOUNTS.items() for x in (k, s))), F.col("tipo_transaccion"))
+    cents = F.least(F.greatest(F.rint(F.exp(mu + sigma * normal(seed, "amount", i)) * 100), F.lit(100.0)), F.lit(float(LARGEST_CENTS)))
+    return base.withColumn("monto", (cents.cast("decimal(16,0)") / 100).cast(MONEY)).select(*RAW.names)
+
+
+def inject_defects(clean: DataFrame, seed: int = 42, rates: dict[str, float] = DEFECTS) -> DataFrame:
+    """The batch with independent defects by row, and exactly ``int(n * rate)`` re-sent rows appended.
+
+    Adds ``seq``: 0 for a row, 1 for its re-send; input order is (seq, id).
+    """
+    i = F.col("id")
+    hit = lambda name: uniform(seed, "defect/" + name, i) < rates[name]
+    kind, style = F.col("tipo_transaccion"), F.floor(uniform(seed, "style", i) * 3)
+    dirty = clean.select(
+        i,
+        F.when(~hit("fecha_nula"), F.col("fecha")).alias("fecha"),
+        F.when(~hit("usuario_nulo"), F.col("usuario_id")).alias("usuario_id"),
+        F.when(hit("monto_nulo"), F.lit(None)).when(hit("monto_negativo"), -F.col("monto")).otherwise(F.col("monto")).cast(MONEY).alias("monto"),
+        F.when(hit("tipo_nulo"), F.lit(None))
+        .when(hit("tipo_sucio"), F.when(style == 0, F.lower(kind)).when(style == 1, F.initcap(kind)).otherwise(F.concat(F.lit("  "), kind, F.lit(" "))))
+        .otherwise(kind)
+        .alias("tipo_transaccion"),
+        F.when(~hit("estado_nulo"), F.col("estado")).alias("estado"),
+        F.lit(0).alias("seq"),
+    )
+    number = int(clean.count() * rates["reenvio"])
+    again = dirty.orderBy(uniform(seed, "resend", i), "id").limit(number).withColumn("seq", F.lit(1))
+    return dirty.unionByName(again)
