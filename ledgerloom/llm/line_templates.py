@@ -29,7 +29,7 @@ from .similarity_join import sketch
 
 LEADING, SEGMENTS = 3, 8
 #: Fewest documents with a template, by its lines' tokens: at least so many tokens, so many documents, share of all documents.
-LEAST = ((16, 3, 0.0), (8, 5, 0.0), (0, 10, 1 / 2000))
+LEAST = ((40, 2, 0.0), (16, 3, 0.0), (8, 5, 0.0), (0, 10, 1 / 2000))
 COPY_SHARE, WHOLE_SHARE = 0.4, 0.9
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
 _ANY = mix64(np.array([0x2A], np.uint64))[0]
