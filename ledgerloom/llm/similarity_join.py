@@ -7,10 +7,11 @@
 3. Documents with the same set form a class. Classes with the same prefix and size form a group; groups
    meet in the buckets of their prefix shingles.
 4. In a small bucket all pairs that pass the size and position bounds are candidates. A bucket of over
-   ``SMALL`` groups is worked off by leaders: in each round one member is held against those of other
-   components only; members that have become one component need no pair. What several rounds leave over
+   ``SMALL`` groups is worked off by leaders: in each round some members are held against those of other
+   components only; members that have become one component need no pair. What is left after ``ROUNDS``
    is paired across components exhaustively, so no link between different texts is lost.
-5. Candidate group pairs are expanded to their classes and verified on whole texts with exact set sizes.
+5. Candidate group pairs are expanded to their classes. Parity bitmaps, a few bits a shingle, rule most
+   of the unlike pairs out with certainty; the rest is verified on whole texts.
 
 The result is each document's component, so pairs inside a component that is already connected may go
 untested; there is no cap on partners or candidates.
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, documents_only, map_texts, materialize, mix64, raw_bytes, shingle_hashes, table, text_slices, word_hashes, word_spans
 from .graph import components
 
-SKETCH_BITS, SKETCH_BLOCK = 19, 4096
-SMALL, ROUNDS = 64, 6
+SKETCH_BITS, SKETCH_BLOCK = 21, 16384
+SMALL, LEADERS, ROUNDS = 16, 8, 3
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +90,28 @@ def order_ranks(docs: DataFrame, width: int, bits: int = SKETCH_BITS) -> np.ndar
     return np.floor(4 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
 
 
-DIGESTS = "doc_id long, n int, s1 long, s2 long, prefix_hash long, prefix array<long>"
+DIGESTS = "doc_id long, n int, s1 long, s2 long, prefix_hash long, parity binary, prefix array<long>"
+
+
+def parity_bitmaps(h: np.ndarray, n: np.ndarray) -> pa.Array:
+    """For each set a bitmap of 2 to 4 bits a member: bit i is the parity of the members whose hash ends in i.
+
+    Two sets' bitmaps differ in no more bits than the sets differ in members.
+    """
+    size = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    ends = np.concatenate([[0], np.cumsum(size)])
+    at = (h & np.repeat(size - 1, n).astype(np.uint64)).astype(np.int64) + np.repeat(ends[:-1], n)
+    bits = np.packbits((np.bincount(at, minlength=ends[-1]) & 1).astype(bool), bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends // 8).astype(np.int32)), pa.py_buffer(bits)])
+
+
+def folded(bits: bytes, size: int) -> int:
+    """A parity bitmap as it would be with ``size`` bytes."""
+    value, length = int.from_bytes(bits, "little"), len(bits)
+    while length > size:
+        length //= 2
+        value = (value >> 8 * length) ^ (value & ((1 << 8 * length) - 1))
+    return value
 
 
 def digests(docs: DataFrame, width: int, num: int, den: int, ranks: np.ndarray) -> DataFrame:
@@ -118,8 +140,8 @@ def digests(docs: DataFrame, width: int, num: int, den: int, ranks: np.ndarray)
                 whole[some] += np.add.reduceat(weighted, ends[:-1][some])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(prefix.view(np.int64)))
             return pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int32()), pa.array(sums[0]), pa.array(sums[1]), pa.array(mix64(whole).view(np.int64)), lists],
-                ["doc_id", "n", "s1", "s2", "prefix_hash", "prefix"],
+                [part.column("doc_id"), pa.array(n, pa.int32()), pa.array(sums[0]), pa.array(sums[1]), pa.array(mix64(whole).view(np.int64)), parity_bitmaps(h, n), lists],
+                ["doc_id", "n", "s1", "s2", "prefix_hash", "parity", "prefix"],
             )
 
         return work
@@ -208,6 +230,22 @@ def _bucket_batch(rows: np.ndarray, large, num: int, den: int, small: int) -> It
         yield from _emit(zero, zero, pairs[0], pairs[1], zero, zero)
 
 
+def possible_pairs(pairs: DataFrame, made: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) whose parity bitmaps do not rule the threshold out; far fewer than all, and none that reach it is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for nu, pu, nv, pv in zip(*(batch.column(c).to_pylist() for c in ("n_u", "parity_u", "n_v", "parity_v")), strict=True):
+                size = min(len(pu), len(pv))
+                differ = (folded(pu, size) ^ folded(pv, size)).bit_count()
+                keep.append(differ <= nu + nv - 2 * needed(nu, nv, num, den))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda k: made.where("n > 0").select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("parity").alias(f"parity_{k}"))
+    return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(run, "u long, v long").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (u, v) of vertices whose texts' sets reach the threshold. ``texts``: vid, text."""
 
@@ -255,9 +293,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     docs = documents_only(docs)
     made = materialize(digests(docs, width, num, den, order_ranks(docs, width)), "digests")
     classes = materialize(_classes(made), "classes")
-    links = _links(docs, made, classes, width, num, den, small, rounds)
-    roots = components(links)
-    named = classes.join(roots.select(F.col("v").alias("vid"), "root"), "vid", "left").select("n", "s1", "s2", F.when(F.col("named"), F.coalesce("root", "vid")).alias("component_id"))
+    roots = _roots(docs, made, classes, width, num, den, small, rounds).select(F.col("u").alias("vid"), F.col("v").alias("root"))
+    named = classes.join(roots, "vid", "left").select("n", "s1", "s2", F.when(F.col("named"), F.coalesce("root", "vid")).alias("component_id"))
     some = made.where("n > 0").select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
     none = made.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return some.select("doc_id", "n", "component_id").unionByName(none).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
@@ -271,7 +308,7 @@ def _classes(made: DataFrame) -> DataFrame:
     return c.join(g, ["n", "prefix_hash"]).select("n", "s1", "s2", "vid", "named", "gid", "grouped")
 
 
-def _links(docs: DataFrame, made: DataFrame, classes: DataFrame, width: int, num: int, den: int, small: int, rounds: int) -> DataFrame:
+def _roots(docs: DataFrame, made: DataFrame, classes: DataFrame, width: int, num: int, den: int, small: int, rounds: int) -> DataFrame:
     # one row of each group stands for it
     first = classes.where(F.col("vid") == F.col("gid")).select("n", "s1", "s2", F.col("gid").alias("g"))
     heads = made.where("n > 0").groupBy("n", "s1", "s2").agg(F.min_by("prefix", "doc_id").alias("prefix")).join(first, ["n", "s1", "s2"])
@@ -289,47 +326,62 @@ def _links(docs: DataFrame, made: DataFrame, classes: DataFrame, width: int, num
 
     pairs = expanded(buckets.where("kind = 0").select("g", "h")).unionByName(inside.where("kind = 0").select(F.col("g").alias("u"), F.col("h").alias("v")))
     large = buckets.where("kind = 1").select("token", "g", "n", "pos").join(expand.withColumnRenamed("h0", "g"), "g", "left").select("token", F.coalesce("w", "g").alias("g"), "n", "pos").unionByName(inside.where("kind = 1").select("token", "g", "n", "pos"))
-    large = materialize(large, "large")
-    pairs = materialize(_ordered(pairs), "pairs")
-    wanted = materialize(pairs.select(F.explode(F.array("u", "v")).alias("vid")).unionByName(large.select(F.col("g").alias("vid"))).distinct(), "wanted")
-    texts = materialize(_candidate_texts(docs, wanted).dropDuplicates(["vid", "text"]), "texts")
-    links = materialize(verified(pairs, texts, width, num, den), "links")
-    if large.isEmpty():
-        return links
-    return _lead(large, links, texts, width, num, den, rounds)
-
+    large = materialize(large.withColumn("rank", F.xxhash64("g", F.lit(5))), "large")
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.where(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    def linked(found: DataFrame) -> DataFrame:
+        some = materialize(possible_pairs(_ordered(found), made, num, den), "pairs")
+        wanted = some.select(F.explode(F.array("u", "v")).alias("vid")).distinct()
+        texts = _candidate_texts(docs, wanted).dropDuplicates(["vid", "text"])
+        return verified(some, texts, width, num, den)
 
-
-def _lead(large: DataFrame, links: DataFrame, texts: DataFrame, width: int, num: int, den: int, rounds: int) -> DataFrame:
-    """Works off the large buckets. Members take turns as leaders in one global order (by hash of the id)."""
-    rank = F.xxhash64("g", F.lit(5))
-    open_rows = large.withColumn("rank", rank)
-    forest = links
-    for turn in range(rounds + 1):
-        roots = components(forest)
-        forest = roots.select(F.col("v").alias("u"), F.col("root").alias("v"))
-        now = open_rows.join(roots.select(F.col("v").alias("g"), "root"), "g", "left").withColumn("root", F.coalesce("root", "g"))
-        split = now.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("g", "n", "pos", "root"), "rank").alias("lead"), F.min("rank").alias("lead_rank")).where("low < high")
-        now = materialize(now.join(split.select("token", "lead", "lead_rank"), "token"), "open")
+    if large.isEmpty():
+        return _forest(linked(pairs))
+    # every large bucket's first leaders meet its members at once
+    met, large = _met_leaders(large.withColumn("root", F.col("g")), LEADERS, num, den)
+    forest = _forest(linked(pairs.unionByName(met)))
+    for turn in range(1, rounds + 1):
+        now = large.join(forest.select(F.col("u").alias("g"), F.col("v").alias("root")), "g", "left").withColumn("root", F.coalesce("root", "g"))
+        split = now.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+        now = materialize(now.join(split, "token"), "open")
         if now.isEmpty():
             break
-        if turn < rounds:
-            pairs = now.where(F.col("root") != F.col("lead.root")).select(F.col("lead.g").alias("u"), F.col("g").alias("v"), _possible("lead.n", "lead.pos", "n", "pos", num, den).alias("ok"))
-            # the leader has met all other components of its bucket, so it leaves
-            open_rows = now.where(F.col("rank") > F.col("lead_rank")).select("token", "g", "n", "pos", "rank")
-        else:
-            a = now.select("token", *(F.col(c).alias(f"{c}_a") for c in ("g", "n", "pos", "root")))
-            b = now.select("token", *(F.col(c).alias(f"{c}_b") for c in ("g", "n", "pos", "root")))
-            met = a.join(b, (a["token"] == b["token"]) & (F.col("g_a") < F.col("g_b")) & (F.col("root_a") != F.col("root_b")) & _possible("n_a", "pos_a", "n_b", "pos_b", num, den))
-            pairs = met.select(F.col("g_a").alias("u"), F.col("g_b").alias("v"), F.lit(True).alias("ok"))
-        new = materialize(verified(_ordered(pairs.where("ok")), texts, width, num, den), "links")
-        forest = forest.unionByName(new)
+        met, large = _met_leaders(now, LEADERS << turn if turn < rounds else None, num, den)
+        forest = _forest(forest.unionByName(linked(met)))
     return forest
 
 
+def _forest(links: DataFrame) -> DataFrame:
+    """Edges (u, v) from each linked vertex to its component's smallest."""
+    return components(links).select(F.col("v").alias("u"), F.col("root").alias("v"))
+
+
+def _met_leaders(rows: DataFrame, leaders: int | None, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v) of each bucket's next leaders with members of other components, and the members left.
+
+    Leaders are the members whose ``rank`` (a hash of the id, so buckets share their leaders) is in the
+    lowest part of its range, about ``leaders`` in a bucket; with None all members are leaders. A leader has
+    then met every other component of its bucket, so it leaves.
+    """
+    span = float(1 << 64)
+    size = rows.groupBy("token").agg(F.count("*").alias("size"), F.min("rank").alias("least"))
+    if leaders is None:
+        bound = F.lit((1 << 63) - 1)
+    else:
+        # the ranks left in a bucket are spread evenly from the least one up
+        room = (F.lit(float(1 << 63)) - F.col("least").cast("double")) * F.least(F.lit(1.0), F.lit(float(leaders)) / F.col("size"))
+        bound = F.greatest(F.col("least"), F.least(F.lit(span / 2 - 2048.0), F.col("least").cast("double") + room).cast("long"))
+    limits = size.select("token", bound.alias("bound"))
+    marked = rows.join(limits, "token")
+    lead = marked.where("rank <= bound").select("token", *(F.col(c).alias(f"{c}_a") for c in ("g", "n", "pos", "root", "rank")))
+    fits = (F.col("root_a") != F.col("root")) & (F.col("rank") > F.col("rank_a")) & _possible("n_a", "pos_a", "n", "pos", num, den)
+    pairs = lead.join(rows, "token").where(fits).select(F.col("g_a").alias("u"), F.col("g").alias("v"))
+    return pairs, marked.where("rank > bound").select("token", "g", "n", "pos", "rank")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def _possible(n_a: str, pos_a: str, n_b: str, pos_b: str, num: int, den: int) -> Column:
     """The size and position bounds, as in the small buckets."""
     a, b = F.col(n_a), F.col(n_b)
