@@ -35,7 +35,8 @@ SENSITIVE = {
     "credential": 0.9, "credentials": 0.9, "private": 0.8, "auth": 0.7, "access": 0.6, "key": 0.5, "bearer": 0.9, "signature": 0.6, "salt": 0.5, "cookie": 0.5, "session": 0.4,
 }
 THRESHOLD = 1.0
-MIN_LITERAL = 8
+#: Shortest literal, and shortest of letters alone.
+MIN_LITERAL, MIN_WORD = 8, 16
 
 TOKEN = re.compile(
     r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
@@ -93,7 +94,7 @@ def _read_line(text: str, start: int, end: int, constants: dict, found: set) ->
             constants[target] = list(values)
             weight = sensitivity(target)
             for value, a, b in values if weight else ():
-                if len(value) >= MIN_LITERAL and not value.isalpha() and weight + randomness(value) - 0.5 >= THRESHOLD:
+                if len(value) >= (MIN_WORD if value.isalpha() else MIN_LITERAL) and weight + randomness(value) - 0.5 >= THRESHOLD:
                     found.add((a, b))
 
     for m in TOKEN.finditer(text, start, end):
