@@ -28,6 +28,8 @@ LAGS, GAP = range(2, 33), 40
 #: The training sample's bound: documents of each class, and bytes of a document.
 PER_CLASS, MAX_BYTES = (2000, 2000), 8000
 EPOCHS, BATCH, RATE = 6, 32, 0.01
+#: Small samples are gone through more often, so that there are at least so many updates.
+LEAST_UPDATES = 400
 
 
 def symbols(data: np.ndarray) -> np.ndarray:
@@ -117,9 +119,10 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Network:
     parts = [net.table, net.bias, net.head, net.shift]
     first, second = [np.zeros_like(p, dtype=np.float32) for p in parts], [np.zeros_like(p, dtype=np.float32) for p in parts]
     step = 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_UPDATES * BATCH // len(raw)))
+    for epoch in range(epochs):
         order = rng.permutation(len(raw))
-        rate = RATE * (1 - 0.9 * epoch / EPOCHS)
+        rate = RATE * (1 - 0.9 * epoch / epochs)
         for a in range(0, len(order), BATCH):
             pick = order[a : a + BATCH]
             data = np.frombuffer(b"".join(raw[i] for i in pick), np.uint8)

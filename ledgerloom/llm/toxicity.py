@@ -29,6 +29,8 @@ PRIOR = 200
 #: The training sample's bound: documents of each class, and bytes of a document.
 PER_CLASS, MAX_BYTES = (5000, 2500), 4000
 EPOCHS, BATCH, RATE = 6, 64, 0.5
+#: Small samples are gone through more often, so that there are at least so many updates.
+LEAST_UPDATES = 400
 
 #: Letters, digits and all bytes of non-ASCII characters are word bytes; the rest ends a word.
 WORD = np.zeros(256, bool)
@@ -85,12 +87,15 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarra
         return np.zeros(BUCKETS, np.float32), 0.0
     rng = np.random.default_rng(seed)
     raw, y = [t.encode() for t in texts], np.array(labels, np.float64)
+    # a rare class 1 counts as if it were half as frequent as class 0
+    rare = max(1.0, 0.5 * (y == 0).sum() / max(1, (y == 1).sum()))
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     soft, bias = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2)
     seen, seen_soft, seen_bias = np.full(BUCKETS, 1e-8), np.full((DIM, 2), 1e-8), np.full(2, 1e-8)
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_UPDATES * BATCH // len(raw)))
+    for epoch in range(epochs):
         order = rng.permutation(len(raw))
-        rate = RATE * (1 - epoch / EPOCHS)
+        rate = RATE * (1 - epoch / epochs)
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
             data, starts = padded([raw[i] for i in pick])
@@ -113,6 +118,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarra
             p = np.exp(z)
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(pick)), y[pick].astype(int)] -= 1
+            p *= np.where(y[pick] == 1, rare, 1.0)[:, None]
             # of two classes: every n-gram of a text has the gradient error * (soft[1] - soft[0]), by its share
             way = soft[:, 1] - soft[:, 0]
             grad = np.bincount(np.concatenate(ids), (p[:, 1] * share)[np.concatenate(docs)], BUCKETS)
