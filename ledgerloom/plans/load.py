@@ -3,15 +3,26 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import audit, evaluate, summary
 from ..sources.schema import FACT, REJECT
 from ..sources.store import Store, write_clustered
 
 
+def together(spark: SparkSession, *jobs: Callable[[], object]) -> list:
+    """Results of independent Spark jobs, submitted at once; the first error is raised when all have ended."""
+    from pyspark import inheritable_thread_target
+
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+    return [r.result() for r in running]
+
+
 @dataclass
 class LoadResult:
     version: str
@@ -41,17 +52,22 @@ def load(store: Store, raw: DataFrame, order: list[str]) -> LoadResult:
     evaluated = spark.read.parquet(staged + "/evaluated")
     took("evaluate")
     fact, rejects = evaluated.where("motivo_rechazo is null").select(*FACT.names), evaluated.where("motivo_rechazo is not null").select(*REJECT.names)
-    rejects.write.option("compression", "zstd").parquet(staged + "/rejects")
-    report = audit.run_report(evaluated).first().asDict()
-    took("rejects")
+    report, *_ = together(
+        spark,
+        lambda: audit.run_report(evaluated).first().asDict(),
+        lambda: rejects.write.option("compression", "zstd").parquet(staged + "/rejects"),
+        lambda: write_clustered(fact, staged + "/fact"),
+    )
+    took("write")
     if not report["filas_aceptadas"]:
         raise audit.EmptyLoadError("no row was accepted")
-    write_clustered(fact, staged + "/fact")
     written = spark.read.schema(FACT).parquet(staged + "/fact")
-    took("fact")
-    summary.type_summary(written).coalesce(1).write.parquet(staged + "/summary")
-    totals = audit.reconcile(fact, spark.read.parquet(staged + "/summary"))
-    broken = audit.constraint_report(written).where("violaciones > 0").collect()
+
+    def summarised() -> tuple:
+        summary.type_summary(written).coalesce(1).write.parquet(staged + "/summary")
+        return audit.reconcile(fact, spark.read.parquet(staged + "/summary"))
+
+    totals, broken = together(spark, summarised, lambda: audit.constraint_report(written).where("violaciones > 0").collect())
     if broken:
         raise audit.ReconciliationError(f"constraints violated: {broken}")
     took("audit")
