@@ -67,6 +67,17 @@ def normal(seed: int, salt: str, key: Column) -> Column:
     return F.sqrt(-2.0 * F.log(1.0 - u)) * F.cos(2 * math.pi * v)
 
 
+def normal_cdf(z: Column) -> Column:
+    """The standard normal distribution function, to seven digits (a published polynomial approximation)."""
+    a = F.abs(z)
+    t = 1.0 / (1.0 + 0.2316419 * a)
+    poly = F.lit(0.0)
+    for b in (1.330274429, -1.821255978, 1.781477937, -0.356563782, 0.319381530):
+        poly = (poly + b) * t
+    tail = F.exp(-a * a / 2.0) / math.sqrt(2 * math.pi) * poly
+    return F.when(z >= 0, 1.0 - tail).otherwise(tail)
+
+
 def weighted_choice(u: Column, weights: dict[str, float]) -> Column:
     """The value whose share of [0, 1) holds ``u``."""
     total, at, out = sum(weights.values()), 0.0, None

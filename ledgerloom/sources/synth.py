@@ -2,42 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import normal, uniform, weighted_choice
+from ..functions.expressions import normal, normal_cdf, uniform, weighted_choice
 from .schema import MONEY, RAW
 
-#: Shares of types and states, log-normal parameters of amounts by type, defect rates.
-TYPE_SHARES = {"COMPRA": 0.45, "TRANSFERENCIA": 0.20, "RETIRO": 0.15, "DEPOSITO": 0.10, "PAGO_SERVICIO": 0.10}
-STATE_SHARES = {"COMPLETADA": 0.90, "PENDIENTE": 0.05, "FALLIDA": 0.04, "REVERTIDA": 0.01}
-AMOUNTS = {"COMPRA": (4.2, 0.9), "DEPOSITO": (5.6, 0.8), "RETIRO": (4.9, 0.6), "TRANSFERENCIA": (5.2, 1.0), "PAGO_SERVICIO": (4.5, 0.7)}
-DEFECTS = {"monto_nulo": 0.005, "usuario_nulo": 0.002, "tipo_nulo": 0.003, "fecha_nula": 0.001, "monto_negativo": 0.001, "tipo_sucio": 0.02, "estado_nulo": 0.01, "reenvio": 0.001}
+#: Shares of types and states, log-normal (mu, sigma) of amounts by type, largest amount in
+#: cents, spread of user activity, defect rates.
+TYPE_SHARES = {"COMPRA": 0.40, "DEPOSITO": 0.15, "RETIRO": 0.15, "TRANSFERENCIA": 0.20, "PAGO_SERVICIO": 0.10}
+STATE_SHARES = {"COMPLETADA": 0.92, "PENDIENTE": 0.04, "FALLIDA": 0.03, "REVERTIDA": 0.01}
+AMOUNTS = {"COMPRA": (3.6, 1.0), "DEPOSITO": (5.5, 1.1), "RETIRO": (4.6, 0.8), "TRANSFERENCIA": (5.2, 1.2), "PAGO_SERVICIO": (4.0, 0.7)}
+LARGEST_CENTS, USER_SIGMA = 5_000_000, 0.6
+DEFECTS = {"monto_nulo": 0.005, "monto_negativo": 0.001, "tipo_nulo": 0.003, "tipo_sucio": 0.010, "estado_nulo": 0.010, "usuario_nulo": 0.002, "fecha_nula": 0.001, "reenvio": 0.001}
 YEAR_START, YEAR_SECONDS = 1735689600, 365 * 86400
-USER_SIGMA, LARGEST_CENTS = 0.6, 500_000_000
 
 
-def generate(spark: SparkSession, rows: int, users: int, seed: int = 42) -> DataFrame:
-    """Clean transactions; ids grow with time (instants are stratified, so no global sort is needed).
+def user_of(seed: int, key: Column, users: int) -> Column:
+    """A user number from 1 up, drawn by log-normal activity without a table of users.
 
-    Users are drawn by log-normal activity: a user and a bar are drawn, and where the bar is above the
-    user's activity, his neighbour in a fixed ring takes the row instead. No table of users is built.
+    Activities are the quantiles of the log-normal law. A draw by activity then has the rank
+    Phi(Z + sigma) with Z standard normal, and a fixed permutation gives ranks to user numbers.
     """
+    rank = F.floor(normal_cdf(normal(seed, "user", key) + USER_SIGMA) * users)
+    step = next(k for k in range(max(1, round(0.618 * users)), 2 * users + 2) if math.gcd(k, users) == 1)
+    return (F.pmod(F.least(rank, F.lit(users - 1)) * step + 17, F.lit(users)) + 1).cast("int")
+
+
+def generate(spark: SparkSession, rows: int, users: int, seed: int = 42) -> DataFrame:
+    """Clean transactions; ids grow with time (instants are stratified, so no global sort is needed)."""
     i = F.col("id")
-    draw = F.floor(uniform(seed, "user", i) * users).cast("long")
-    activity = F.exp(USER_SIGMA * normal(seed, "activity", draw))
-    other = F.pmod(draw * 7919 + F.floor(uniform(seed, "other", i) * 3).cast("long"), F.lit(users))
     kind = weighted_choice(uniform(seed, "type", i), TYPE_SHARES)
     base = spark.range(1, rows + 1).select(
         i,
         F.timestamp_micros((F.lit(YEAR_START * 1_000_000) + F.lit(YEAR_SECONDS * 1_000_000.0) * ((i - 1 + uniform(seed, "time", i)) / rows)).cast("long")).alias("fecha"),
-        (F.when(uniform(seed, "bar", i) * 3.0 < activity, draw).otherwise(other) + 1).cast("int").alias("usuario_id"),
+        user_of(seed, i, users).alias("usuario_id"),
         kind.alias("tipo_transaccion"),
         weighted_choice(uniform(seed, "state", i), STATE_SHARES).alias("estado"),
     )
     mu = F.element_at(F.create_map(*(F.lit(x) for k, (m, _) in AMOUNTS.items() for x in (k, m))), F.col("tipo_transaccion"))
     sigma = F.element_at(F.create_map(*(F.lit(x) for k, (_, s) in AMOUNTS.items() for x in (k, s))), F.col("tipo_transaccion"))
-    cents = F.least(F.greatest(F.rint(F.exp(mu + sigma * normal(seed, "amount", i)) * 100), F.lit(100.0)), F.lit(float(LARGEST_CENTS)))
+    cents = F.least(F.greatest(F.rint(F.exp(mu + sigma * normal(seed, "amount", i)) * 100), F.lit(1.0)), F.lit(float(LARGEST_CENTS)))
     return base.withColumn("monto", (cents.cast("decimal(16,0)") / 100).cast(MONEY)).select(*RAW.names)
 
 

@@ -56,9 +56,11 @@ def test_synthetic_batch(spark, small):
 
     one, again = synth.generate(spark, 2000, 50), synth.generate(spark, 2000, 50).repartition(7)
     assert sorted(one.collect()) == sorted(again.collect())
-    assert one.agg(F.min("monto") >= 1, F.max("usuario_id") <= 50, F.min("usuario_id") >= 1, F.countDistinct("id")).first()[:] == (True, True, True, 2000)
+    assert one.agg(F.min("monto") > 0, F.max("usuario_id") <= 50, F.min("usuario_id") >= 1, F.countDistinct("id")).first()[:] == (True, True, True, 2000)
     times = [r["fecha"] for r in one.orderBy("id").collect()]
     assert times == sorted(times)
+    counts = sorted(r["count"] for r in synth.generate(spark, 20_000, 40).groupBy("usuario_id").count().collect())
+    assert len(counts) == 40 and 2.0 < counts[-3] / counts[2] < 12.0  # log-normal activity
     dirty = synth.inject_defects(one)
     assert dirty.where("seq = 1").count() == 2 and dirty.count() == 2002
 
