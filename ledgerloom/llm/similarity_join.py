@@ -27,15 +27,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import blocks
 from .common import LOWER, documents_only, map_texts, materialize, mix64, raw_bytes, shingle_hashes, table, text_slices, word_hashes, word_spans
 from .graph import components
 
-SKETCH_BITS, SKETCH_BLOCK = 21, 16384
+SKETCH_BITS = 21
 SMALL, LEADERS, ROUNDS = 16, 8, 3
 
 
@@ -55,28 +55,16 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 def sketch(rows: DataFrame, hashes, bits: int) -> np.ndarray:
     """Counts of the hashes by their upper ``bits`` bits, over all rows: a fixed size whatever the table's.
 
-    ``hashes(batch)`` gives the uint64 hashes of a batch. Each task sends its counts in blocks.
+    ``hashes(batch)`` gives the uint64 hashes of a batch.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             total += np.bincount((hashes(batch) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        blocks = total.reshape(-1, min(SKETCH_BLOCK, len(total)))
-        some = np.flatnonzero(blocks.any(1))
-        kind = "<u4" if total.max() < 1 << 32 else "<u8"
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([blocks[i].astype(kind).tobytes() for i in some], pa.binary())], ["block", "counts"])
-
-    def add(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        size = min(SKETCH_BLOCK, 1 << bits)
-        total = sum(np.frombuffer(c, "<u4" if len(c) == 4 * size else "<u8").astype(np.int64) for c in part["counts"])
-        return pd.DataFrame({"block": [key[0]], "counts": [total.astype("<i8").tobytes()]})
-
-    out = np.zeros(1 << bits, np.int64)
-    size = min(SKETCH_BLOCK, 1 << bits)
-    for r in rows.mapInArrow(count, "block long, counts binary").groupBy("block").applyInPandas(add, "block long, counts binary").collect():
-        out[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["counts"], "<i8")
-    return out
+        yield from blocks.send(total)
+
+    return blocks.summed(rows.mapInArrow(count, blocks.PARTS), 1 << bits, True)
 
 
 def order_ranks(docs: DataFrame, width: int, bits: int = SKETCH_BITS) -> np.ndarray:
