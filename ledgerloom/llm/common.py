@@ -16,10 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once inside a task, so that numpy's temporaries stay small whatever a batch holds.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
+#: Rows of whole texts that Spark hands to Python at once.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,6 +45,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to ``BATCH_ROWS`` rows: texts are long, and the default of 10,000
+    of them (or of pairs of them) is more than a worker should hold."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def crc_mod(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo; a null key counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
@@ -49,6 +61,7 @@ def crc_mod(key: Column, modulus: int) -> Column:
 
 def documents_only(docs: DataFrame) -> DataFrame:
     """The two columns an operator on texts may see, nulls made empty."""
+    small_batches(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),

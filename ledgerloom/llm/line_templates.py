@@ -118,7 +118,7 @@ def recurring_templates(docs: DataFrame, least=LEAST) -> DataFrame:
 def drops(docs: DataFrame, least=LEAST) -> DataFrame:
     """doc_id, found: for each document the recurring templates in it whose first document is another."""
     recurring = materialize(recurring_templates(docs, least), "templates")
-    bitmap = np.packbits(sketch(recurring.select("key"), lambda b: b.column("key").to_numpy().view(np.uint64), BITS) > 0)
+    bitmap = np.packbits(sketch(recurring.select("key"), lambda b: [b.column("key").to_numpy().view(np.uint64)], BITS) > 0)
     met = line_keys(docs.where(F.col("doc_id").isNotNull()), bitmap).join(recurring, "key").where(F.col("first") != F.col("doc_id"))
     return met.groupBy("doc_id").agg(F.collect_set(F.struct("key", "first")).alias("found"))
 

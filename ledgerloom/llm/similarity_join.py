@@ -55,13 +55,14 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 def sketch(rows: DataFrame, hashes, bits: int) -> np.ndarray:
     """Counts of the hashes by their upper ``bits`` bits, over all rows: a fixed size whatever the table's.
 
-    ``hashes(batch)`` gives the uint64 hashes of a batch.
+    ``hashes(batch)`` gives arrays of uint64 hashes.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            total += np.bincount((hashes(batch) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+            for part in hashes(batch):
+                np.add.at(total, (part >> np.uint64(64 - bits)).astype(np.int64), 1)
         yield from blocks.send(total)
 
     return blocks.summed(rows.mapInArrow(count, blocks.PARTS), 1 << bits, True)
@@ -70,9 +71,8 @@ def sketch(rows: DataFrame, hashes, bits: int) -> np.ndarray:
 def order_ranks(docs: DataFrame, width: int, bits: int = SKETCH_BITS) -> np.ndarray:
     """For each hash bucket a byte, larger where its shingles are more frequent."""
 
-    def hashes(batch: pa.RecordBatch) -> np.ndarray:
-        parts = [shingle_sets(p.column("text"), width)[0] for p in text_slices(batch)]
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        return (shingle_sets(p.column("text"), width)[0] for p in text_slices(batch))
 
     counts = sketch(docs.select("text"), hashes, bits)
     return np.floor(4 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
@@ -259,7 +259,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int)
 
 def _candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """vid, text of the wanted vertices: a fixed-size bitmap of their ids thins the texts out where they are read."""
-    bitmap = np.packbits(sketch(wanted.select(_place(F.col("vid")).alias("p")), lambda b: b.column("p").to_numpy().astype(np.uint64) << np.uint64(44), 20) > 0)
+    bitmap = np.packbits(sketch(wanted.select(_place(F.col("vid")).alias("p")), lambda b: [b.column("p").to_numpy().astype(np.uint64) << np.uint64(44)], 20) > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -89,6 +89,6 @@ def test_components_of_a_path_and_a_star(spark):
 def test_sketch_counts_are_exact(spark):
     hashes = np.random.default_rng(5).integers(0, 1 << 63, 5000).astype(np.uint64) << np.uint64(1)
     rows = spark.createDataFrame([(int(h) - (1 << 64) if h >= 1 << 63 else int(h),) for h in hashes], "h long").repartition(9)
-    found = j.sketch(rows, lambda b: b.column("h").to_numpy().view(np.uint64), 16)
+    found = j.sketch(rows, lambda b: [b.column("h").to_numpy().view(np.uint64)], 16)
     assert np.array_equal(found, np.bincount((hashes >> np.uint64(48)).astype(np.int64), minlength=1 << 16))
-    assert not j.sketch(rows.where("false"), lambda b: b.column("h").to_numpy().view(np.uint64), 4).any()
+    assert not j.sketch(rows.where("false"), lambda b: [b.column("h").to_numpy().view(np.uint64)], 4).any()
