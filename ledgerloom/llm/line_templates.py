@@ -7,17 +7,17 @@ differ in one variable field meet in a template. Every branch end is a 64-bit ke
 
 A template recurs if enough documents hold it (fewer for long lines, see ``LEAST``). Lines of recurring
 templates are dropped, but for the document with the smallest doc_id that holds them. Copies of whole
-documents are not lines' business: where most of a document (``COPY_SHARE`` of its words, from two lines or
-more, or ``WHOLE_SHARE``) has one and the same first document, those lines stay.
+documents are not lines' business: where a document and the first document of its lines are ``COPY_SHARE``
+the same, both ways, those lines stay. What two documents share is counted in words of different lines.
 
 Defined cases: null and empty texts have no line; blank lines are never dropped; lines repeated inside a
 document count once for it and are dropped or kept together; rows with a null doc_id are left as they are;
-rows that share a doc_id are judged by the same set of templates.
+rows that share a doc_id are judged by the same set of templates (as first document, by the size of any of them).
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,8 @@ from .similarity_join import sketch
 LEADING, SEGMENTS = 3, 8
 #: Fewest documents with a template, by its lines' tokens: at least so many tokens, so many documents, share of all documents.
 LEAST = ((40, 2, 0.0), (16, 3, 0.0), (8, 5, 0.0), (0, 10, 1 / 2000))
-COPY_SHARE, WHOLE_SHARE = 0.4, 0.9
+#: A copy and its first document hold this share of each other's words.
+COPY_SHARE = 0.8
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
 _ANY = mix64(np.array([0x2A], np.uint64))[0]
 BITS = 22
@@ -80,12 +81,18 @@ def _keys_of(part: pa.RecordBatch):
 
 
 def line_keys(docs: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
-    """key, tokens, doc_id: one row per template of a document; with a bitmap, only keys that it holds."""
+    """key, tokens, doc_id, words: one row per template of a document; with a bitmap, only keys that it holds.
+
+    ``words`` is the number of words of the document's different lines.
+    """
 
     def build():
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             _, _, rows, keys, count = _keys_of(part)
             n = keys.shape[1]
+            order = np.lexsort((keys[:, 0], rows))
+            again = (np.diff(keys[order, 0]) == 0) & (np.diff(rows[order]) == 0)
+            words = np.bincount(rows[order], np.where(np.append(False, again), 0, count[order]), part.num_rows).astype(np.int64)
             key, row, tokens = keys.reshape(-1), np.repeat(rows, n), np.repeat(count, n)
             some = key != 0
             if bitmap is not None:
@@ -97,22 +104,23 @@ def line_keys(docs: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
             first = np.ones(len(key), bool)
             first[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
             return pa.RecordBatch.from_arrays(
-                [pa.array(key[first].view(np.int64)), pa.array(tokens[first], pa.int32()), part.column("doc_id").take(pa.array(row[first]))], ["key", "tokens", "doc_id"]
+                [pa.array(key[first].view(np.int64)), pa.array(tokens[first], pa.int32()), part.column("doc_id").take(pa.array(row[first])), pa.array(words[row[first]], pa.int32())],
+                ["key", "tokens", "doc_id", "words"],
             )
 
         return work
 
-    return map_texts(docs, "key long, tokens int, doc_id long", build)
+    return map_texts(docs, "key long, tokens int, doc_id long, words int", build)
 
 
 def recurring_templates(docs: DataFrame, least=LEAST) -> DataFrame:
-    """key, first: the templates that enough documents hold, and the smallest doc_id with each."""
+    """key, first, first_words: the templates that enough documents hold, the smallest doc_id with each and its words."""
     total = docs.count()
-    counted = line_keys(docs).groupBy("key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"), F.max("tokens").alias("tokens"))
+    counted = line_keys(docs).groupBy("key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"), F.min_by("words", "doc_id").alias("first_words"), F.max("tokens").alias("tokens"))
     fewest = F.lit(None)
     for tokens, number, share in reversed(least):
         fewest = F.when(F.col("tokens") >= tokens, F.lit(max(number, share * total))).otherwise(fewest)
-    return counted.where(F.col("docs") >= fewest).select("key", "first")
+    return counted.where(F.col("docs") >= fewest).select("key", "first", "first_words")
 
 
 def drops(docs: DataFrame, least=LEAST) -> DataFrame:
@@ -120,19 +128,21 @@ def drops(docs: DataFrame, least=LEAST) -> DataFrame:
     recurring = materialize(recurring_templates(docs, least), "templates")
     bitmap = np.packbits(sketch(recurring.select("key"), lambda b: [b.column("key").to_numpy().view(np.uint64)], BITS) > 0)
     met = line_keys(docs.where(F.col("doc_id").isNotNull()), bitmap).join(recurring, "key").where(F.col("first") != F.col("doc_id"))
-    return met.groupBy("doc_id").agg(F.collect_set(F.struct("key", "first")).alias("found"))
-
-
-def kept_lines(tokens: list[int], keys: np.ndarray, found: dict[int, int]) -> list[bool]:
-    """Which lines of one document stay."""
-    first = [next((found[k] for k in row if k in found), None) for row in keys.tolist()]
-    total = max(1, sum(tokens))
-    words, lines = Counter(), Counter()
-    for f, n in zip(first, tokens, strict=True):
+    return met.groupBy("doc_id").agg(F.collect_set(F.struct("key", "first", "first_words")).alias("found"))
+
+
+def kept_lines(tokens: list[int], keys: np.ndarray, found: dict[int, tuple[int, int]]) -> list[bool]:
+    """Which lines of one document stay; ``found`` has the first document of a key and its words."""
+    lines = keys.tolist()
+    met = [next((k for k in row if k in found), None) for row in lines]
+    first = [None if k is None else found[k] for k in met]
+    # words of different lines here, and of different templates met there
+    total = sum({row[0]: n for row, n in zip(lines, tokens, strict=True)}.values())
+    here, there = defaultdict(dict), defaultdict(dict)
+    for f, k, row, n in zip(first, met, lines, tokens, strict=True):
         if f is not None:
-            words[f] += n
-            lines[f] += 1
-    whole = {f for f, n in words.items() if n >= WHOLE_SHARE * total or (n >= COPY_SHARE * total and lines[f] >= 2)}
+            here[f][row[0]] = there[f][k] = n
+    whole = {f for f in here if sum(here[f].values()) >= COPY_SHARE * total and sum(there[f].values()) >= COPY_SHARE * f[1]}
     return [f is None or f in whole for f in first]
 
 
@@ -158,7 +168,7 @@ def dedup_lines(docs: DataFrame, least=LEAST) -> DataFrame:
                 for i, note in enumerate(part.column("__found").to_pylist()):
                     a, b = int(edges[i]), int(edges[i + 1])
                     n_lines.append(b - a)
-                    stay = kept_lines(count[a:b].tolist(), signed[a:b], {r["key"]: r["first"] for r in json.loads(note)}) if note else [True] * (b - a)
+                    stay = kept_lines(count[a:b].tolist(), signed[a:b], {r["key"]: (r["first"], r["first_words"]) for r in json.loads(note)}) if note else [True] * (b - a)
                     n_dropped.append(stay.count(False))
                     if n_dropped[-1]:
                         kept = b"".join(raw[lines[a + k] : lines[a + k + 1]] for k in range(b - a) if stay[k])

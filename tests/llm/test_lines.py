@@ -91,3 +91,16 @@ def test_odd_rows(odd, empty):
     rows = {(r["doc_id"], r["text"]) for r in out.collect()}
     assert len(out.collect()) == odd.count() and (None, "A row without an id but with words in it.") in rows
     assert t.dedup_lines(empty).collect() == []
+
+
+def test_shared_lines_go_unless_documents_match_both_ways(spark):
+    shared = "\n".join(own(i) for i in range(4))
+    rows = [
+        (1, shared + "\n" + "\n".join(own(i) for i in range(10, 40))),  # the shared lines are a small part of the first
+        (2, shared),  # all of it shared, no copy of 1
+        (3, shared + "\n" + own(50) + "\n" + own(51)),  # two thirds shared
+        (4, "\n".join([own(0)] * 30)),  # one line over and over is no copy either
+    ]
+    out = run(spark, rows)
+    assert out[1][2] == 0 and out[3] == (own(50) + "\n" + own(51), 6, 4)
+    assert out[2][1:] == (4, 4) and out[4][1:] == (30, 30)
