@@ -28,8 +28,8 @@ from .common import documents_only, map_texts, materialize, mix64, raw_bytes, ta
 from .similarity_join import sketch
 
 LEADING, SEGMENTS = 3, 8
-#: Fewest documents with a template, by its lines' tokens: at least so many tokens, so many documents, share of all documents.
-LEAST = ((40, 2, 0.0), (16, 3, 0.0), (8, 5, 0.0), (0, 10, 1 / 2000))
+#: Fewest documents with a template, by its lines' tokens: at least so many tokens, so many documents, share of all documents (0: a line is judged alike in a table of any size).
+LEAST = ((40, 2, 0.0), (16, 3, 0.0), (8, 5, 0.0), (0, 10, 0.0))
 #: A copy and its first document hold this share of each other's words.
 COPY_SHARE = 0.8
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
@@ -115,7 +115,7 @@ def line_keys(docs: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
 
 def recurring_templates(docs: DataFrame, least=LEAST) -> DataFrame:
     """key, first, first_words: the templates that enough documents hold, the smallest doc_id with each and its words."""
-    total = docs.count()
+    total = docs.count() if any(share for _, _, share in least) else 0
     counted = line_keys(docs).groupBy("key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"), F.min_by("words", "doc_id").alias("first_words"), F.max("tokens").alias("tokens"))
     fewest = F.lit(None)
     for tokens, number, share in reversed(least):

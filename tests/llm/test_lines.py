@@ -104,3 +104,14 @@ def test_shared_lines_go_unless_documents_match_both_ways(spark):
     out = run(spark, rows)
     assert out[1][2] == 0 and out[3] == (own(50) + "\n" + own(51), 6, 4)
     assert out[2][1:] == (4, 4) and out[4][1:] == (30, 30)
+
+
+def test_short_line_at_two_table_sizes(spark):
+    """A short line in 12 documents goes from 11 of them, in a small table as in a large one."""
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(i, own(i) + "\nshare this page") for i in range(12)], "doc_id long, text string")
+    for more in (0, 30_000):
+        other = spark.range(100, 100 + more).select(F.col("id").alias("doc_id"), F.translate(F.sha1(F.col("id").cast("string")), "0123456789", "ghijklmnop").alias("text"))
+        out = t.dedup_lines(rows.unionByName(other)).where("doc_id < 100").collect()
+        assert {r["doc_id"]: r["n_dropped"] for r in out} == {i: int(i > 0) for i in range(12)}
