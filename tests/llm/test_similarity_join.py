@@ -34,11 +34,12 @@ def hot_rows(copies=150, seed=1):
     return rows
 
 
-@pytest.mark.parametrize("small, rounds", [(16, 3), (3, 1), (4, 2)])
-def test_hot_groups_against_brute_force(spark, small, rounds):
+@pytest.mark.parametrize("small, levels, hot, whole", [(16, 4, 512, 1024), (3, 1, 512, 4), (4, 2, 16, 4)])
+def test_hot_groups_against_brute_force(spark, monkeypatch, small, levels, hot, whole):
+    monkeypatch.setattr(j, "HOT", hot)
     rows = hot_rows()
     made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert result(j.jaccard_components(made, 4, 85, 100, small=small, rounds=rounds)) == jaccard_components(rows, 4, 85, 100)
+    assert result(j.jaccard_components(made, 4, 85, 100, small=small, levels=levels, whole=whole)) == jaccard_components(rows, 4, 85, 100)
 
 
 def test_prefix_groups_are_expanded(spark, monkeypatch):
@@ -92,3 +93,31 @@ def test_sketch_counts_are_exact(spark):
     found = j.sketch(rows, lambda b: [b.column("h").to_numpy().view(np.uint64)], 16)
     assert np.array_equal(found, np.bincount((hashes >> np.uint64(48)).astype(np.int64), minlength=1 << 16))
     assert not j.sketch(rows.where("false"), lambda b: [b.column("h").to_numpy().view(np.uint64)], 4).any()
+
+
+def test_many_groups_without_links_in_one_bucket(spark, monkeypatch):
+    """2,000 pairs of near copies that all hold one rare-looking shingle: the shingles are ordered by hash alone."""
+    monkeypatch.setattr(j, "order_ranks", lambda docs, width: (np.zeros(2, np.uint8), 36))
+    rnd = random.Random(4)
+    rows, made = [], []
+    words = [f"v{i}" for i in range(20_000)]
+    # of many shingles the one with the smallest hash is in every prefix
+    first = min((w for w in words), key=lambda w: int(j.shingle_sets(pa.array([w]), 1)[0][0]))
+    for i in range(2000):
+        own = [first, *rnd.sample(words, 14)]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own, rnd.choice(words)]))]
+    calls = []
+    pairs_of = j.compared
+    monkeypatch.setattr(j, "compared", lambda pairs, *a: pairs_of(made.append(pairs) or pairs, *a))
+    out = result(j.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 85, 100))
+    assert out == jaccard_components(rows, 1, 85, 100)
+    # candidates stay far below the eight million pairs of the bucket
+    calls = [p.count() for p in made]
+    assert sum(calls) < 200_000, calls
+
+
+def test_rows_that_share_an_id_tie_their_texts(spark):
+    a, b, c = ("one two three four five six seven", "other words in another text here now", "eight nine ten eleven twelve")
+    rows = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b), (5, ""), (8, c)], "doc_id long, text string")
+    found = sorted((r["doc_id"], r["component_id"], r["n_shingles"]) for r in j.jaccard_components(rows, 4, 85, 100).collect())
+    assert found == [(3, 3, 4), (5, 3, 4), (5, 3, 4), (5, 5, 0), (8, 8, 2), (9, 3, 4)]
