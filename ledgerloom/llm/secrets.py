@@ -6,8 +6,12 @@ table in reading order, so ``a = "..."`` followed by ``db_password = a`` reports
 assigned to ``a``. A literal is scored by how sensitive its target's name is and by how random it
 looks; spans that reach the threshold have kind ``literal``.
 
+A constant holds the literals of its own line and points to the constants it was made from, and each is
+visited once for a weight, so long chains of constants cost no more than their lines.
+
 Defined cases: null or empty text gives no spans; repeated rows give repeated results; positions
-count code points; whole texts are read, however long.
+count code points; whole texts are read, however long; a text's result does not depend on its neighbours;
+a null doc_id is kept; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,10 +75,34 @@ def randomness(value: str) -> float:
     return entropy / 4 + 0.25 * mixed
 
 
+class Constant:
+    """What a name was given: literals (start, end) of its own, and other constants; with the largest weight reported."""
+
+    def __init__(self):
+        self.literals: list[tuple[int, int]] = []
+        self.uses: list[Constant] = []
+        self.told = 0.0
+
+    def report(self, text: str, weight: float, found: set) -> None:
+        """Adds the literals that reach the threshold under a target of this weight."""
+        open_ones = [self]
+        while open_ones:
+            one = open_ones.pop()
+            if one.told >= weight:
+                continue
+            one.told = weight
+            open_ones.extend(one.uses)
+            for a, b in one.literals:
+                if b - a >= MIN_LITERAL and (a, b) not in found:
+                    value = text[a:b]
+                    if len(value) >= (MIN_WORD if value.isalpha() else MIN_LITERAL) and weight + randomness(value) - 0.5 >= THRESHOLD:
+                        found.add((a, b))
+
+
 def literal_spans(text: str) -> set[tuple[int, int]]:
     """Spans of the literals that reach a sensitive target, directly or through constants."""
     found: set[tuple[int, int]] = set()
-    constants: dict[str, list[tuple[str, int, int]]] = {}
+    constants: dict[str, Constant] = {}
     at = 0
     while (sign := PAIR_SIGN.search(text, at)) is not None:
         start = text.rfind("\n", 0, sign.start()) + 1
@@ -87,15 +115,12 @@ def literal_spans(text: str) -> set[tuple[int, int]]:
 
 
 def _read_line(text: str, start: int, end: int, constants: dict, found: set) -> None:
-    target, op, values, wanted, skip = None, False, [], False, start
+    target, op, value, wanted, skip = None, False, Constant(), False, start
 
     def close() -> None:
-        if target and op and values:
-            constants[target] = list(values)
-            weight = sensitivity(target)
-            for value, a, b in values if weight else ():
-                if len(value) >= (MIN_WORD if value.isalpha() else MIN_LITERAL) and weight + randomness(value) - 0.5 >= THRESHOLD:
-                    found.add((a, b))
+        if target and op and (value.literals or value.uses):
+            constants[target] = value
+            value.report(text, sensitivity(target), found)
 
     for m in TOKEN.finditer(text, start, end):
         if m.start() < skip:
@@ -103,24 +128,24 @@ def _read_line(text: str, start: int, end: int, constants: dict, found: set) ->
         kind, word = m.lastgroup, m.group()
         if kind == "op" and word in ASSIGNING:
             close()
-            op, values, wanted = target is not None, [], target is not None
+            op, value, wanted = target is not None, Constant(), target is not None
         elif kind == "plus":
             wanted = op
         elif kind in ("string", "bare", "name") and wanted:
             wanted = False
             if kind == "string":
-                values.append((word[1:-1], m.start() + 1, m.end() - 1))
+                value.literals.append((m.start() + 1, m.end() - 1))
             elif word in constants:
-                values.extend(constants[word])
+                value.uses.append(constants[word])
             else:
                 skip = UNQUOTED.match(text, m.start(), end).end()
-                values.append((text[m.start() : skip], m.start(), skip))
+                value.literals.append((m.start(), skip))
         elif kind in ("string", "bare", "name"):
             close()
-            target, op, values = (word.strip("\"'") if kind != "bare" else None), False, []
+            target, op, values = (word.strip("\"'") if kind != "bare" else None), False, Constant()
         elif kind == "eol":
             close()
-            target, op, values, wanted = None, False, [], False
+            target, op, value, wanted = None, False, Constant(), False
         elif not op:
             target = None
     close()
@@ -152,8 +177,12 @@ def _promising(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     hit = np.zeros(n, bool)
     if not len(data):
         return hit
-    for at in (np.flatnonzero((data == 58) | (data == 61)), _runs(_HEX[data], 16), _access(data)):
+    for at in (np.flatnonzero((data == 58) | (data == 61)), _access(data)):
         hit[np.searchsorted(offsets, at, side="right") - 1] = True
+    # a gap behind each row, so that no run of digits goes on into the next
+    apart = np.zeros(len(data) + n, bool)
+    apart[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(offsets))] = _HEX[data]
+    hit[np.searchsorted(offsets + np.arange(n + 1), _runs(apart, 16), side="right") - 1] = True
     return hit
 
 

@@ -53,3 +53,27 @@ def test_odd_rows(odd, empty):
     rows = secrets.secret_scan(odd).collect()
     assert len(rows) == odd.count() and all(r["spans"] == "" for r in rows if r["doc_id"] in (1, 2, 3))
     assert secrets.secret_scan(empty).collect() == []
+
+
+NEIGHBOURS = ["ends in cafe", "0123456789abcdef0123 is hex", "", "0123456789", "abcdef", "token = '", "AKI", "AABCDEFGHIJKLMNOPQR AKIA", "ABCDEFGHIJKLMNOPQ", "db_password =", "\"Zx9Qw8Er7Ty6\"", "fedcba9876543210"]
+
+
+def test_a_text_alone_and_beside_others(spark):
+    rows = list(enumerate(NEIGHBOURS))
+    together = {r["doc_id"]: r.asDict() for r in secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    for i, text in rows:
+        spans = secrets.scan(text)
+        assert together[i]["spans"] == secrets.joined(spans, secrets.KINDS)
+        assert (together[i]["n_assign"], together[i]["n_access"], together[i]["n_hex"]) == tuple(len(spans[k]) for k in secrets.KINDS[:3])
+    assert together[1]["n_hex"] == 1 and together[0]["n_hex"] == 0
+
+
+def test_long_chains_of_constants():
+    import time
+
+    doubled = "x0 = \"q7w8e9r0t1y2\"\n" + "".join(f"x{i} = x{i - 1} + x{i - 1}\n" for i in range(1, 400)) + "db_password = x399"
+    grown = "y0 = \"q7w8e9r0t1y2\"\n" + "".join(f"y{i} = y{i - 1} + \"p{i}z5k8m2n4\"\nsecret_{i} = y{i}\n" for i in range(1, 4000))
+    began = time.time()
+    assert secrets.literal_spans(doubled) == {(6, 18)}
+    assert len(secrets.literal_spans(grown)) == 4000
+    assert time.time() - began < 2
