@@ -1,11 +1,13 @@
 """Sequence packing: first-fit decreasing over a tournament tree of bin capacities, in randomised groups.
 
-Documents are tokenised where they are read. Each becomes full pieces of 2048 ids and one remainder;
-only the pieces' numbers (never ids or texts) are shuffled, to groups chosen by hash. A group is packed
-on its own, so its size, not the table's, bounds a task. Full pieces are sequences by themselves.
-
-Defined cases: a null or empty text is the single end id; repeated rows are packed once each (the
-group also hashes a row's place, so copies and null ids spread over groups); an empty table gives no rows.
+Documents are tokenised where they are read. Each becomes full pieces of 2048 ids and one remainder. Full
+pieces are sequences by themselves. Only the remainders' numbers (never ids or texts) are shuffled, to groups
+chosen by hash. A group is packed on its own, so its size, not the table's, bounds a task.
+
+Defined cases: a null or empty text is the single end id; the tokenizer is used as it is, so special tokens
+written out in a text become their ids; repeated rows are packed once each (the group also hashes a row's
+place, so copies and null ids spread over groups); an empty table gives no rows; other columns are ignored.
+One text with its ids must fit a task's memory (about 30 bytes for each of its bytes).
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents_only, table, text_slices
+from .common import documents_only, materialize, table, text_slices, tidy
 
 SEQUENCE, END_ID = 2048, 1
 GROUP_DOCS = 16_384
@@ -56,7 +58,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.letters = byte_letters()
         self.is_letters = re.compile(r"[a-zß-öø-ÿ]+").fullmatch
         self._forget()
@@ -118,7 +119,7 @@ def _gather(pool: np.ndarray, pool_at: np.ndarray, items: np.ndarray, row_at: np
     return pool[index], ends[row_at]
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, place long"
 
 
 def pieces(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE) -> DataFrame:
@@ -128,7 +129,7 @@ def pieces(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE) -> DataFr
         from pyspark import TaskContext
 
         words, context = WordTokenizer(vocabulary), TaskContext.get()
-        salt = (context.partitionId() if context else 0) << 32
+        place = (context.partitionId() if context else 0) << 36
         for batch in batches:
             for part in text_slices(batch, limit=TOKEN_SLICE):
                 ids, at = words.encode(part.column("text"))
@@ -136,11 +137,12 @@ def pieces(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE) -> DataFr
                 keys = part.column("doc_id").to_pylist()
                 for i in range(n):
                     own = np.append(ids[at[i] : at[i + 1]], np.uint32(END_ID)).astype("<u4")
-                    salt += 1
-                    out.extend((keys[i], s, min(sequence, len(own) - s), zlib.crc32(own[s : s + sequence].tobytes()), len(own), salt) for s in range(0, len(own), sequence))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
+                    for s in range(0, len(own), sequence):
+                        place += 1
+                        out.append((keys[i], s, min(sequence, len(own) - s), zlib.crc32(own[s : s + sequence].tobytes()), len(own), place))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "place"])
 
-    return docs.mapInArrow(run, PIECES)
+    return docs.mapInArrow(tidy(run), PIECES)
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -174,34 +176,36 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(made: DataFrame, groups: int, sequence: int = SEQUENCE) -> DataFrame:
-    """Packs pieces into sequences, each of ``groups`` random groups on its own.
+def pack(made: DataFrame, group_pieces: int = GROUP_DOCS, sequence: int = SEQUENCE) -> DataFrame:
+    """Packs pieces into sequences: full ones by themselves, the others in random groups of about ``group_pieces``.
 
-    ``sequence_id`` holds the group in its upper bits and the group's own bin in the lower 32.
+    ``sequence_id`` holds the group in its upper bits and the group's own bin in the lower 32; those of full
+    pieces are negative.
     """
+    parts = made.where(F.col("length") < sequence)
+    groups = max(1, math.ceil(parts.count() / group_pieces))
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32", "salt"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
+        rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32", "place"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
         lengths = rows["length"].to_numpy()
-        full = int((lengths >= sequence).sum())
-        bins = np.concatenate([np.arange(full), full + first_fit_decreasing(lengths[full:], sequence)])
-        rows["sequence_id"] = (int(key[0]) << 32) + bins
+        rows["sequence_id"] = (int(key[0]) << 32) + first_fit_decreasing(lengths, sequence)
         rows["offset"] = rows.groupby("sequence_id")["length"].cumsum() - lengths
         return rows[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
-    dealt = made.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "salt"), F.lit(groups)))
-    return dealt.groupBy("pack_group").applyInPandas(one, PACKED)
+    dealt = parts.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "place"), F.lit(groups)))
+    full = made.where(F.col("length") >= sequence).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (-F.col("place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return dealt.groupBy("pack_group").applyInPandas(one, PACKED).unionByName(full)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENCE, group_docs: int = GROUP_DOCS) -> DataFrame:
-    """Packs every document; groups hold about ``group_docs`` documents whatever the table's size."""
+    """Packs every document; groups hold about ``group_docs`` remainders whatever the table's size. The pieces'
+    numbers are written to the shared folder once, so that texts are tokenised once."""
     if vocabulary is None:
         import public_tokenizers
 
         vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    docs = documents_only(docs)
-    groups = max(1, math.ceil(docs.count() / group_docs))
-    return pack(pieces(docs, vocabulary, sequence), groups, sequence)
+    made = materialize(pieces(documents_only(docs), vocabulary, sequence), "pieces")
+    return pack(made, group_docs, sequence)
 
 
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

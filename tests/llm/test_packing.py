@@ -14,9 +14,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def ids_of(tokenizer, text):
@@ -78,3 +76,16 @@ def test_first_fit_decreasing_against_a_scan():
         want.append(b)
     assert packing.first_fit_decreasing(lengths, 100).tolist() == want
     assert packing.first_fit_decreasing(np.zeros(0, np.int64), 100).tolist() == []
+
+
+def test_special_tokens_are_the_tokenizers(spark, tokenizer):
+    texts = {1: "x <|endoftext|> y", 2: "a<|startoftext|>b<|endoftext|>", 3: "<|ENDOFTEXT|> <|end", 4: "a \u00a0<|endoftext|>\u2003b"}
+    check(packing.pack_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect(), texts, tokenizer)
+
+
+def test_full_pieces_are_sequences_by_themselves(spark, tokenizer):
+    texts = {i: "river stone " * (900 * i) for i in range(4)}
+    made = packing.pack_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    rows = made.collect()
+    check(rows, texts, tokenizer)
+    assert all((r["sequence_id"] < 0) == (r["length"] == packing.SEQUENCE) and (r["length"] < packing.SEQUENCE or r["offset"] == 0) for r in rows)
