@@ -6,32 +6,29 @@ they stand, a line of at least ``SEGMENTS`` tokens takes those with one segment
 differ in one variable field meet in a template. Every branch end is a 64-bit key.
 
 A template recurs if enough documents hold it (fewer for long lines, see ``LEAST``). Lines of recurring
-templates are dropped, but for the document with the smallest doc_id that holds them. Copies of whole
-documents are not lines' business: where a document and the first document of its lines are ``COPY_SHARE``
-the same, both ways, those lines stay. What two documents share is counted in words of different lines.
+templates are dropped, but for the document with the smallest doc_id that holds the template, so of copies
+of a document the first alone keeps its lines.
 
 Defined cases: null and empty texts have no line; blank lines are never dropped; lines repeated inside a
-document count once for it and are dropped or kept together; rows with a null doc_id are left as they are;
-rows that share a doc_id are judged by the same set of templates (as first document, by the size of any of them).
+document count once for it and are dropped or kept together; rows with a null doc_id count for templates and are
+left as they are; rows that share a doc_id are judged by the same set of templates; an empty table gives no
+rows; other columns are carried along. One text with its templates must fit a task's memory (about 200 bytes
+for each of its lines and 40 for each of its bytes).
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents_only, map_texts, materialize, mix64, raw_bytes, table, text_slices, word_hashes, word_spans
+from .common import documents_only, map_texts, materialize, mix64, raw_bytes, table, text_slices, tidy, word_hashes, word_spans
 from .similarity_join import sketch
 
 LEADING, SEGMENTS = 3, 8
-#: Fewest documents with a template, by its lines' tokens: at least so many tokens, so many documents, share of all documents (0: a line is judged alike in a table of any size).
-LEAST = ((40, 2, 0.0), (16, 3, 0.0), (8, 5, 0.0), (0, 10, 0.0))
-#: A copy and its first document hold this share of each other's words.
-COPY_SHARE = 0.8
+#: Fewest documents with a template, by its lines' tokens: at least so many tokens, so many documents.
+LEAST = ((40, 2), (16, 3), (8, 5), (0, 10))
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
 _ANY = mix64(np.array([0x2A], np.uint64))[0]
 BITS = 22
@@ -81,18 +78,12 @@ def _keys_of(part: pa.RecordBatch):
 
 
 def line_keys(docs: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
-    """key, tokens, doc_id, words: one row per template of a document; with a bitmap, only keys that it holds.
-
-    ``words`` is the number of words of the document's different lines.
-    """
+    """key, tokens, doc_id: one row per template of a document; with a bitmap, only keys that it holds."""
 
     def build():
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             _, _, rows, keys, count = _keys_of(part)
             n = keys.shape[1]
-            order = np.lexsort((keys[:, 0], rows))
-            again = (np.diff(keys[order, 0]) == 0) & (np.diff(rows[order]) == 0)
-            words = np.bincount(rows[order], np.where(np.append(False, again), 0, count[order]), part.num_rows).astype(np.int64)
             key, row, tokens = keys.reshape(-1), np.repeat(rows, n), np.repeat(count, n)
             some = key != 0
             if bitmap is not None:
@@ -103,24 +94,20 @@ def line_keys(docs: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
             key, row, tokens = key[order], row[order], tokens[order]
             first = np.ones(len(key), bool)
             first[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(key[first].view(np.int64)), pa.array(tokens[first], pa.int32()), part.column("doc_id").take(pa.array(row[first])), pa.array(words[row[first]], pa.int32())],
-                ["key", "tokens", "doc_id", "words"],
-            )
+            return pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(tokens[first], pa.int32()), part.column("doc_id").take(pa.array(row[first]))], ["key", "tokens", "doc_id"])
 
         return work
 
-    return map_texts(docs, "key long, tokens int, doc_id long, words int", build)
+    return map_texts(docs, "key long, tokens int, doc_id long", build)
 
 
 def recurring_templates(docs: DataFrame, least=LEAST) -> DataFrame:
-    """key, first, first_words: the templates that enough documents hold, the smallest doc_id with each and its words."""
-    total = docs.count() if any(share for _, _, share in least) else 0
-    counted = line_keys(docs).groupBy("key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"), F.min_by("words", "doc_id").alias("first_words"), F.max("tokens").alias("tokens"))
+    """key, first: the templates that enough documents hold and the smallest doc_id with each."""
+    counted = line_keys(docs).groupBy("key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"), F.max("tokens").alias("tokens"))
     fewest = F.lit(None)
-    for tokens, number, share in reversed(least):
-        fewest = F.when(F.col("tokens") >= tokens, F.lit(max(number, share * total))).otherwise(fewest)
-    return counted.where(F.col("docs") >= fewest).select("key", "first", "first_words")
+    for tokens, number in reversed(least):
+        fewest = F.when(F.col("tokens") >= tokens, F.lit(number)).otherwise(fewest)
+    return counted.where(F.col("docs") >= fewest).select("key", "first")
 
 
 def drops(docs: DataFrame, least=LEAST) -> DataFrame:
@@ -128,22 +115,7 @@ def drops(docs: DataFrame, least=LEAST) -> DataFrame:
     recurring = materialize(recurring_templates(docs, least), "templates")
     bitmap = np.packbits(sketch(recurring.select("key"), lambda b: [b.column("key").to_numpy().view(np.uint64)], BITS) > 0)
     met = line_keys(docs.where(F.col("doc_id").isNotNull()), bitmap).join(recurring, "key").where(F.col("first") != F.col("doc_id"))
-    return met.groupBy("doc_id").agg(F.collect_set(F.struct("key", "first", "first_words")).alias("found"))
-
-
-def kept_lines(tokens: list[int], keys: np.ndarray, found: dict[int, tuple[int, int]]) -> list[bool]:
-    """Which lines of one document stay; ``found`` has the first document of a key and its words."""
-    lines = keys.tolist()
-    met = [next((k for k in row if k in found), None) for row in lines]
-    first = [None if k is None else found[k] for k in met]
-    # words of different lines here, and of different templates met there
-    total = sum({row[0]: n for row, n in zip(lines, tokens, strict=True)}.values())
-    here, there = defaultdict(dict), defaultdict(dict)
-    for f, k, row, n in zip(first, met, lines, tokens, strict=True):
-        if f is not None:
-            here[f][row[0]] = there[f][k] = n
-    whole = {f for f in here if sum(here[f].values()) >= COPY_SHARE * total and sum(there[f].values()) >= COPY_SHARE * f[1]}
-    return [f is None or f in whole for f in first]
+    return met.groupBy("doc_id").agg(F.collect_set("key").alias("found"))
 
 
 def dedup_lines(docs: DataFrame, least=LEAST) -> DataFrame:
@@ -152,31 +124,40 @@ def dedup_lines(docs: DataFrame, least=LEAST) -> DataFrame:
     All other columns are carried along; a document that loses no line keeps its text to the byte.
     """
     base = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    found = drops(documents_only(docs), least).select(F.col("doc_id").alias("__key"), F.to_json("found").alias("__found"))
+    found = drops(documents_only(docs), least).select(F.col("doc_id").alias("__key"), F.col("found").alias("__found"))
     joined = base.join(found, base["doc_id"] == found["__key"], "left").drop("__key").select("*", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
     schema = joined.drop("__found").schema
 
     def run(batches):
-        import json
-
         for batch in batches:
             for part in text_slices(batch):
-                data, lines, rows, keys, count = _keys_of(part)
-                raw, signed = data.tobytes(), keys.view(np.int64)
+                data, lines, rows, keys, _ = _keys_of(part)
+                raw = data.tobytes()
+                gone = _dropped(part.column("__found"), rows, keys)
                 edges = np.searchsorted(rows, np.arange(part.num_rows + 1))
-                texts, n_lines, n_dropped = part.column("text").to_pylist(), [], []
-                for i, note in enumerate(part.column("__found").to_pylist()):
+                n_dropped = np.bincount(rows[gone], minlength=part.num_rows)
+                texts = part.column("text").to_pylist()
+                for i in np.flatnonzero(n_dropped).tolist():
                     a, b = int(edges[i]), int(edges[i + 1])
-                    n_lines.append(b - a)
-                    stay = kept_lines(count[a:b].tolist(), signed[a:b], {r["key"]: (r["first"], r["first_words"]) for r in json.loads(note)}) if note else [True] * (b - a)
-                    n_dropped.append(stay.count(False))
-                    if n_dropped[-1]:
-                        kept = b"".join(raw[lines[a + k] : lines[a + k + 1]] for k in range(b - a) if stay[k])
-                        texts[i] = kept.decode().rstrip("\n") if not stay[-1] else kept.decode()
-                columns = {n: part.column(n) for n in part.schema.names if n != "__found"} | {"text": pa.array(texts, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
+                    kept = b"".join(raw[lines[k] : lines[k + 1]] for k in range(a, b) if not gone[k]).decode()
+                    texts[i] = kept.rstrip("\n") if gone[b - 1] else kept
+                columns = {n: part.column(n) for n in part.schema.names if n != "__found"} | {"text": pa.array(texts, pa.string()), "n_lines": pa.array(np.diff(edges), pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)
+
+
+def _dropped(found: pa.Array, rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which lines have a template that is among those found for their row."""
+    lists = found.fill_null([])
+    owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    gone = np.zeros(len(rows), bool)
+    if len(owner):
+        # (row, key) as one sorted list of pairs
+        held = np.sort(mix64(lists.flatten().to_numpy().view(np.uint64) + owner.astype(np.uint64) * _PLACE))
+        asked = mix64(keys + rows.astype(np.uint64)[:, None] * _PLACE)
+        gone = ((held[np.minimum(np.searchsorted(held, asked), len(held) - 1)] == asked) & (keys != 0)).any(1)
+    return gone
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
