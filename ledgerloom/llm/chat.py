@@ -9,7 +9,9 @@ texts are doubled and a backslash is put behind the first character of every con
 (those of this template and of other common ones), which one left-to-right pass undoes.
 
 Defined cases: null text and null role are empty; a null ``conv_id`` is a conversation of its own;
-rows that share a turn number are ordered by role, then text; repeated rows are repeated turns.
+rows that share a turn number are ordered by role, then text; repeated rows are repeated turns; other
+columns are ignored; an empty table gives no rows; a conversation is one text in the end, so it must fit a
+task's memory, however long its turns.
 """
 
 from __future__ import annotations
@@ -116,11 +118,14 @@ def _turn_array(mapping: Mapping, read) -> Column:
 def to_turns(df: DataFrame, key: str, order: str | None = None, registry: dict[str, Mapping] = REGISTRY) -> DataFrame:
     """Canonical turns (key, turn, pos, role, text) of a typed frame, by the mapping its schema's fingerprint selects.
 
-    Raises ``ValueError`` for an unknown layout, naming its paths.
+    A frame with other columns beside a layout's is read by the layout with the most paths among those it
+    holds. Raises ``ValueError`` for an unknown layout, naming its paths.
     """
     record = [c for c in df.columns if c not in (key, order)]
     paths = field_paths(df.select(*record).schema)
     mapping = registry.get(fingerprint(paths))
+    if mapping is None:
+        mapping = max((m for m in registry.values() if set(m.paths) <= set(paths)), key=lambda m: len(m.paths), default=None)
     if mapping is None:
         raise ValueError(f"no mapping for the layout {sorted(paths)}")
     turns = df.select(F.col(key), (F.col(order) if order else F.lit(0)).cast("long").alias("turn"), F.explode(_turn_array(mapping, lambda p: F.col(p))).alias("t"))

@@ -7,6 +7,8 @@ selected), and an empty table gives an empty result with the same schema.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: Text handled at once inside a task, so that numpy's temporaries stay small whatever a batch holds.
 SLICE_BYTES = 1 << 20
-#: Rows of whole texts that Spark hands to Python at once.
-BATCH_ROWS = 1000
+#: Rows of whole texts, and bytes of them, that Spark hands to Python at once (a row is never cut).
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only when the session names none."""
+    """The folder that driver and executors share; in local mode, where the session names none, a new one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         where = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
@@ -46,12 +50,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Holds the session's Arrow batches to ``BATCH_ROWS`` rows: texts are long, and the default of 10,000
-    of them (or of pairs of them) is more than a worker should hold."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if not 0 < now <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Holds the session's Arrow batches to ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes: texts are long, and
+    the default is more than a worker should hold. Spark reads both settings when a lazy result runs, so they
+    stay set; smaller ones are left alone."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def crc_mod(key: Column, modulus: int) -> Column:
@@ -94,6 +100,23 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives freed memory back: workers live on, and the next task may be another's."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _POWERS.clear()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 def map_texts(docs: DataFrame, schema: str, build: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch]], limit: int = SLICE_BYTES) -> DataFrame:
     """Applies ``build()``'s function to bounded slices of the rows of ``docs``, inside the scan's own tasks.
 
@@ -110,7 +133,7 @@ def map_texts(docs: DataFrame, schema: str, build: Callable[[], Callable[[pa.Rec
                 else:
                     yield from out
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 # --- hashing of words, vectorised over all texts of a slice -----------------------------------

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents_only, mix64, table, text_slices
+from .common import documents_only, mix64, table, text_slices, tidy
 
 WINDOW, POPULAR, USUAL = 32, 8, 690
 #: A text of fewer bytes than SHORT gives all its windows of SHORT_WINDOW bytes: selection would leave too few.
@@ -222,7 +222,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     dealt = with_next(docs)
     width = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = dealt.repartition(width, "part").sortWithinPartitions(F.asc("part"), F.asc("last"), F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text")), "text")
-    return ordered.mapInArrow(run, RESULT)
+    return ordered.mapInArrow(tidy(run), RESULT)
 
 
 def _finished(rows: list[tuple]) -> Iterator[pa.RecordBatch]:

@@ -24,8 +24,8 @@ from .common import documents_only, map_texts, table
 from .sampling import held_out, per_value_sample
 
 MAX_PIECE, BLOCK = 8, 24
-#: The training sample's bound: texts of each language, bytes of a text, languages.
-PER_LANGUAGE, MAX_BYTES, MAX_LANGUAGES = 400, 6000, 200
+#: The training sample's bound: texts of each language, and code points of one (longer texts in windows spread over them).
+PER_LANGUAGE, MAX_CHARS = 400, 4000
 ROUNDS = 4
 SLOTS = 22
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -206,7 +206,7 @@ def fit(docs: DataFrame, usable, path: str | None = None) -> LanguageModel:
         import public_tokenizers
 
         path = public_tokenizers.path("piece_bpe_32k.model")
-    return LanguageModel(path, per_value_sample(docs.select("doc_id", "text", "lang"), "lang", usable, PER_LANGUAGE, MAX_BYTES, MAX_LANGUAGES))
+    return LanguageModel(path, per_value_sample(docs.select("doc_id", "text", "lang"), "lang", usable, PER_LANGUAGE, MAX_CHARS))
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

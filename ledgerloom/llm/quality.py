@@ -1,15 +1,16 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-A symbol is a byte and its *recurrence* level: 0, or 1 or 2 when the last 4 or 8 bytes stand the same
-way a fixed lag (at most 32 bytes) before. Learned filters of width ``WIDTH`` slide over overlapping
-chunks that cover the whole document; each filter is max-pooled within a chunk, and the chunk maxima are
-combined by their mean and their maximum over the document into one probability.
+Learned filters of width ``WIDTH`` slide over the bytes of overlapping chunks that cover the whole document;
+each filter is max-pooled within a chunk, and the chunk maxima are combined by their mean and their maximum
+over the document into one probability. Responses are worked out for ``TOGETHER`` chunks at a time.
 
 Training works on a bounded labelled sample with Adam; the gradient of a max-pool goes to one place of
 each chunk only, so it is sparse.
 
 Defined cases: null and empty texts are one chunk of padding and get that chunk's score; without
-labels every score is 0.5; repeated rows get equal scores; texts of any length are read whole.
+labels every score is 0.5; repeated rows get equal scores; an empty table gives no rows; other columns are
+ignored (``accepted`` carries them along); texts of any length are read whole, in memory of about five bytes for
+each of theirs.
 """
 
 from __future__ import annotations
@@ -19,43 +20,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents_only, map_texts, raw_bytes, table, text_slices
+from .common import documents_only, map_texts, raw_bytes, table, text_slices, tidy
 from .sampling import held_out, labelled_sample
 
-FILTERS, WIDTH, SYMBOLS = 12, 5, 3 * 256
+FILTERS, WIDTH, SYMBOLS = 16, 5, 256
 CHUNK, STEP = 512, 480
-LAGS, GAP = range(2, 33), 40
-#: The training sample's bound: documents of each class, and bytes of a document.
-PER_CLASS, MAX_BYTES = (2000, 2000), 8000
+#: Chunks whose responses are held at once.
+TOGETHER = 256
+#: The training sample's bound: documents of each class, and code points of one (longer texts in windows spread over them).
+PER_CLASS, MAX_CHARS = (2000, 2000), 4000
 EPOCHS, BATCH, RATE = 6, 32, 0.01
 #: Small samples are gone through more often, so that there are at least so many updates.
 LEAST_UPDATES = 400
 
 
-def symbols(data: np.ndarray) -> np.ndarray:
-    """Byte plus 256 times its recurrence level."""
-    same = np.zeros(len(data), np.uint32)
-    for bit, lag in enumerate(LAGS):
-        if lag < len(data):
-            same[lag:] |= (data[lag:] == data[:-lag]).astype(np.uint32) << np.uint32(bit)
-    out = data.astype(np.int16)
-    run = same
-    for step in (1, 2, 4):
-        ahead = np.zeros_like(run)
-        ahead[step:] = run[:-step]
-        run = run & ahead
-        if step > 1:
-            out += np.where(run != 0, 256, 0).astype(np.int16)
-    return out
-
-
 def spread(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows with ``GAP`` zero bytes before each and behind the last, and where each begins, so that
-    neither a filter nor a lag reaches from one row into another."""
+    """The rows with ``WIDTH`` zero bytes before each and behind the last, and where each begins, so that
+    no filter reaches from one row into another."""
     rows = len(offsets) - 1
-    out = np.zeros(len(data) + (rows + 1) * GAP, np.uint8)
-    out[np.arange(len(data)) + GAP * (np.repeat(np.arange(rows), np.diff(offsets)) + 1)] = data
-    return out, offsets[:-1] + GAP * (np.arange(rows) + 1)
+    out = np.zeros(len(data) + (rows + 1) * WIDTH, np.uint8)
+    starts = offsets[:-1] + WIDTH * (np.arange(rows) + 1)
+    for a, b, at in zip(offsets[:-1].tolist(), offsets[1:].tolist(), starts.tolist(), strict=True):
+        out[at : at + b - a] = data[a:b]
+    return out, starts
 
 
 def chunks(starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,18 +64,21 @@ class Network:
 
     def pooled(self, sym: np.ndarray, begin: np.ndarray, end: np.ndarray, where: bool = False):
         """The largest response of each filter in each chunk, and where it was (responses begin inside the chunk)."""
-        n = len(sym)
-        act = self.table[0][sym]
-        for k in range(1, WIDTH):
-            act[: n - k] += self.table[k][sym[k:]]
-        act += self.bias
         out = np.zeros((len(begin), FILTERS), np.float32)
         at = np.zeros((len(begin), FILTERS), np.int64) if where else None
-        for c, (a, b) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
-            if b > a:
-                if where:
-                    at[c] = a + act[a:b].argmax(0)
-                out[c] = act[a:b].max(0)
+        for c in range(0, len(begin), TOGETHER):
+            low = int(begin[c])
+            # chunks come in order, and zero bytes follow the last
+            high = max(low + 1, int(end[c : c + TOGETHER].max()))
+            part = sym[low : high + WIDTH - 1]
+            act = self.table[0][part[: high - low]] + self.bias
+            for k in range(1, WIDTH):
+                act += self.table[k][part[k : k + high - low]]
+            for i, (a, b) in enumerate(zip((begin[c : c + TOGETHER] - low).tolist(), (end[c : c + TOGETHER] - low).tolist(), strict=True), c):
+                if b > a:
+                    if where:
+                        at[i] = low + a + act[a:b].argmax(0)
+                    out[i] = act[a:b].max(0)
         np.maximum(out, 0, out=out)
         return (out, at) if where else out
 
@@ -105,7 +95,7 @@ class Network:
             return np.zeros(0)
         wide, starts = spread(data, offsets)
         begin, end, row = chunks(starts, np.diff(offsets))
-        _, z = self.combine(self.pooled(symbols(wide), begin, end), row, rows)
+        _, z = self.combine(self.pooled(wide, begin, end), row, rows)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -128,9 +118,8 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Network:
             data = np.frombuffer(b"".join(raw[i] for i in pick), np.uint8)
             offsets = np.concatenate([[0], np.cumsum([len(raw[i]) for i in pick])])
             wide, starts = spread(data, offsets)
-            sym = symbols(wide)
             begin, end, row = chunks(starts, np.diff(offsets))
-            out, at = net.pooled(sym, begin, end, True)
+            out, at = net.pooled(wide, begin, end, True)
             both, z = net.combine(out, row, len(pick))
             error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[pick]) / len(pick)
             grads = [np.zeros_like(net.table), None, both.T @ error + 1e-4 * net.head, np.array([error.sum()])]
@@ -139,7 +128,7 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Network:
             back *= out > 0
             grads[1] = back.sum(0)
             for k in range(WIDTH):
-                np.add.at(grads[0][k], (sym[np.minimum(at + k, len(sym) - 1)], np.arange(FILTERS)[None, :]), back)
+                np.add.at(grads[0][k], (wide[np.minimum(at + k, len(wide) - 1)], np.arange(FILTERS)[None, :]), back)
             step += 1
             for p, g, m, v in zip(parts, grads, first, second, strict=True):
                 m *= 0.9
@@ -171,11 +160,11 @@ def accepted(docs: DataFrame, net: Network, threshold: float) -> DataFrame:
                 keep = net.scores(*raw_bytes(part.column("text").fill_null(""))) >= threshold
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: tuple[int, int] = PER_CLASS) -> Network:
-    sample = labelled_sample(docs, labels, label, ~held_out(5, 0), per_class, MAX_BYTES)
+    sample = labelled_sample(docs, labels, label, ~held_out(5, 0), per_class, MAX_CHARS)
     return train([t for t, _ in sample], [y for _, y in sample])
 
 

@@ -1,49 +1,75 @@
-"""Bounded samples of labelled documents, to fit the classifiers on the driver."""
+"""Bounded samples of labelled documents, to fit the classifiers on the driver.
+
+Rows are chosen by a hash, never by length; of a long text, ``WINDOWS`` windows spread evenly over it are
+taken, so a sample's size on the driver is bounded by its number of rows times ``chars``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod
 
+#: A text longer than the bound is read in so many windows.
+WINDOWS = 4
+#: Texts of all values of a column together, and values at most (more are an error, none is left out silently).
+ALL_VALUES, MOST_VALUES = 20_000, 1000
+#: Rows that the choice of ``per_value`` ones ranks exactly: so many times as many, by hash.
+SPARE = 20
+
+
+def windowed(text: Column, chars: int) -> Column:
+    """The text, or of a longer one than ``chars`` code points windows spread evenly from its first to its last, a line feed between."""
+    size, each = F.length(text), chars // WINDOWS
+    parts = [F.substring(text, F.floor((size - each) * k / (WINDOWS - 1)).cast("int") + 1, F.lit(each)) for k in range(WINDOWS)]
+    return F.when(size <= chars, text).otherwise(F.concat_ws("\n", *parts))
+
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: tuple[int, int], max_bytes: int) -> list[tuple[str, int]]:
-    """At most ``per_class`` documents of labels 0 and 1, chosen by hash order among the ``usable`` rows.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: tuple[int, int], chars: int) -> list[tuple[str, int]]:
+    """At most ``per_class`` documents of labels 0 and 1, in hash order among the ``usable`` rows that have both a text and a label.
 
-    Only documents of at most ``max_bytes`` bytes take part, so the sample's size is bounded. Rows
-    with a null id or label never do. Three times as many ids as wanted are looked up, for some are too long.
+    Rows with a null id, text or label never take part. Only ids are joined with all labels; the texts of
+    the chosen ids, of fixed number, are then looked up.
     """
-    rows = labels.where(F.col("doc_id").isNotNull() & usable).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    rows = labels.where(usable & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+    rows = rows.join(texts.select("doc_id"), "doc_id", "left_semi").distinct()
     order = F.xxhash64("doc_id", F.lit(11))
-    chosen = None
+    ids = []
     for y in (0, 1):
-        part = rows.where(F.col("y") == y).orderBy(order, "doc_id").limit(3 * per_class[y])
-        chosen = part if chosen is None else chosen.unionByName(part)
-    # at most three times per_class rows of two numbers: a bounded broadcast
-    ids = {(r["doc_id"], r["y"]) for r in chosen.collect()}
+        ids += [(r["doc_id"], y) for r in rows.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class[y]).collect()]
     if not ids:
         return []
-    small = docs.sparkSession.createDataFrame(sorted(ids), "doc_id long, y int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-    found = texts.join(F.broadcast(small), "doc_id")
+    # at most the sum of per_class rows of two numbers: a bounded broadcast
+    small = docs.sparkSession.createDataFrame(ids, "doc_id long, y int")
+    found = texts.join(F.broadcast(small), "doc_id").select("doc_id", "y", windowed(F.col("text"), chars).alias("text"))
     out: list[tuple[str, int]] = []
     for y in (0, 1):
         out += [(r["text"], y) for r in found.where(F.col("y") == y).orderBy(order, "doc_id", "text").limit(per_class[y]).collect()]
     return out
 
 
-def per_value_sample(docs: DataFrame, value: str, usable: Column, per_value: int, max_bytes: int, max_values: int) -> dict[str, list[str]]:
-    """About ``per_value`` texts for each of the ``max_values`` most frequent values of a column, chosen by a hash of the id."""
-    rows = docs.where(F.col(value).isNotNull() & F.col("text").isNotNull() & usable & (F.octet_length("text") <= max_bytes))
-    counts = {r[value]: r["count"] for r in rows.groupBy(value).count().orderBy(F.desc("count"), value).limit(max_values).collect()}
+def per_value_sample(docs: DataFrame, value: str, usable: Column, per_value: int, chars: int) -> dict[str, list[str]]:
+    """The ``per_value`` different texts of each value of a column that come first by hash (fewer where there are so many
+    values that all together would pass ``ALL_VALUES``). Every value is there, however frequent the others."""
+    rows = docs.where(F.col(value).isNotNull() & F.col("text").isNotNull() & usable)
+    counts = {r[value]: r["count"] for r in rows.groupBy(value).count().limit(MOST_VALUES + 1).collect()}
     if not counts:
         return {}
-    share = F.create_map(*(F.lit(x) for v, n in counts.items() for x in (v, min(1.0, per_value / n))))
-    uniform = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    found = rows.select(F.col(value).alias("v"), "text", uniform.alias("u")).where(F.col("u") < F.coalesce(share[F.col("v")], F.lit(0.0)))
+    if len(counts) > MOST_VALUES:
+        raise ValueError(f"more than {MOST_VALUES} values of {value}")
+    per_value = min(per_value, max(1, ALL_VALUES // len(counts)))
+    # the first by hash are among those below a share of the hash's range; rare values pass whole
+    share = F.create_map(*(F.lit(x) for v, n in counts.items() for x in (v, min(1.0, SPARE * per_value / n))))
+    keyed = rows.select(F.col(value).alias("v"), F.xxhash64("text").alias("h"), "text")
+    near = keyed.where(F.shiftrightunsigned("h", 33) / float(1 << 31) < share[F.col("v")])
+    few = near.select("v", "h").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("h"))).where(F.col("nth") <= per_value)
+    # at most ALL_VALUES rows of a value and a number
+    small = docs.sparkSession.createDataFrame([(r["v"], r["h"]) for r in few.collect()], "v string, h long")
+    texts = keyed.join(F.broadcast(small), ["v", "h"]).groupBy("v", "h").agg(F.first(windowed(F.col("text"), chars)).alias("text"))
     out: dict[str, list[str]] = {v: [] for v in counts}
-    for r in found.limit(2 * per_value * len(counts)).collect():
+    for r in texts.collect():
         out[r["v"]].append(r["text"])
     return {v: sorted(t) for v, t in out.items() if t}
 

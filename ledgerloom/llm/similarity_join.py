@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import LOWER, documents_only, map_texts, materialize, mix64, raw_bytes, shingle_hashes, table, text_slices, word_hashes, word_spans
+from .common import LOWER, documents_only, map_texts, materialize, mix64, raw_bytes, shingle_hashes, table, text_slices, tidy, word_hashes, word_spans
 from .graph import components
 
 SKETCH_BITS = 21
@@ -78,7 +78,7 @@ def sketch(rows: DataFrame, hashes, bits: int) -> np.ndarray:
                 np.add.at(total, (part >> np.uint64(64 - bits)).astype(np.int64), 1)
         yield from blocks.send(total)
 
-    return blocks.summed(rows.mapInArrow(count, blocks.PARTS), 1 << bits, True)
+    return blocks.summed(rows.mapInArrow(tidy(count), blocks.PARTS), 1 << bits, True)
 
 
 def order_ranks(docs: DataFrame, width: int, bits: int = SKETCH_BITS) -> tuple[np.ndarray, int]:
@@ -199,7 +199,7 @@ def bucket_pairs(rows: DataFrame, num: int, den: int, small: int = SMALL, level:
             yield from _bucket_batch(held, large, num, den, small, level)
 
     ordered = rows.select("key", "g", "n", "pos", "root").repartition(_width(rows), "key").sortWithinPartitions("key", "n", "g")
-    return ordered.mapInArrow(run, PAIRS)
+    return ordered.mapInArrow(tidy(run), PAIRS)
 
 
 def _width(df: DataFrame) -> int:
@@ -263,7 +263,7 @@ def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             yield out.filter(pa.array(keep, pa.bool_()))
 
     side = lambda k: sets.select(F.col("vid").alias(k), F.col("n").alias(f"n_{k}"), F.col("parity").alias(f"parity_{k}"))
-    held = pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(run, "u long, v long, near boolean")
+    held = pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(tidy(run), "u long, v long, near boolean")
     return held.groupBy("u", "v").agg(F.min("near").alias("near"))
 
 
@@ -287,7 +287,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int)
     left = texts.select(F.col("vid").alias("u"), F.col("text").alias("text_u"))
     right = texts.select(F.col("vid").alias("v"), F.col("text").alias("text_v"))
     # texts meet pair by pair: a leader's pairs are many rows with one key, which adaptive joins split
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v").mapInArrow(tidy(run), "u long, v long")
 
 
 def _candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def _candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array(hit)).select(["vid", "text"])
 
     keyed = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("vid"), "text", _place(F.col("doc_id")).alias("p"))
-    return keyed.mapInArrow(run, "vid long, text string").join(wanted, "vid", "left_semi")
+    return keyed.mapInArrow(tidy(run), "vid long, text string").join(wanted, "vid", "left_semi")
 
 
 def _place(key: Column) -> Column:

@@ -26,8 +26,8 @@ BUCKETS, DIM, SIZES = 1 << 18, 8, (3, 4, 5)
 WINDOW, STRIDE = 1024, 512
 #: Zero vectors that every average also holds, so that a handful of n-grams decides nothing alone.
 PRIOR = 200
-#: The training sample's bound: documents of each class, and bytes of a document.
-PER_CLASS, MAX_BYTES = (5000, 2500), 4000
+#: The training sample's bound: documents of each class, and code points of one (longer texts in windows spread over them).
+PER_CLASS, MAX_CHARS = (5000, 2500), 4000
 EPOCHS, BATCH, RATE = 6, 64, 0.5
 #: Small samples are gone through more often, so that there are at least so many updates.
 LEAST_UPDATES = 400
@@ -172,7 +172,7 @@ def toxicity(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tuple[int, int] = PER_CLASS) -> tuple[np.ndarray, float]:
-    sample = labelled_sample(docs, labels, label, ~held_out(5, 0), per_class, MAX_BYTES)
+    sample = labelled_sample(docs, labels, label, ~held_out(5, 0), per_class, MAX_CHARS)
     return train([t for t, _ in sample], [y for _, y in sample])
 
 

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import language, quality, toxicity
+from ledgerloom.llm import language, quality, sampling, toxicity
 from ledgerloom.llm.common import raw_bytes
 from tests.llm.brute import auc
 
@@ -102,3 +102,103 @@ def test_equal_texts_score_equally_beside_any_neighbour():
     t = toxicity.scores(*raw_bytes(texts), weights, 0.1)
     for s in (q, t):
         assert np.allclose(s[0], s[2]) and np.allclose(s[0], s[4])
+
+
+def long_rows(spark):
+    """Documents far over the sample's bound only; the first kind's words stand in every part of its texts."""
+    rows = [(i, ("river stone garden window " if i % 2 else "blorp zzyx qwrk vvmn ") * 4000, "en" if i % 2 else "xx") for i in range(60)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_long_documents_alone_train_the_classifiers(spark):
+    docs = long_rows(spark)
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) as quality", "int(doc_id % 2) as toxic")
+    for out in (quality.quality(docs, quality.fit(docs, labels)), toxicity.toxicity(docs, *toxicity.fit(docs, labels))):
+        assert all((r["score"] > 0.5) == (r["doc_id"] % 2 == 1) for r in out.collect())
+    found = language.identify(docs, language.fit(docs, F.lit(True))).collect()
+    assert all(r["lang_pred"] == ("en" if r["doc_id"] % 2 else "xx") for r in found)
+
+
+def test_labels_without_documents_do_not_shrink_the_sample(spark):
+    docs = long_rows(spark)
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) as quality").unionByName(spark.range(1000, 40_000).selectExpr("id as doc_id", "int(id % 2) as quality"))
+    sample = sampling.labelled_sample(docs, labels, "quality", F.lit(True), (10, 10), 2000)
+    assert sorted(y for _, y in sample) == [0] * 10 + [1] * 10
+    assert all(1900 <= len(t) <= 2003 for t, _ in sample)
+
+
+def test_a_rare_language_beside_a_very_frequent_one(spark):
+    many = spark.range(1_000_000).selectExpr("id as doc_id", "concat('the river and the stone number ', id) as text", "'en' as lang")
+    docs = many.unionByName(spark.createDataFrame([(-1, "qua vork nym zephil ostra", "xx")], "doc_id long, text string, lang string"))
+    sample = sampling.per_value_sample(docs, "lang", F.lit(True), 50, 1000)
+    assert len(sample["en"]) == 50 and sample["xx"] == ["qua vork nym zephil ostra"]
+    same = docs.withColumn("text", F.lit("one text for all"))
+    assert {k: len(v) for k, v in sampling.per_value_sample(same, "lang", F.lit(True), 50, 1000).items()} == {"en": 1, "xx": 1}
+
+
+def test_quality_score_by_plain_loops():
+    rng = np.random.default_rng(2)
+    net = quality.Network(5)
+    net.bias = rng.normal(0, 0.1, quality.FILTERS).astype(np.float32)
+    texts = ["", "short", "a longer text with words. " * 90, "\u00fcber " * 40]
+    found = net.scores(*raw_bytes(pa.array(texts)))
+    for text, score in zip(texts, found):
+        raw = text.encode() + b"\0" * quality.WIDTH
+        n, maxima = len(text.encode()), []
+        for a in range(0, max(1, n - quality.CHUNK + quality.STEP), quality.STEP):
+            best = np.zeros(quality.FILTERS)
+            for i in range(a, min(a + quality.CHUNK, n)):
+                best = np.maximum(best, net.bias + sum(net.table[k][raw[i + k]] for k in range(quality.WIDTH)))
+            maxima.append(best)
+        z = np.concatenate([np.mean(maxima, 0), np.max(maxima, 0)]) @ net.head + net.shift[0]
+        assert np.isclose(score, 1 / (1 + np.exp(-z)), atol=1e-5)
+
+
+def test_toxicity_score_by_plain_loops():
+    weights = np.random.default_rng(3).normal(size=toxicity.BUCKETS).astype(np.float32) * 20
+
+    def bucket(gram):
+        h = len(gram) * 0x9E3779B1 & 0xFFFFFFFF
+        for c in gram:
+            h = (h ^ c) * 16777619 & 0xFFFFFFFF
+        h ^= h >> 15
+        return (h * 0x85EBCA6B & 0xFFFFFFFF) >> 14
+
+    for text in ("Hello hello world, x", "", "caf\u00e9 au lait " * 150):
+        x = bytes(int(toxicity.FOLD[c]) for c in b"\n" + text.encode() + b"\n")
+        # a word that repeats the one before it adds nothing
+        repeated, last, at = set(), None, 0
+        for word in x.split(b" "):
+            if word and word == last:
+                repeated.update(range(at, at + len(word)))
+            last = word or last
+            at += len(word) + 1
+        grams = {}
+        for n in toxicity.SIZES:
+            for i in range(len(x) - n + 1):
+                if x[i + 1] != 32 and i + 1 not in repeated and 32 not in x[i + 2 : i + n - 1]:
+                    grams.setdefault(i, []).append(weights[bucket(x[i : i + n])])
+        size, best = len(x) - 2, []
+        for a in range(0, max(1, size - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+            own = [w for i, ws in grams.items() if a <= i < min(a + toxicity.WINDOW + 1, size + 1) for w in ws]
+            best.append(sum(own) / (len(own) + toxicity.PRIOR) + 0.3)
+        score = toxicity.scores(*raw_bytes(pa.array([text])), weights, 0.3)[0]
+        assert np.isclose(score, 1 / (1 + np.exp(-max(best))), atol=1e-4)
+
+
+def test_language_score_by_plain_sums(spark):
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("the river runs by the town", "en"), ("der Fluss fliesst an der Stadt", "de")])], "doc_id long, text string, lang string")
+    model = language.fit(docs, F.lit(True))
+    known = {p: i for i, p in enumerate(language.vocabulary(model.path))}
+    text = "The town, der Fluss"
+
+    def total(word, column):
+        sums = [1.0]
+        for end in range(1, len(word) + 1):
+            sums.append(sum(sums[a] * model.probability[known.get(word[a:end], len(known) if end == a + 1 else -1), column] for a in range(end) if word[a:end] in known or end == a + 1))
+        return sums[-1]
+
+    logs = [sum(np.log(total(w, c)) for w in ("the", "town", "der", "fluss")) for c in range(2)]
+    lang, score = model.predict(pa.array([text]))
+    assert lang[0] == model.languages[int(np.argmax(logs))]
+    assert np.isclose(score[0], 1 / (1 + np.exp(min(logs) - max(logs))))
