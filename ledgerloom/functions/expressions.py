@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,29 +58,3 @@ def uniform(seed: int, salt: str, key: Column) -> Column:
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(salt), key.cast("string")).cast("binary"))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
 
-
-def normal(seed: int, salt: str, key: Column) -> Column:
-    """A standard normal number from two uniform ones (Box-Muller)."""
-    u, v = uniform(seed, salt + "/r", key), uniform(seed, salt + "/a", key)
-    return F.sqrt(-2.0 * F.log(1.0 - u)) * F.cos(2 * math.pi * v)
-
-
-def normal_cdf(z: Column) -> Column:
-    """The standard normal distribution function, to seven digits (a published polynomial approximation)."""
-    a = F.abs(z)
-    t = 1.0 / (1.0 + 0.2316419 * a)
-    poly = F.lit(0.0)
-    for b in (1.330274429, -1.821255978, 1.781477937, -0.356563782, 0.319381530):
-        poly = (poly + b) * t
-    tail = F.exp(-a * a / 2.0) / math.sqrt(2 * math.pi) * poly
-    return F.when(z >= 0, 1.0 - tail).otherwise(tail)
-
-
-def weighted_choice(u: Column, weights: dict[str, float]) -> Column:
-    """The value whose share of [0, 1) holds ``u``."""
-    total, at, out = sum(weights.values()), 0.0, None
-    names = list(weights)
-    for name in names[:-1]:
-        at += weights[name] / total
-        out = F.when(u < at, F.lit(name)) if out is None else out.when(u < at, F.lit(name))
-    return F.lit(names[-1]) if out is None else out.otherwise(F.lit(names[-1]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.schema import FACT, STATES, TYPES
+from ..sources.schema import FACT, STATES, SUMMARY, TYPES
 from .summary import control_totals
 
 
@@ -34,7 +34,7 @@ def constraint_report(fact: DataFrame) -> DataFrame:
 def reconcile(evaluated_fact: DataFrame, staged_summary: DataFrame) -> tuple:
     """The totals, if the staged summary's total row equals those of the source to the cent."""
     expected = tuple(control_totals(evaluated_fact).first())
-    rows = staged_summary.where(F.col("tipo_transaccion").isNull()).drop("tipo_transaccion").collect()
+    rows = staged_summary.where(F.col("tipo_transaccion").isNull()).select(*SUMMARY.names[1:]).collect()
     actual = tuple(rows[0]) if len(rows) == 1 else None
     if actual != expected:
         raise ReconciliationError(f"expected {expected}, staged {actual}")
@@ -57,11 +57,15 @@ def head_sample(raw: DataFrame, rows: int = 5) -> DataFrame:
     return raw.orderBy(F.asc_nulls_last("id")).limit(rows)
 
 
-def describe(df: DataFrame) -> DataFrame:
-    """posicion, columna, tipo, admite_nulos and no_nulos (values that are not null) of every column."""
+def describe(df: DataFrame, declared=None) -> DataFrame:
+    """posicion, columna, tipo, admite_nulos and no_nulos (values that are not null) of every column.
+
+    ``declared``, a schema, says which columns may hold nulls; a file's own schema does not.
+    """
     fields = df.schema.fields
+    may = {f.name: f.nullable for f in fields} | {f.name: f.nullable for f in declared or []}
     counts = df.agg(*(F.count(F.col(f.name)).alias(f"c{i}") for i, f in enumerate(fields)))
-    rows = [F.struct(F.lit(i + 1).alias("posicion"), F.lit(f.name).alias("columna"), F.lit(f.dataType.simpleString()).alias("tipo"), F.lit(f.nullable).alias("admite_nulos"), F.col(f"c{i}").alias("no_nulos")) for i, f in enumerate(fields)]
+    rows = [F.struct(F.lit(i + 1).alias("posicion"), F.lit(f.name).alias("columna"), F.lit(f.dataType.simpleString()).alias("tipo"), F.lit(may[f.name]).alias("admite_nulos"), F.col(f"c{i}").alias("no_nulos")) for i, f in enumerate(fields)]
     return counts.select(F.inline(F.array(*rows)))
 
 

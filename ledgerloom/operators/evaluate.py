@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import net_amount, normal_state, normal_type, rejection_reason
 from ..sources.schema import FACT, RAW
 
-#: Rows with a null id are spread over so many window partitions; their order decides nothing.
-NULL_ID_PARTS = 4096
-
 
 def normalize(raw: DataFrame) -> DataFrame:
     return raw.withColumns({"tipo_transaccion": normal_type(F.col("tipo_transaccion")), "estado": normal_state(F.col("estado"))})
@@ -21,19 +18,31 @@ def with_input_order(files: DataFrame) -> DataFrame:
     return files.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-def first_occurrence(order: list[str]) -> Column:
-    """Whether a row is the first of its id in input order."""
-    spread = F.when(F.col("id").isNull(), F.pmod(F.xxhash64(*order), F.lit(NULL_ID_PARTS)))
-    return F.row_number().over(Window.partitionBy("id", spread).orderBy(*order)) == 1
+def repeated_ids(rows: DataFrame, order: list[str]) -> DataFrame:
+    """__id, __least: the ids that come again and the first place of each, by partial minima over narrow columns."""
+    found = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("__rows"), F.min(F.struct(*order)).alias("__least"))
+    return found.where("__rows > 1").select(F.col("id").alias("__id"), "__least")
+
+
+def mark_first(rows: DataFrame, order: list[str], again: DataFrame | None = None) -> DataFrame:
+    """Adds ``__first``: whether a row is the first of its id in input order.
+
+    Only the repeated ids meet the rows in a join, so an id that is sent a billion times sits in no task.
+    ``again`` may hold ``repeated_ids`` read back from a file: Spark then knows its size, and moves no row where
+    it is small. Rows with a null id are first; nothing depends on it.
+    """
+    again = repeated_ids(rows, order) if again is None else again
+    marked = rows.join(again, rows["id"] == again["__id"], "left")
+    return marked.withColumn("__first", F.col("__least").isNull() | (F.struct(*order) == F.col("__least"))).drop("__id", "__least")
 
 
-def evaluate(raw: DataFrame, order: list[str]) -> DataFrame:
+def evaluate(raw: DataFrame, order: list[str], again: DataFrame | None = None) -> DataFrame:
     """The normalised rows with ``motivo_rechazo``; ``order`` names the columns that give input order.
 
     Duplicates are judged before validity: of several rows with an id only the first can be accepted,
-    and if it is invalid all are rejected.
+    and if it is invalid all are rejected. ``again``: see ``mark_first``.
     """
-    rows = normalize(raw).withColumn("__first", first_occurrence(order))
+    rows = mark_first(normalize(raw), order, again)
     return rows.withColumn("motivo_rechazo", rejection_reason(F.col("__first"))).drop("__first")
 
 

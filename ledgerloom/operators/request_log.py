@@ -2,34 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PERCENTILES = {"p50": 0.5, "p66": 0.66, "p75": 0.75, "p80": 0.8, "p90": 0.9, "p95": 0.95, "p98": 0.98, "p99": 0.99, "p99_9": 0.999, "p99_99": 0.9999, "p100": 1.0}
 
 
-def request_log_report(log: DataFrame, accuracy: int | None = None) -> DataFrame:
+#: Exact ranks are counted within buckets of latencies that differ by a factor of 2 ** (1 / BUCKETS) at most.
+BUCKETS = 64
+
+
+def request_log_report(log: DataFrame) -> DataFrame:
     """``log``: name, latency, size, failed, at. One row by name and one of all (name null).
 
-    Percentiles are exact by default; with ``accuracy`` they are approximate in bounded memory, which
-    is the form for logs of which one name holds billions of rows.
+    Percentiles are exact. Rows are first counted by name and latency; ranks are prefix sums over buckets of
+    latencies plus those within a bucket, so no task holds the latencies of a name.
     """
-    if accuracy is None:
-        quantile = lambda p: F.percentile("latency", F.lit(p))
-    else:
-        quantile = lambda p: F.percentile_approx("latency", F.lit(p), accuracy).cast("double")
     seconds = (F.unix_micros(F.max("at").cast("timestamp")) - F.unix_micros(F.min("at").cast("timestamp"))) / 1e6
-    return log.rollup("name").agg(
+    base = log.rollup("name").agg(
+        F.grouping("name").cast("int").alias("every"),
         F.count("*").alias("requests"),
         F.count_if("failed").alias("failures"),
-        quantile(0.5).alias("median"),
         F.avg("latency").alias("mean"),
         F.min("latency").alias("min"),
         F.max("latency").alias("max"),
         F.avg("size").alias("mean_size"),
         F.round(F.when(seconds > 0, F.count("*") / seconds), 6).alias("rps"),
-        *(quantile(p).alias(name) for name, p in PERCENTILES.items()),
     )
+    at = exact_quantiles(log, {"median": 0.5} | PERCENTILES)
+    joined = base.join(at, (base["every"] == at["__every"]) & base["name"].eqNullSafe(at["__name"]), "left")
+    return joined.select("name", "requests", "failures", "median", "mean", "min", "max", "mean_size", "rps", *PERCENTILES)
+
+
+def exact_quantiles(log: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """__every, __name and a column for each share: the latencies' interpolated quantiles by name (every 0) and of all (every 1)."""
+    v = F.col("latency").cast("double")
+    counts = log.where(v.isNotNull()).groupBy(F.lit(0).alias("every"), "name", v.alias("v")).agg(F.count("*").alias("c"))
+    counts = counts.unionByName(counts.groupBy("v").agg(F.sum("c").alias("c")).select(F.lit(1).alias("every"), F.lit(None).cast("string").alias("name"), "v", "c"))
+    # grows with the latency; equal for latencies that lie close together
+    size = F.floor(F.log2(F.abs("v")) * BUCKETS) + 100_000
+    counts = counts.withColumn("bucket", F.when(F.col("v") > 0, size).when(F.col("v") < 0, -size).otherwise(F.lit(0)))
+    by = counts.groupBy("every", "name", "bucket").agg(F.sum("c").alias("held"))
+    whole = Window.partitionBy("every", "name")
+    begins = by.select(F.col("every").alias("e"), F.col("name").alias("m"), F.col("bucket").alias("b"), (F.sum("held").over(whole.orderBy("bucket")) - F.col("held")).alias("begin"), F.sum("held").over(whole).alias("n"))
+    inside = F.sum("c").over(Window.partitionBy("every", "name", "bucket").orderBy("v")) - F.col("c")
+    met = counts.withColumn("inside", inside).join(begins, (F.col("every") == F.col("e")) & F.col("name").eqNullSafe(F.col("m")) & (F.col("bucket") == F.col("b")))
+    rank = F.col("begin") + F.col("inside")
+    out = []
+    for name, share in shares.items():
+        place = (F.col("n") - 1) * F.lit(share)
+        of = lambda r, alias: F.max(F.when((rank <= r) & (r < rank + F.col("c")), F.col("v"))).alias(alias)
+        out += [of(F.floor(place), f"{name}_low"), of(F.ceil(place), f"{name}_high")]
+    found = met.groupBy("every", "name").agg(F.first("n").alias("n"), *out)
+
+    def between(name: str, share: float):
+        place = (F.col("n") - 1) * F.lit(share)
+        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
+        return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high).alias(name)
+
+    return found.select(F.col("every").alias("__every"), F.col("name").alias("__name"), *(between(*s) for s in shares.items()))
 
 
 def request_log_series(log: DataFrame, width: str = "10 minutes", step: str = "5 minutes") -> DataFrame:

@@ -7,22 +7,25 @@ from pyspark.sql import functions as F
 
 #: Bounds and defaults of requests.
 MOST_USER, MOST_LIMIT, DEFAULT_LIMIT, MOST_OFFSET = 2_147_483_647, 1000, 100, 2_147_483_647
+#: Groups that one user's rows are dealt over before they are ranked.
+SALTS = 64
 PAGE = ("id", "fecha", "monto", "monto_neto", "tipo_transaccion", "estado")
 JSON_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def summary_document(summary: DataFrame) -> DataFrame:
-    """The total and the list of types as one row; an error where the total row is missing."""
+    """The total and the list of types as one row, and as JSON text; an error where the total row is missing.
+
+    A stored summary's ``actualizado_en`` comes along.
+    """
     kind = F.col("tipo_transaccion")
-    entry = F.struct(kind.alias("tipo_transaccion"), "total_transacciones", F.col("monto_total").cast("double").alias("monto_total"), F.col("monto_neto_total").cast("double").alias("monto_neto_total"))
-    total = lambda c: F.max(F.when(kind.isNull(), F.col(c)))
-    out = summary.agg(
-        total("total_transacciones").alias("total_transacciones"),
-        total("monto_total").cast("double").alias("monto_total"),
-        total("monto_neto_total").cast("double").alias("monto_neto_total"),
-        F.sort_array(F.collect_list(F.when(kind.isNotNull(), entry))).alias("por_tipo"),
-    )
-    return out.withColumn("total_transacciones", F.coalesce("total_transacciones", F.raise_error(F.lit("the summary has no total row")).cast("bigint")))
+    sums = ("total_transacciones", "monto_total", "monto_neto_total")
+    entry = F.struct(kind.alias("tipo_transaccion"), *sums)
+    total = lambda c: F.max(F.when(kind.isNull(), F.col(c))).alias(c)
+    made = ["actualizado_en"] if "actualizado_en" in summary.columns else []
+    out = summary.agg(*(total(c) for c in (*sums, *made)), F.sort_array(F.collect_list(F.when(kind.isNotNull(), entry))).alias("por_tipo"))
+    out = out.withColumn("total_transacciones", F.coalesce("total_transacciones", F.raise_error(F.lit("the summary has no total row")).cast("bigint")))
+    return out.withColumn("documento", F.to_json(F.struct(*sums, *made, "por_tipo"), JSON_TIME))
 
 
 def history_page(fact: DataFrame, user: int, limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
@@ -50,18 +53,18 @@ def parse_requests(requests: DataFrame) -> DataFrame:
     )
 
 
-def history_rows(fact: DataFrame, requests: DataFrame, most: int | None = None) -> DataFrame:
+def history_rows(fact: DataFrame, requests: DataFrame) -> DataFrame:
     """request_id, rn and the page's columns for each row of each valid request's page.
 
-    Requested users' rows are ranked once; ``most`` (the largest offset + limit) lets Spark prune ranks
-    early. It is looked up where it is not given: one number from the requests.
+    A user's rows are ranked as far as that user's own requests reach. They are dealt over ``SALTS`` groups,
+    each of which keeps its newest rows; only those meet in the user's ranking.
     """
     valid = parse_requests(requests).where("valid")
-    if most is None:
-        most = valid.agg(F.max(F.col("limit").cast("long") + F.col("offset"))).first()[0] or 0
-    asked = fact.join(valid.select("usuario_id").distinct(), "usuario_id", "left_semi")
-    newest = Window.partitionBy("usuario_id").orderBy(F.desc("fecha"), F.desc("id"))
-    ranked = asked.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= most)
+    reach = valid.groupBy("usuario_id").agg(F.max(F.col("limit").cast("long") + F.col("offset")).alias("__most"))
+    asked = fact.join(reach, "usuario_id").withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    newest = (F.desc("fecha"), F.desc("id"))
+    near = asked.withColumn("rn", F.row_number().over(Window.partitionBy("usuario_id", "__salt").orderBy(*newest))).where("rn <= __most")
+    ranked = near.withColumn("rn", F.row_number().over(Window.partitionBy("usuario_id").orderBy(*newest))).where("rn <= __most")
     r, t = valid.alias("r"), ranked.alias("t")
     inside = (F.col("r.usuario_id") == F.col("t.usuario_id")) & (F.col("t.rn") > F.col("r.offset")) & (F.col("t.rn") <= F.col("r.offset").cast("long") + F.col("r.limit"))
     return r.join(t, inside).select("r.request_id", "r.usuario_id", "t.rn", *(f"t.{c}" for c in PAGE))

@@ -6,12 +6,13 @@ import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import audit, evaluate, summary
+from ..operators import audit, evaluate
 from ..sources.schema import FACT, REJECT
-from ..sources.store import Store, write_clustered
+from ..sources.store import Store, write_clustered, write_metrics, write_summary
 
 
 def together(spark: SparkSession, *jobs: Callable[[], object]) -> list:
@@ -29,24 +30,28 @@ class LoadResult:
     totals: tuple
     report: dict
     seconds: dict[str, float] = field(default_factory=dict)
+    metrics: dict = field(default_factory=dict)
 
 
 def load(store: Store, raw: DataFrame, order: list[str]) -> LoadResult:
     """Publishes a raw batch as the store's next version, all or nothing.
 
     The evaluated rows are written once (accepted rows with their net amount), so neither the split nor
-    the totals repeat the shuffle by id. Rejects are written even if no row is accepted, in the staging
-    folder; readers see nothing of a load that fails.
+    the totals repeat the search for repeated ids. Rejects are written even if no row is accepted, in the staging
+    folder; readers see nothing of a load that fails. The version holds a metrics document: rows, rejects by
+    reason, seconds by phase, rows a second and the audited totals (to the moment of publication).
     """
     spark, seconds, staged = store.spark, {}, store.stage()
-    began = time.time()
+    began = started = time.time()
 
     def took(step: str) -> None:
         nonlocal began
         seconds[step] = round(time.time() - began, 3)
         began = time.time()
 
-    rows = evaluate.evaluate(raw, order)
+    evaluate.repeated_ids(raw, order).write.parquet(staged + "/again")
+    took("repeated ids")
+    rows = evaluate.evaluate(raw, order, spark.read.parquet(staged + "/again"))
     ok = rows["motivo_rechazo"].isNull()
     rows.withColumn("monto_neto", evaluate.net_amount(rows["monto"], rows["tipo_transaccion"], ok)).select(*FACT.names, "motivo_rechazo").write.option("compression", "zstd").parquet(staged + "/evaluated")
     evaluated = spark.read.parquet(staged + "/evaluated")
@@ -64,15 +69,29 @@ def load(store: Store, raw: DataFrame, order: list[str]) -> LoadResult:
     written = spark.read.schema(FACT).parquet(staged + "/fact")
 
     def summarised() -> tuple:
-        summary.type_summary(written).coalesce(1).write.parquet(staged + "/summary")
+        write_summary(written, staged)
         return audit.reconcile(fact, spark.read.parquet(staged + "/summary"))
 
     totals, broken = together(spark, summarised, lambda: audit.constraint_report(written).where("violaciones > 0").collect())
     if broken:
         raise audit.ReconciliationError(f"constraints violated: {broken}")
     took("audit")
-    fs, at = store._fs(staged + "/evaluated")
-    fs.delete(at, True)
+    total = time.time() - started
+    metrics = {
+        "filas_leidas": report["filas_leidas"],
+        "filas_cargadas": report["filas_aceptadas"],
+        "filas_rechazadas": report["filas_rechazadas"],
+        "rechazos_por_motivo": {k: int(n) for k, n in (x.split("=") for x in report["por_motivo"].split(",") if x)},
+        "tiempos_s": dict(seconds),
+        "total_s": round(total, 3),
+        "total_filas_por_segundo": round(report["filas_leidas"] / max(total, 1e-3)),
+        "auditoria": dict(zip(("total_transacciones", "monto_total", "monto_neto_total"), map(str, totals), strict=True)),
+        "escrito_en": datetime.now(timezone.utc).isoformat(),
+    }
+    write_metrics(spark, metrics, staged)
+    for scratch in ("/evaluated", "/again"):
+        fs, at = store._fs(staged + scratch)
+        fs.delete(at, True)
     version = store.publish(staged)
     took("publish")
-    return LoadResult(version, totals, report, seconds)
+    return LoadResult(version, totals, report, seconds, metrics)

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.expressions import uniform
 from ..operators import audit, request_log, serving, summary
 from ..operators.evaluate import accepted, evaluate, normalize, rejected
-from ..sources import synth
 from ..sources.fixtures import ODD_REQUESTS, raw_transactions, requests, table
 from ..sources.schema import DEFAULT_STATE, FACT, RATES, RAW, REASONS, STATES, TYPES
 from ..sources.store import Store, write_version
@@ -33,7 +32,11 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared_root(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
     return f"{where}/store-{uuid.uuid4().hex}"
 
 
@@ -72,12 +75,8 @@ def summary_by_type(spark, sf_dir):
     return summary.ordered_summary(summary.type_summary(fact(spark, sf_dir)))
 
 
-def summary_empty_input(spark, sf_dir):
-    return summary.type_summary(fact(spark, sf_dir).where(F.lit(False)))
-
-
 def summary_document(spark, sf_dir):
-    return serving.summary_document(summary.type_summary(fact(spark, sf_dir)))
+    return serving.summary_document(summary.type_summary(fact(spark, sf_dir))).select("documento")
 
 
 def user_history_page(spark, sf_dir):
@@ -129,7 +128,7 @@ def reconciliation(spark, sf_dir):
     staged = shared_root(spark)
     write_version(rows, rejected(evaluated(spark, sf_dir)).withColumn("fecha", F.col("fecha").cast("timestamp")), staged)
     audit.reconcile(rows, spark.read.parquet(staged + "/summary"))
-    return spark.read.parquet(staged + "/summary").where("tipo_transaccion is null").drop("tipo_transaccion")
+    return spark.read.parquet(staged + "/summary").where("tipo_transaccion is null").drop("tipo_transaccion", "actualizado_en")
 
 
 def published_snapshot(spark, sf_dir):
@@ -137,24 +136,6 @@ def published_snapshot(spark, sf_dir):
     return published(spark, sf_dir).fact().withColumn("fecha", F.col("fecha").cast("timestamp_ntz"))
 
 
-def empty_store_summary(spark, sf_dir):
-    """The summary of a store that was just set up, counted against the orders still to be loaded."""
-    store = Store(spark, shared_root(spark))
-    store.init()
-    waiting = table(spark, sf_dir, "orders").agg(F.count("*").alias("pendientes"))
-    return store.summary().join(F.broadcast(waiting))
-
-
-def synthetic_batch(spark, sf_dir):
-    """A synthetic batch with as many rows as there are orders, and customers as users."""
-    rows, users = table(spark, sf_dir, "orders").count(), max(1, table(spark, sf_dir, "customer").count())
-    return synth.inject_defects(synth.generate(spark, rows, users))
-
-
-def synthetic_profile(spark, sf_dir):
-    return audit.run_report(evaluate(synthetic_batch(spark, sf_dir), ["seq", "id"]))
-
-
 def synthetic_uniforms(spark, sf_dir):
     """The reproducible random numbers by order, in whole 32-bit steps."""
     k = F.col("o_orderkey")
@@ -162,7 +143,7 @@ def synthetic_uniforms(spark, sf_dir):
 
 
 def schema_description(spark, sf_dir):
-    return audit.describe(fact(spark, sf_dir)).select("posicion", "columna", "tipo", "no_nulos")
+    return audit.describe(fact(spark, sf_dir), FACT)
 
 
 def _log(spark, sf_dir):
@@ -185,9 +166,9 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         normalized_transactions, rejection_reasons, accepted_transactions, rejected_transactions, reject_counts, control_totals,
-        summary_by_type, summary_empty_input, summary_document, user_history_page, history_batch, history_page_counts, request_status,
+        summary_by_type, summary_document, user_history_page, history_batch, history_page_counts, request_status,
         history_json, busiest_user, constraint_report, source_profile, source_head, summary_consistency, reconciliation, published_snapshot,
-        empty_store_summary, synthetic_batch, synthetic_profile, synthetic_uniforms, schema_description, request_log_report, request_log_series, run_report,
+        synthetic_uniforms, schema_description, request_log_report, request_log_series, run_report,
     )
 }
 
@@ -239,6 +220,7 @@ _EVALUATED_SQL = f"""{_NORMAL_SQL}, numbered AS (
   FROM evaluated WHERE motivo_rechazo IS NULL
 )"""
 
+_SUM_JSON = "'\"total_transacciones\":' || total_transacciones || ',\"monto_total\":' || monto_total || ',\"monto_neto_total\":' || monto_neto_total"
 _SUMS = "count(*) AS total_transacciones, coalesce(sum(monto), 0)::DECIMAL(20,2) AS monto_total, coalesce(sum(monto_neto), 0)::DECIMAL(20,2) AS monto_neto_total"
 
 _REQUESTS_SQL = f"""asked AS (
@@ -281,7 +263,8 @@ ORACLE: dict[str, str] = {
     "reject_counts": f"WITH {_EVALUATED_SQL} SELECT motivo_rechazo, count(*) AS filas FROM evaluated WHERE motivo_rechazo IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1",
     "control_totals": f"WITH {_EVALUATED_SQL} SELECT {_SUMS} FROM fact",
     "summary_by_type": f"WITH {_EVALUATED_SQL} SELECT tipo_transaccion, {_SUMS} FROM fact GROUP BY ROLLUP (tipo_transaccion) ORDER BY tipo_transaccion NULLS FIRST",
-    "summary_empty_input": f"WITH {_EVALUATED_SQL} SELECT tipo_transaccion, {_SUMS} FROM (SELECT * FROM fact WHERE false) GROUP BY ROLLUP (tipo_transaccion)",
+    "summary_document": f"WITH {_EVALUATED_SQL}, s AS (SELECT tipo_transaccion, {_SUMS} FROM fact GROUP BY ROLLUP (tipo_transaccion)) SELECT '{{' || max({_SUM_JSON}) FILTER (tipo_transaccion IS NULL) || ',\"por_tipo\":[' || coalesce(string_agg('{{\"tipo_transaccion\":\"' || tipo_transaccion || '\",' || {_SUM_JSON} || '}}', ',' ORDER BY tipo_transaccion) FILTER (tipo_transaccion IS NOT NULL), '') || ']}}' AS documento FROM s",
+    "history_json": f"WITH {_EVALUATED_SQL}, {_REQUESTS_SQL}, rows AS (SELECT request_id, string_agg('{{\"id\":' || id || ',\"fecha\":\"' || strftime(fecha, '%Y-%m-%dT%H:%M:%S.%f') || '\",\"monto\":' || monto || ',\"monto_neto\":' || monto_neto || ',\"tipo_transaccion\":\"' || tipo_transaccion || '\",\"estado\":\"' || estado || '\"}}', ',' ORDER BY rn) AS filas, count(*) AS n FROM pages GROUP BY 1) SELECT p.request_id, '{{\"usuario_id\":' || p.usuario_id || ',\"cantidad\":' || coalesce(n, 0) || ',\"limit\":' || lim || ',\"offset\":' || off || ',\"transacciones\":[' || coalesce(filas, '') || ']}}' AS documento FROM parsed p LEFT JOIN rows r ON r.request_id = p.request_id WHERE p.valid",
     "user_history_page": f"WITH {_EVALUATED_SQL} SELECT {', '.join(serving.PAGE)} FROM fact WHERE usuario_id = {PAGE_USER} ORDER BY fecha DESC, id DESC LIMIT {PAGE_LIMIT} OFFSET {PAGE_OFFSET}",
     "history_batch": f"WITH {_EVALUATED_SQL}, {_REQUESTS_SQL} SELECT request_id, usuario_id, rn, {', '.join(serving.PAGE)} FROM pages",
     "history_page_counts": f"WITH {_EVALUATED_SQL}, {_REQUESTS_SQL} SELECT request_id, cantidad FROM sizes WHERE valid",
@@ -297,10 +280,9 @@ ORACLE: dict[str, str] = {
     + ", bool_and(monto_neto_total <= monto_total) AS neto_no_excede FROM s",
     "reconciliation": f"WITH {_EVALUATED_SQL} SELECT {_SUMS} FROM fact",
     "published_snapshot": f"WITH {_EVALUATED_SQL} SELECT * FROM fact",
-    "empty_store_summary": "SELECT NULL::VARCHAR AS tipo_transaccion, 0::BIGINT AS total_transacciones, 0::DECIMAL(20,2) AS monto_total, 0::DECIMAL(20,2) AS monto_neto_total, count(*) AS pendientes FROM orders",
     "synthetic_uniforms": "SELECT o_orderkey AS clave, ('0x' || substr(md5('42:type:' || o_orderkey), 1, 8))::BIGINT AS tipo_u, ('0x' || substr(md5('42:state:' || o_orderkey), 1, 8))::BIGINT / 4294967296.0 < 0.9 AS completada FROM orders",
     "schema_description": f"WITH {_EVALUATED_SQL} "
-    + " UNION ALL ".join(f"SELECT {i + 1} AS posicion, '{f.name}' AS columna, '{'timestamp_ntz' if f.name == 'fecha' else f.dataType.simpleString()}' AS tipo, count({f.name}) AS no_nulos FROM fact" for i, f in enumerate(FACT.fields)),
+    + " UNION ALL ".join(f"SELECT {i + 1} AS posicion, '{f.name}' AS columna, '{'timestamp_ntz' if f.name == 'fecha' else f.dataType.simpleString()}' AS tipo, false AS admite_nulos, count({f.name}) AS no_nulos FROM fact" for i, f in enumerate(FACT.fields)),
     "request_log_report": f"SELECT event_type AS name, {_LOG_AGG} FROM events GROUP BY ROLLUP (event_type)",
     "request_log_series": "SELECT date_trunc('hour', ts) AS desde, date_trunc('hour', ts) + INTERVAL 1 HOUR AS hasta, count(*) AS requests, count(*) FILTER (event_type = 'error') AS failures, max(value) AS max_latency FROM events GROUP BY 1, 2",
     "run_report": f"WITH {_EVALUATED_SQL} {_REPORT_SQL}",

@@ -52,7 +52,7 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """History requests as text: one for each customer, by modular arithmetic, and ten fixed odd ones."""
+    """History requests as text: one for each customer, by modular arithmetic, and some odd ones."""
     k = F.col("c_custkey")
     made = table(spark, sf_dir, "customer").select(
         k.alias("request_id"),
@@ -64,16 +64,18 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.unionByName(odd)
 
 
-#: request_id, usuario_id, limit, offset.
+#: Bounds just passed and just kept, text that is no number, and nothing at all: request_id, usuario_id, limit, offset.
 ODD_REQUESTS = [
-    (-1, "2000000000", None, None),
-    (-2, "0", None, None),
-    (-3, "abc", None, None),
-    (-4, "99999999999", None, None),
-    (-5, "1", "0", None),
-    (-6, "1", "1001", None),
-    (-7, "1", None, "-1"),
-    (-8, "1", None, "99999999999999999999"),
-    (-9, "2", "10", "100000"),
-    (-10, None, None, None),
+    (-1, "2147483647", "1000", "0"),
+    (-2, "2147483648", "7", None),
+    (-3, "4", "1000", "2147483647"),
+    (-4, "4", "7", "2147483648"),
+    (-5, "-4", None, None),
+    (-6, "4 4", None, None),
+    (-7, "4", "7 rows", None),
+    (-8, "4", "1001", "1"),
+    (-9, "4", "", "2"),
+    (-10, "5", "4", "50000"),
+    (-11, None, "4", "4"),
+    (-12, "88888888888888888888888888888888888888888888", None, None),
 ]

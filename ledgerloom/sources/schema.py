@@ -21,13 +21,13 @@ RAW = T.StructType(
 )
 FACT = T.StructType(
     [
-        T.StructField("id", T.LongType()),
-        T.StructField("fecha", T.TimestampType()),
-        T.StructField("usuario_id", T.IntegerType()),
-        T.StructField("monto", MONEY),
-        T.StructField("monto_neto", MONEY),
-        T.StructField("tipo_transaccion", T.StringType()),
-        T.StructField("estado", T.StringType()),
+        T.StructField("id", T.LongType(), False),
+        T.StructField("fecha", T.TimestampType(), False),
+        T.StructField("usuario_id", T.IntegerType(), False),
+        T.StructField("monto", MONEY, False),
+        T.StructField("monto_neto", MONEY, False),
+        T.StructField("tipo_transaccion", T.StringType(), False),
+        T.StructField("estado", T.StringType(), False),
     ]
 )
 REJECT = T.StructType([*RAW.fields, T.StructField("motivo_rechazo", T.StringType())])
@@ -39,6 +39,8 @@ SUMMARY = T.StructType(
         T.StructField("monto_neto_total", TOTAL),
     ]
 )
+#: As it is stored, with the time it was made at.
+STORED_SUMMARY = T.StructType([*SUMMARY.fields, T.StructField("actualizado_en", T.TimestampType())])
 #: Requests arrive as text, so that out-of-range values can be told apart.
 REQUEST = T.StructType([T.StructField("request_id", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("usuario_id", "limit", "offset"))])
 

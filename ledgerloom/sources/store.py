@@ -1,12 +1,13 @@
 """A store of published versions: data are staged, audited, moved, and made current by one pointer file.
 
 Layout below the root: ``staging/<load>/``, ``versions/<load>/{fact,summary,rejects}`` and ``CURRENT``, which
-names the live version. Readers resolve the pointer once, so fact and summary always belong together.
+names the live version; a loaded version has its ``metrics``, one JSON document, as well. Readers resolve the pointer once, so fact and summary always belong together.
 All file operations go through Hadoop's file system API, so the root may lie in any store Spark can write.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import summary as summaries
-from .schema import FACT, REJECT, SUMMARY
+from .schema import FACT, REJECT, STORED_SUMMARY
 
 
 @dataclass
@@ -37,14 +38,25 @@ class Store:
             return None
         return self.path("versions", self.spark.read.text(self.path("CURRENT")).first()[0])
 
+    def live(self) -> str:
+        """The live version's path; an error before the first publication."""
+        path = self.current()
+        if path is None:
+            raise LookupError(f"nothing was published in {self.root} yet; init() publishes an empty version")
+        return path
+
     def fact(self) -> DataFrame:
-        return self.spark.read.schema(FACT).parquet(self.current() + "/fact")
+        return self.spark.read.schema(FACT).parquet(self.live() + "/fact")
 
     def summary(self) -> DataFrame:
-        return self.spark.read.schema(SUMMARY).parquet(self.current() + "/summary")
+        return self.spark.read.schema(STORED_SUMMARY).parquet(self.live() + "/summary")
 
     def rejects(self) -> DataFrame:
-        return self.spark.read.schema(REJECT).parquet(self.current() + "/rejects")
+        return self.spark.read.schema(REJECT).parquet(self.live() + "/rejects")
+
+    def metrics(self) -> dict:
+        """The metrics document of the load that made the live version."""
+        return json.loads(self.spark.read.text(self.live() + "/metrics").first()[0])
 
     def stage(self) -> str:
         """A fresh staging folder's path."""
@@ -99,7 +111,12 @@ def write_version(fact: DataFrame, rejects: DataFrame, staged: str) -> None:
     write_clustered(fact, staged + "/fact")
     rejects.write.option("compression", "zstd").mode("overwrite").parquet(staged + "/rejects")
     written = fact.sparkSession.read.schema(FACT).parquet(staged + "/fact")
-    summaries.type_summary(written).coalesce(1).write.mode("overwrite").parquet(staged + "/summary")
+    write_summary(written, staged)
+
+
+def write_summary(fact: DataFrame, staged: str) -> None:
+    """The summary with the time it was made at."""
+    summaries.type_summary(fact).withColumn("actualizado_en", F.current_timestamp()).coalesce(1).write.mode("overwrite").parquet(staged + "/summary")
 
 
 def write_csv(fact: DataFrame, path: str, rows_per_file: int = 50_000) -> None:
@@ -115,6 +132,6 @@ def read_batch(spark: SparkSession, path: str) -> DataFrame:
     return with_input_order(spark.read.schema(RAW).parquet(path))
 
 
-def metrics_json(report: DataFrame, path: str) -> None:
-    """A run report as one JSON document."""
-    report.withColumn("escrito_en", F.current_timestamp()).coalesce(1).write.mode("overwrite").json(path)
+def write_metrics(spark: SparkSession, metrics: dict, staged: str) -> None:
+    """A load's metrics as one JSON document."""
+    spark.createDataFrame([(json.dumps(metrics, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(staged + "/metrics")

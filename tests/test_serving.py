@@ -3,26 +3,31 @@ from decimal import Decimal as D
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from ledgerloom.operators import serving
 from ledgerloom.operators.summary import type_summary
 from ledgerloom.plans.queries import fact
 from ledgerloom.sources.schema import FACT
 
+#: usuario_id, limit, offset, status: a known user's pages, then each field just inside and just outside its bounds.
 CASES = [
-    ("8", "1000", None, 200),
-    ("8", "5", "5", 200),
-    ("2000000000", None, None, 404),
-    ("0", None, None, 422),
-    ("abc", None, None, 422),
-    ("99999999999", None, None, 422),
-    ("1", "0", None, 422),
-    ("1", "1001", None, 422),
-    ("1", None, "-1", 422),
-    ("1", None, "99999999999999999999", 422),
-    ("8", "10", "100000", 200),
-    ("1.5", None, None, 422),
-    (None, None, None, 422),
-    ("9" * 60, None, None, 422),
+    ("14", "3", None, 200),
+    ("14", "2", "1", 200),
+    (" 14 ", None, "0", 200),
+    ("14", "1000", "2147483647", 200),
+    ("2147483647", None, None, 404),
+    ("2147483647", None, "3", 200),
+    ("2147483648", None, None, 422),
+    ("-14", None, None, 422),
+    ("1e1", None, None, 422),
+    ("14", "1001", "0", 422),
+    ("14", "-3", None, 422),
+    ("14", "2.0", None, 422),
+    ("14", "3", "2147483648", 422),
+    ("14", "", None, 422),
+    (None, "3", "3", 422),
+    ("7" * 45, None, None, 422),
 ]
 
 
@@ -41,20 +46,35 @@ def test_statuses(spark, rows):
 
 
 def test_pages_are_parts_of_longer_pages(spark, rows):
-    ten = serving.history_page(rows, 8, 10).collect()
-    assert serving.history_page(rows, 8, 5, 5).collect() == ten[5:10]
-    assert ten == sorted(ten, key=lambda r: (r["fecha"], r["id"]), reverse=True)
-    batch = serving.history_rows(rows, asked(spark, [("8", "10", None), ("8", "5", "5")])).collect()
-    for request, want in ((0, ten), (1, ten[5:10])):
+    user = rows.groupBy("usuario_id").count().orderBy(F.desc("count")).first()["usuario_id"]
+    whole = serving.history_page(rows, user, 1000).collect()
+    assert whole == sorted(whole, key=lambda r: (r["fecha"], r["id"]), reverse=True)
+    cuts = [(limit, offset) for limit in (1, 4, 9) for offset in (0, 2, 5)]
+    batch = serving.history_rows(rows, asked(spark, [(str(user), str(n), str(k)) for n, k in cuts])).collect()
+    for request, (n, k) in enumerate(cuts):
+        assert serving.history_page(rows, user, n, k).collect() == whole[k : k + n]
         got = [tuple(r)[3:] for r in sorted(batch, key=lambda r: r["rn"]) if r["request_id"] == request]
-        assert got == [tuple(r) for r in want]
+        assert got == [tuple(r) for r in whole[k : k + n]]
+
+
+def test_a_very_active_user_is_ranked_in_groups(spark):
+    """One user holds nearly all rows; another's far offset does not widen what is ranked for the first."""
+    many = spark.range(40_000).selectExpr("id", "timestamp '2024-01-01' + make_interval(0,0,0,0,0,0,id % 977) as fecha", "int(if(id < 39000, 6, 9)) as usuario_id", "cast(1 as decimal(14,2)) as monto", "cast(1 as decimal(14,2)) as monto_neto", "'RETIRO' as tipo_transaccion", "'FALLIDA' as estado")
+    found = serving.history_rows(many, asked(spark, [("6", "5", "3"), ("9", "2", "900"), ("9", "7", "2147483000")]))
+    want = [r["id"] for r in many.where("usuario_id = 6").orderBy(F.desc("fecha"), F.desc("id")).limit(8).collect()[3:]]
+    got = sorted(found.collect(), key=lambda r: (r["request_id"], r["rn"]))
+    assert [r["id"] for r in got if r["request_id"] == 0] == want and [r["rn"] for r in got if r["request_id"] == 1] == [901, 902]
+    assert not [r for r in got if r["request_id"] == 2]
+
 
+def test_plans_of_the_registered_queries(spark, small):
+    from ledgerloom.plans.queries import QUERIES
 
-def test_plans(spark, rows, small):
-    page = serving.history_page(fact(spark, small), 8, 10, 2)._jdf.queryExecution().executedPlan().toString()
+    page = QUERIES["user_history_page"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in page
-    batch = serving.history_rows(fact(spark, small), asked(spark, [("8", "5", "5")]))._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in batch
+    batch = QUERIES["history_batch"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    # ranked by user and group first, cut at the user's own reach, then by user
+    assert "usuario_id" in batch and "__salt" in batch and batch.count("(rn") >= 2 and "__most" in batch
 
 
 def test_documents(spark, rows):
@@ -63,12 +83,16 @@ def test_documents(spark, rows):
     page = json.loads(out[1]["documento"], parse_float=D)
     assert list(page) == ["usuario_id", "cantidad", "limit", "offset", "transacciones"] and page["cantidad"] == len(page["transacciones"])
     assert list(page["transacciones"][0]) == list(serving.PAGE)
-    assert json.loads(out[10]["documento"])["transacciones"] == []
+    assert json.loads(out[3]["documento"])["transacciones"] == []
     assert all(0 <= t["monto_neto"] <= t["monto"] and -t["monto"].as_tuple().exponent == 2 for t in page["transacciones"])
 
 
 def test_summary_document(spark, rows):
     doc = serving.summary_document(type_summary(rows)).first()
+    text = json.loads(doc["documento"], parse_float=D)
+    assert text["monto_total"] == doc["monto_total"] and [t["tipo_transaccion"] for t in text["por_tipo"]] == [t["tipo_transaccion"] for t in doc["por_tipo"]]
+    stamped = serving.summary_document(type_summary(rows).withColumn("actualizado_en", F.lit("2024-05-06 07:08:09").cast("timestamp"))).first()
+    assert json.loads(stamped["documento"])["actualizado_en"].startswith("2024-05-06T07:08:09")
     assert doc["total_transacciones"] == sum(t["total_transacciones"] for t in doc["por_tipo"]) == rows.count()
     assert [t["tipo_transaccion"] for t in doc["por_tipo"]] == sorted(t["tipo_transaccion"] for t in doc["por_tipo"])
     empty = serving.summary_document(type_summary(spark.createDataFrame([], FACT))).first()

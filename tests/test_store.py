@@ -24,15 +24,22 @@ GOOD = [(i, AT, i % 3, D("10.00"), "COMPRA", None) for i in range(1, 8)]
 def test_publish_and_read_back(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     assert store.current() is None
+    for read in (store.fact, store.summary, store.rejects):
+        with pytest.raises(LookupError, match="nothing was published"):
+            read()
     store.init()
     assert store.fact().count() == 0
-    assert [tuple(r) for r in store.summary().collect()] == [(None, 0, D("0.00"), D("0.00"))]
+    assert [tuple(r)[:4] for r in store.summary().collect()] == [(None, 0, D("0.00"), D("0.00"))]
+    assert store.summary().where("actualizado_en is null").count() == 0
     first = store.current()
     assert store.init() == first
     result = load(store, raw(spark, GOOD + GOOD[:2]), ["place"])
     assert store.current() == result.version != first
     assert result.report["filas_leidas"] == 9 and result.report["por_motivo"] == "duplicado=2"
     assert store.fact().count() == 7 and store.rejects().count() == 2
+    doc = store.metrics()
+    assert doc == result.metrics and (doc["filas_leidas"], doc["filas_cargadas"], doc["rechazos_por_motivo"]) == (9, 7, {"duplicado": 2})
+    assert doc["auditoria"]["monto_neto_total"] == "58.80" and doc["total_filas_por_segundo"] > 0 and set(doc["tiempos_s"]) == {"repeated ids", "evaluate", "write", "audit"}
     assert result.totals == (7, D("70.00"), D("58.80"))
     assert spark.read.parquet(first + "/fact").count() == 0  # the old version is still whole
     assert store.init(reset=True) == store.current() != result.version
@@ -86,14 +93,14 @@ def test_files_keep_input_order_and_prune_by_user(spark, tmp_path):
     assert spark.read.csv(f"{tmp_path}/csv").count() == 7
 
 
-def test_stream_of_batches(spark, tmp_path):
-    from ledgerloom.streaming.incremental import stream_batches
 
-    landing, table, point = (f"{tmp_path}/{x}" for x in ("landing", "table", "check"))
-    raw(spark, GOOD).select(*RAW.names).coalesce(1).write.parquet(landing)
-    stream_batches(spark, landing, table, point)
-    raw(spark, [*GOOD[:3], (100, AT, 1, D("1.00"), "RETIRO", None)]).select(*RAW.names).coalesce(1).write.mode("append").parquet(landing)
-    stream_batches(spark, landing, table, point)
-    out = spark.read.parquet(table)
-    assert out.count() == 11
-    assert out.where("motivo_rechazo = 'duplicado'").count() == 3 and out.where("motivo_rechazo is null").count() == 8
+def test_an_empty_selection_of_the_tables_has_a_total(spark, small):
+    from ledgerloom.plans.queries import fact
+
+    nothing = fact(spark, small).where("monto > 99999999999")
+    assert [tuple(r) for r in type_summary(nothing).collect()] == [(None, 0, D("0.00"), D("0.00"))]
+
+
+def test_declared_columns_hold_no_nulls(spark):
+    described = audit.describe(accepted(evaluate(raw(spark, GOOD), ["place"])), FACT).collect()
+    assert [r["columna"] for r in described] == FACT.names and not any(r["admite_nulos"] for r in described)
