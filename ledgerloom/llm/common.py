@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once inside a task, so that numpy's temporaries stay small whatever a batch holds.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Rows of whole texts, and bytes of them, that Spark hands to Python at once (a row is never cut).
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 

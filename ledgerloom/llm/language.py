@@ -5,11 +5,14 @@ the sum over all its segmentations into pieces, by the forward algorithm; a text
 words. The piece probabilities are fitted by expectation maximisation (forward and backward sums) on a
 bounded sample for each language.
 
-Words are lower-cased runs between ASCII white space with ASCII punctuation and digits cut off; a word of
-over ``BLOCK`` characters is read in blocks of that size. Each distinct word of a slice is scored once.
+Words are lower-cased runs between ASCII white space with ASCII punctuation and digits cut off. Each distinct
+word of a slice is scored once. A word of over ``BLOCK`` characters is scored in blocks of that size, all at once,
+as linear maps of the forward state at a block's begin (all pieces that cross it included) to that at its end;
+only for the fit are such words cut.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without training rows all
-texts are ``und``; ties go to the language that sorts first; repeated rows get equal results.
+texts are ``und``; ties go to the language that sorts first; repeated rows get equal results; an empty table
+gives no rows; other columns are ignored. More than 1,000 languages are an error.
 """
 
 from __future__ import annotations
@@ -23,27 +26,30 @@ from pyspark.sql import functions as F
 from .common import documents_only, map_texts, table
 from .sampling import held_out, per_value_sample
 
-MAX_PIECE, BLOCK = 8, 24
+BLOCK = 24
 #: The training sample's bound: texts of each language, and code points of one (longer texts in windows spread over them).
 PER_LANGUAGE, MAX_CHARS = 400, 4000
 ROUNDS = 4
-SLOTS = 22
+SLOTS, SLOTS_LEFT = 22, 16
+#: Blocks of a long word that are worked out at once.
+TOGETHER = 128
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 NOT_WORD = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LETTER = r"\pL"
 
 
 class Pieces:
-    """Finds the vocabulary piece of any run of characters: a hash table with one piece for each slot.
-
-    Where two pieces meet in a slot the one with the lower id stays (about 4 in 1,000 go). Characters are
-    always pieces: those outside the vocabulary share one unknown piece.
+    """Finds the vocabulary piece of any run of characters: a hash table with one piece for each slot, and a
+    second one, by other bits of the hash, for the pieces whose slot is taken. Characters are always
+    pieces: those outside the vocabulary share one unknown piece.
     """
 
     def __init__(self, pieces: list[str]):
         self.keys = np.zeros(1 << SLOTS, np.uint64)
         self.ids = np.full(1 << SLOTS, -1, np.int32)
         self.size, self.unknown = len(pieces) + 1, len(pieces)
+        self.longest = max(map(len, pieces), default=1)
+        left: list[tuple[int, np.uint64]] = []
         for i, p in enumerate(pieces):
             h = np.uint64(0)
             for c in p:
@@ -51,6 +57,21 @@ class Pieces:
             at = int(h >> np.uint64(64 - SLOTS))
             if self.ids[at] < 0:
                 self.ids[at], self.keys[at] = i, h
+            else:
+                left.append((i, h))
+        # the first bits by which the pieces left over all have slots of their own
+        for self.shift in range(0, 64 - SLOTS):
+            slots = [self._second(h) for _, h in left]
+            if len(set(slots)) == len(slots):
+                break
+        else:
+            raise ValueError("the vocabulary's pieces do not fit into two tables")
+        self.more_keys, self.more_ids = np.zeros(1 << SLOTS_LEFT, np.uint64), np.full(1 << SLOTS_LEFT, -1, np.int32)
+        for at, (i, h) in zip(slots, left, strict=True):
+            self.more_keys[at], self.more_ids[at] = h, i
+
+    def _second(self, h):
+        return (h >> np.uint64(self.shift)).astype(np.int64) & ((1 << SLOTS_LEFT) - 1)
 
     @staticmethod
     def extend(h, c):
@@ -60,19 +81,20 @@ class Pieces:
     def of(self, chars: np.ndarray) -> np.ndarray:
         """chars: words x length. Returns ids (length of piece - 1, words, start), -1 where there is none."""
         words, length = chars.shape
-        out = np.full((min(MAX_PIECE, length), words, length), -1, np.int32)
+        out = np.full((min(self.longest, length), words, length), -1, np.int32)
         h = np.zeros((words, length), np.uint64)
         for n in range(out.shape[0]):
             m = length - n
             h = self.extend(h[:, :m], chars[:, n:])
             at = (h >> np.uint64(64 - SLOTS)).astype(np.int64)
-            out[n, :, :m] = np.where(self.keys[at] == h, self.ids[at], -1)
+            more = self._second(h)
+            out[n, :, :m] = np.where(self.keys[at] == h, self.ids[at], np.where(self.more_keys[more] == h, self.more_ids[more], -1))
         out[0][out[0] < 0] = self.unknown
         return out
 
 
 def vocabulary(path: str) -> list[str]:
-    """The lower-case pieces of a sentencepiece vocabulary, word marks removed, of at most MAX_PIECE characters."""
+    """The lower-case pieces of a sentencepiece vocabulary, word marks removed."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -80,7 +102,7 @@ def vocabulary(path: str) -> list[str]:
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
             piece = model.id_to_piece(i).replace("▁", "").lower()
-            if 0 < len(piece) <= MAX_PIECE:
+            if piece:
                 found[piece] = None
     return list(found)
 
@@ -112,6 +134,39 @@ def forward(ids: np.ndarray, probability: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def log_long(pieces: Pieces, word: str, probability: np.ndarray) -> np.ndarray:
+    """log of the sum over all segmentations of a long word, for each language, block by block.
+
+    Within each block the forward recursion starts from every place that a piece can come from, for all
+    blocks at once; the blocks are then chained, rescaled so that nothing vanishes.
+    """
+    far, n, languages = pieces.longest, len(word), probability.shape[1]
+    number = -(-n // BLOCK)
+    chars = np.zeros(far - 1 + number * BLOCK, np.uint64)
+    chars[far - 1 : far - 1 + n] = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+    # state: the forward sums at the far places up to a block's begin
+    state, log = np.zeros((far, languages)), np.zeros(languages)
+    state[-1] = 1
+    for a in range(0, number, TOGETHER):
+        blocks = np.arange(a, min(number, a + TOGETHER))
+        ids = pieces.of(chars[blocks[:, None] * BLOCK + np.arange(far - 1 + BLOCK)])
+        alpha = np.zeros((far + BLOCK, len(blocks), far, languages))
+        alpha[np.arange(far), :, np.arange(far)] = 1
+        for end in range(far, far + BLOCK):
+            for k in range(1, len(ids) + 1):
+                piece = ids[k - 1, :, end - k]
+                some = np.flatnonzero(piece >= 0)
+                if len(some):
+                    alpha[end, some] += alpha[end - k, some] * probability[piece[some], None]
+        for i, block in enumerate(blocks.tolist()):
+            if block == number - 1:
+                return log + np.log((alpha[n - block * BLOCK + far - 1, i] * state).sum(0))
+            after = np.einsum("tpl,pl->tl", alpha[BLOCK:, i], state)
+            scale = after.max(0)
+            state, log = after / scale, log + np.log(scale)
+    return log
+
+
 def fit_pieces(pieces: Pieces, words: dict[str, int], rounds: int = ROUNDS) -> np.ndarray:
     """The piece probabilities of one language, by expectation maximisation over its distinct words."""
     p = np.full((pieces.size, 1), 1 / pieces.size)
@@ -160,7 +215,12 @@ class LanguageModel:
         if self.pieces is None:
             self.pieces = Pieces(vocabulary(self.path))
         out = np.zeros((len(words), len(self.languages)))
-        for chars, word in by_length(words) if words else ():
+        for i, w in enumerate(words):
+            if len(w) > BLOCK:
+                out[i] = log_long(self.pieces, w, self.probability)
+        short = [i for i, w in enumerate(words) if len(w) <= BLOCK]
+        for chars, word in by_length([words[i] for i in short]) if short else ():
+            word = np.array(short)[word]
             for a in range(0, len(word), 20_000):
                 alpha = forward(self.pieces.of(chars[a : a + 20_000]), self.probability)[-1]
                 np.add.at(out, word[a : a + 20_000], np.log(np.maximum(alpha, 1e-300)))

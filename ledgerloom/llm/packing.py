@@ -30,8 +30,8 @@ from .common import documents_only, materialize, table, text_slices, tidy
 SEQUENCE, END_ID = 2048, 1
 GROUP_DOCS = 16_384
 #: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 400_000
-TOKEN_SLICE = 4 << 20
+CACHE_WORDS = 200_000
+TOKEN_SLICE = 2 << 20
 
 #: Chunks made of these only are split into letter runs and other runs; the rest go to the tokenizer whole.
 PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-;=-@\[-`{-~]*$"

@@ -202,3 +202,32 @@ def test_language_score_by_plain_sums(spark):
     lang, score = model.predict(pa.array([text]))
     assert lang[0] == model.languages[int(np.argmax(logs))]
     assert np.isclose(score[0], 1 / (1 + np.exp(min(logs) - max(logs))))
+
+
+def test_long_words_sum_over_all_segmentations_too():
+    """Blocks of a long word, chained, against the plain recursion over the whole word."""
+    rng = np.random.default_rng(6)
+    names = sorted({"".join(rng.choice(list("abc"), rng.integers(1, 10))) for _ in range(120)} | {"a", "b", "c"})
+    pieces = language.Pieces(names)
+    p = rng.random((pieces.size, 2))
+    known = {x: i for i, x in enumerate(names)}
+    for n in (25, 48, 49, 700):
+        word = "".join(rng.choice(list("abcz"), n, p=[0.4, 0.3, 0.28, 0.02]))
+        sums, log = [np.ones(2)], 0.0
+        for end in range(1, n + 1):
+            total = sum(sums[end - k] * p[known.get(word[end - k : end], pieces.unknown)] for k in range(1, min(pieces.longest, end) + 1) if k == 1 or word[end - k : end] in known)
+            sums.append(total)
+            if end % 20 == 0:  # rescale what is still needed
+                scale = total.copy()
+                sums = [x / scale for x in sums]
+                log = log + np.log(scale)
+        assert np.allclose(language.log_long(pieces, word, p), log + np.log(sums[-1]))
+
+
+def test_every_piece_is_found():
+    rng = np.random.default_rng(7)
+    names = sorted({"".join(rng.choice(list("abcdefghij"), rng.integers(2, 14))) for _ in range(30_000)})
+    pieces = language.Pieces(names)
+    for i in rng.integers(0, len(names), 500).tolist() + list(pieces.more_ids[pieces.more_ids >= 0]):
+        chars = np.array([[ord(c) for c in names[i]]], np.uint64)
+        assert pieces.of(chars)[len(names[i]) - 1, 0, 0] == i
