@@ -30,7 +30,7 @@ from .common import documents_only, materialize, table, text_slices, tidy
 SEQUENCE, END_ID = 2048, 1
 GROUP_DOCS = 16_384
 #: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 TOKEN_SLICE = 2 << 20
 
 #: Chunks made of these only are split into letter runs and other runs; the rest go to the tokenizer whole.
@@ -104,7 +104,8 @@ class WordTokenizer:
         ends = parts.offsets.to_numpy()
         ends = np.concatenate([ends - ends[0], len(words) + np.arange(1, len(odd) + 1)]).astype(np.int64)
         chunk = np.where(plain, np.cumsum(plain) - 1, plain.sum() + np.cumsum(~plain) - 1)
-        pool, pool_at = np.array(self.pool, np.uint32), np.array(self.ends, np.int64)
+        # views, gone when this returns: the arrays may grow again
+        pool, pool_at = np.frombuffer(self.pool, np.uint32) if self.pool else np.zeros(0, np.uint32), np.frombuffer(self.ends, np.int64)
         ids, at = _gather(pool, pool_at, places, ends)
         return _gather(ids, at, chunk[codes], row_ends - row_ends[0])
 
@@ -112,7 +113,7 @@ class WordTokenizer:
 def _gather(pool: np.ndarray, pool_at: np.ndarray, items: np.ndarray, row_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Joins the pool's runs ``items`` in order; ``row_at`` groups the items, and so the ids, by row."""
     if not len(items):
-        return pool[:0], np.zeros(len(row_at), np.int64)
+        return pool[:0].copy(), np.zeros(len(row_at), np.int64)
     sizes = np.diff(pool_at)[items]
     ends = np.concatenate([[0], np.cumsum(sizes)])
     index = np.arange(ends[-1]) + np.repeat(pool_at[items] - ends[:-1], sizes)
