@@ -13,18 +13,22 @@ both chains is taken, weighted by features.
 
 Defined cases: a null text is empty; texts of under ``SHORT`` bytes give every window of ``SHORT_WINDOW``
 bytes, shorter ones one feature, the whole text (empty: an empty chain). Equal fingerprints have likeness 1, also two empty ones; an empty and a
-non-empty one 0. Rows that share a doc_id are ordered by text. A single document is its own next one.
+non-empty one 0. Rows that share a doc_id are ordered by the hash of their text; null ids come last of all. A single
+document is its own next one. A text is read whole: its features and one block of filters take memory in
+proportion to it, the comparison of two chains time in proportion to the product of their filters.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents_only, mix64, table, text_slices, tidy
@@ -34,6 +38,8 @@ WINDOW, POPULAR, USUAL = 32, 8, 690
 SHORT, SHORT_WINDOW = 160, 8
 FILTER_BITS, HASHES, PER_FILTER = 2048, 5, 160
 BLOCK = 1 << 15
+#: Filters of either chain that are compared at once.
+TILE = 256
 #: x log2 x for a count of x bytes in a window, in units of 1/1024, so that sums are exact.
 _XLOGX = np.array([0, *(round(1024 * x * np.log2(x)) for x in range(1, WINDOW + 1))], np.int32)
 _GAIN = np.diff(_XLOGX, prepend=0).astype(np.int32)
@@ -160,14 +166,23 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
         return float(len(a[0]) == len(b[0]))
     if a[0].shape == b[0].shape and np.array_equal(a[0], b[0]):
         return 1.0
-    s, t = np.unpackbits(a[0], axis=1).astype(np.float32), np.unpackbits(b[0], axis=1).astype(np.float32)
-    shared = s @ t.T
-    ones, others = s.sum(1)[:, None], t.sum(1)[None, :]
-    chance = ones * others / FILTER_BITS
-    score = np.clip((shared - chance) / np.maximum(1, np.minimum(ones, others) - chance), 0, 1)
-    return float(((score.max(1) * a[1]).sum() + (score.max(0) * b[1]).sum()) / (a[1].sum() + b[1].sum()))
-
-
+    best, best_other = np.zeros(len(a[0])), np.zeros(len(b[0]))
+    # blocks of filters, so that chains of very long texts need little memory
+    for i in range(0, len(a[0]), TILE):
+        s = np.unpackbits(a[0][i : i + TILE], axis=1).astype(np.float32)
+        for j in range(0, len(b[0]), TILE):
+            t = np.unpackbits(b[0][j : j + TILE], axis=1).astype(np.float32)
+            ones, others = s.sum(1)[:, None], t.sum(1)[None, :]
+            chance = ones * others / FILTER_BITS
+            score = np.clip((s @ t.T - chance) / np.maximum(1, np.minimum(ones, others) - chance), 0, 1)
+            best[i : i + TILE] = np.maximum(best[i : i + TILE], score.max(1))
+            best_other[j : j + TILE] = np.maximum(best_other[j : j + TILE], score.max(0))
+    return float(((best * a[1]).sum() + (best_other * b[1]).sum()) / (a[1].sum() + b[1].sum()))
+
+
+PLACE = "struct<absent: boolean, id: bigint, hash: bigint, row: bigint>"
+#: Rows sampled for each part.
+SAMPLED = 16
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -176,29 +191,60 @@ def edited(text: str, following: str) -> str:
     return (text[:-n] + following[:n]) if n else text
 
 
-def with_next(docs: DataFrame, rows_per_part: int = 1024, most_parts: int = 4096) -> DataFrame:
+def with_next(docs: DataFrame, rows_per_part: int = 1024, most_parts: int = 1 << 15) -> DataFrame:
     """Deals rows out in descending doc_id order, in parts that each also hold the row after their last.
 
-    Part bounds are quantiles of the ids; the first id of each part (one row a part) comes from an
-    aggregate over the ids alone, so texts are shuffled once. Null ids come last of all.
-    Columns: part, last (a copied row), doc_id, text.
+    A row's place is (null id last, doc_id descending, hash of the text, number of the row in the scan), so
+    no two rows share one, and null ids or one id repeated without end are split like any others. Part
+    bounds are places in a sample of about ``SAMPLED`` rows a part; the first place of each part (one row a part)
+    comes from an aggregate without texts, so texts are shuffled once. ``docs`` is scanned three times and
+    has to give its rows in the same order each time, as files do. Columns: part, last (a copied row), place, doc_id, text.
     """
-    parts = min(most_parts, max(1, -(-docs.count() // rows_per_part)))
-    cuts = docs.agg(F.percentile_approx("doc_id", F.lit([i / parts for i in range(1, parts)]), 10_000)).first()[0] if parts > 1 else []
-    cuts = sorted(set(cuts or []))
-    # part 0 holds the largest ids
-    above = F.size(F.filter(F.lit(cuts), lambda c: c > F.col("doc_id"))) if cuts else F.lit(0)
-    dealt = docs.withColumn("part", F.coalesce(above, F.lit(len(cuts))).cast("int"))
-    heads = {r["part"]: r["top"] for r in dealt.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}
-    order = sorted(heads)
+    total = docs.count()
+    parts = min(most_parts, max(1, -(-total // rows_per_part)))
+    absent = F.col("doc_id").isNull()
+    place = F.struct(
+        absent.alias("absent"),
+        F.when(absent, F.lit(0)).otherwise(F.bitwise_not("doc_id")).alias("id"),
+        F.xxhash64("text").alias("hash"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    placed = docs.withColumn("place", place)
+    cuts = _cuts(placed, parts, SAMPLED * parts / total) if parts > 1 else []
+    dealt = placed.withColumn("part", _part(cuts))
+    heads = sorted((r["part"], r["head"]) for r in dealt.groupBy("part").agg(F.min("place").alias("head")).collect())
     # the first row of a part is also dealt to the part before it, the very first row to the last part
-    rows = [(p, heads[p], order[i - 1]) for i, p in enumerate(order)]
-    first = docs.sparkSession.createDataFrame(rows, "part int, head_id long, before int")
+    rows = [(part, head, heads[i - 1][0]) for i, (part, head) in enumerate(heads)]
+    first = docs.sparkSession.createDataFrame(rows, f"part int, head {PLACE}, before int")
     own = F.struct(F.col("part").alias("part"), F.lit(False).alias("last"))
     copy = F.struct(F.col("before").alias("part"), F.lit(True).alias("last"))
-    is_head = F.col("doc_id").eqNullSafe(F.col("head_id"))
     dealt = dealt.join(F.broadcast(first), "part")
-    return dealt.select(F.explode(F.when(is_head, F.array(own, copy)).otherwise(F.array(own))).alias("p"), "doc_id", "text").select("p.part", "p.last", "doc_id", "text")
+    dealt = dealt.select(F.explode(F.when(F.col("place") == F.col("head"), F.array(own, copy)).otherwise(F.array(own))).alias("p"), "place", "doc_id", "text")
+    return dealt.select("p.part", "p.last", "place", "doc_id", "text")
+
+
+def _cuts(placed: DataFrame, parts: int, share: float) -> list[dict]:
+    """Places that part the rows about evenly, in order: every so-many-th place of a sample by hash of the row's number."""
+    chosen = F.pmod(F.xxhash64(F.col("place.row")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)
+    sample = placed.where(chosen).select("place.*").toArrow()
+    if not sample.num_rows:
+        return []
+    sample = sample.sort_by([(c, "ascending") for c in sample.column_names])
+    return sample.take(np.unique(np.arange(1, parts) * sample.num_rows // parts)).to_pylist()
+
+
+def _part(cuts: list[dict]) -> Column:
+    """How many of the cuts a row's place has reached: first among every ``step``-th, then among those between."""
+    if not cuts:
+        return F.lit(0)
+
+    def reached(some: Column) -> Column:
+        return F.size(F.filter(some, lambda c: c <= F.col("place")))
+
+    step = math.isqrt(len(cuts)) + 1
+    every, all_ = (F.from_json(F.lit(json.dumps(c)), f"array<{PLACE}>") for c in (cuts[step - 1 :: step], cuts))
+    coarse = reached(every) if len(cuts) >= step else F.lit(0)
+    return coarse * step + reached(F.slice(all_, coarse * step + 1, step - 1))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -211,9 +257,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for piece in text_slices(batch, limit=TOGETHER):
                 for part, last, key, text in zip(*(piece.column(c).to_pylist() for c in ("part", "last", "doc_id", "text")), strict=True):
-                    if not (last and rows and rows[-1][:2] == (part, True)):  # of several rows with the first id, one
-                        rows.append((part, last, key, text))
-                        held += len(text)
+                    rows.append((part, last, key, text))
+                    held += len(text)
                 if held >= TOGETHER:
                     yield from _finished(rows)
                     rows, held = rows[-1:], 0
@@ -221,8 +266,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     dealt = with_next(docs)
     width = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = dealt.repartition(width, "part").sortWithinPartitions(F.asc("part"), F.asc("last"), F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text")), "text")
-    return ordered.mapInArrow(tidy(run), RESULT)
+    ordered = dealt.repartition(width, "part").sortWithinPartitions("part", "last", "place")
+    return ordered.select("part", "last", "doc_id", "text").mapInArrow(tidy(run), RESULT)
 
 
 def _finished(rows: list[tuple]) -> Iterator[pa.RecordBatch]:

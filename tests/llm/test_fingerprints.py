@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import fingerprints as f
 
@@ -39,7 +40,7 @@ def test_texts_read_together_or_after_a_cut_are_as_alone(texts):
 
 @pytest.mark.parametrize("rows_per_part", [60, 100_000])
 def test_whole_table_against_a_loop(spark, docs, texts, rows_per_part, monkeypatch):
-    monkeypatch.setattr(f.with_next, "__defaults__", (rows_per_part, 4096))
+    monkeypatch.setattr(f.with_next, "__defaults__", (rows_per_part, 1 << 15))
     rows = {r["doc_id"]: r for r in f.fingerprints(docs.select("doc_id", "text")).collect()}
     assert len(rows) == len(texts)
     order = sorted(texts, reverse=True)
@@ -73,3 +74,30 @@ def test_odd_rows(odd, empty):
     assert f.fingerprints(documents_only(empty)).collect() == []
     one = f.fingerprints(documents_only(odd).where("doc_id = 8")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
+
+
+def test_hot_ids_are_split_and_nothing_is_lost(spark):
+    texts = [f"row {i} of a hot id, with some words to tell it apart {i * i}" for i in range(700)]
+    rows = [(None, t) for t in texts] + [(7, "the same text each time")] * 600 + [(7, t) for t in texts[:100]] + [(i, t) for i, t in enumerate(texts[:300], 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = [r["n"] for r in f.with_next(docs, 50).where("not last").groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == len(rows) and len(sizes) > 20 and max(sizes) < 200
+    few = {r["part"]: r["count"] for r in f.with_next(docs, 50).where("last").groupBy("part").count().collect()}
+    assert set(few.values()) == {1} and len(few) == len(sizes)
+    # ids in order, every row of a repeated text but its last followed by itself
+    out = f.fingerprints(docs)
+    assert out.count() == len(rows)
+    same = out.where("doc_id = 7 and n_chars = 23").groupBy("near_next").count().collect()
+    assert sum(r["count"] for r in same) == 600 and {r["near_next"]: r["count"] for r in same}[1.0] >= 599
+    by_id = {r["doc_id"]: r["edited_sha256"] for r in out.where("doc_id > 100").collect()}
+    for i in range(101, 400):
+        assert by_id[i] == hashlib.sha256(f.edited(texts[i - 100], texts[i - 101]).encode()).hexdigest()
+
+
+def test_long_chains_in_blocks(monkeypatch):
+    rng = np.random.default_rng(5)
+    a, b = (f.fingerprint(bytes(rng.integers(32, 120, 40_000).astype(np.uint8))) for _ in range(2))
+    c = (np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]))
+    want = f.likeness(a, c)
+    monkeypatch.setattr(f, "TILE", 7)
+    assert f.likeness(a, c) == pytest.approx(want) and want > 0.5
