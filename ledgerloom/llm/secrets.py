@@ -7,7 +7,8 @@ assigned to ``a``. A literal is scored by how sensitive its target's name is and
 looks; spans that reach the threshold have kind ``literal``.
 
 A constant holds the literals of its own line and points to the constants it was made from, and each is
-visited once for a weight, so long chains of constants cost no more than their lines.
+visited once for a weight, so long chains of constants cost no more than their lines. An escaped quote outside of
+a string begins none, so that a line of many is still read once.
 
 Defined cases: null or empty text gives no spans; repeated rows give repeated results; positions
 count code points; whole texts are read, however long; a text's result does not depend on its neighbours;
@@ -49,7 +50,7 @@ TOKEN = re.compile(
       |(?P<name>[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*)
       |(?P<bare>[A-Za-z0-9+/_=.-]+)
       |(?P<eol>[\n;,{}()])
-      |(?P<other>[^\s])""",
+      |(?P<other>\\.|[^\s])""",
     re.VERBOSE,
 )
 UNQUOTED = re.compile(r"[A-Za-z0-9+/_=.-]+")
@@ -142,7 +143,7 @@ def _read_line(text: str, start: int, end: int, constants: dict, found: set) ->
                 value.literals.append((m.start(), skip))
         elif kind in ("string", "bare", "name"):
             close()
-            target, op, values = (word.strip("\"'") if kind != "bare" else None), False, Constant()
+            target, op, value = (word.strip("\"'") if kind != "bare" else None), False, Constant()
         elif kind == "eol":
             close()
             target, op, value, wanted = None, False, Constant(), False

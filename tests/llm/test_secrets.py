@@ -77,3 +77,17 @@ def test_long_chains_of_constants():
     assert secrets.literal_spans(doubled) == {(6, 18)}
     assert len(secrets.literal_spans(grown)) == 4000
     assert time.time() - began < 2
+
+
+def test_a_long_line_of_escaped_quotes():
+    import time
+
+    line = r'\"name\": \"some value\", ' * 40_000
+    began = time.time()
+    assert secrets.literal_spans(line) == set()
+    assert time.time() - began < 5
+
+
+def test_escaped_quotes_around_a_literal():
+    text = r'api_key = \"q7w8e9r0t1y2\"'
+    assert {text[a:b] for a, b in secrets.literal_spans(text)} == {"q7w8e9r0t1y2"}
