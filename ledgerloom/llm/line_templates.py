@@ -163,3 +163,28 @@ def _dropped(found: pa.Array, rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(documents_only(table(spark, sf_dir, "documents")))
     return done.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: Templates as texts: the open segment (0: none), the token count, the leading tokens and those outside the segment.
+OP3_SQL = rf"""WITH pieces AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS piece FROM documents
+), line AS MATERIALIZED (
+  SELECT r, doc_id, nth, last, line || CASE WHEN nth < last THEN chr(10) ELSE '' END AS line,
+    [CASE WHEN regexp_matches(t, '[0-9]') THEN ' ' ELSE t END FOR t IN regexp_extract_all(line, '[^\x20\x09-\x0D]+')] AS tokens
+  FROM (SELECT r, doc_id, len(piece) AS last, unnest(piece) AS line, unnest(range(1, len(piece) + 1)) AS nth FROM pieces)
+  WHERE nth < last OR line <> ''
+), key AS MATERIALIZED (
+  SELECT r, doc_id, nth, n, concat_ws(' ', s, n) || chr(10) || array_to_string(list_concat(tokens[1:{LEADING}], tokens[1:lo], tokens[hi + 1:n]), chr(10)) AS key
+  FROM (SELECT *, CASE s WHEN 0 THEN n ELSE ((s - 1) * n + {SEGMENTS - 1}) // {SEGMENTS} END AS lo, CASE s WHEN 0 THEN n ELSE (s * n + {SEGMENTS - 1}) // {SEGMENTS} END AS hi
+    FROM (SELECT *, len(tokens) AS n, unnest(CASE WHEN len(tokens) >= {SEGMENTS} THEN range(0, {SEGMENTS + 1}) ELSE [0] END) AS s FROM line WHERE len(tokens) > 0))
+), recurring AS MATERIALIZED (
+  SELECT key, min(doc_id) AS first FROM key GROUP BY key, n
+  HAVING count(DISTINCT r) >= CASE {" ".join(f"WHEN n >= {tokens} THEN {documents}" for tokens, documents in LEAST)} END
+), gone AS (
+  SELECT DISTINCT r, nth FROM key JOIN recurring USING (key) WHERE first <> doc_id
+), done AS (
+  SELECT r, count(*) AS n_lines, count(gone.r) AS n_dropped, coalesce(string_agg(line, '' ORDER BY nth) FILTER (gone.r IS NULL), '') AS kept, max_by(gone.r IS NOT NULL, nth) AS cut
+  FROM line LEFT JOIN gone USING (r, nth) GROUP BY line.r
+)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, length(result) AS kept_chars, sha256(result) AS kept_sha256
+FROM (SELECT *, CASE WHEN coalesce(n_dropped, 0) = 0 THEN text WHEN cut THEN rtrim(kept, chr(10)) ELSE kept END AS result FROM pieces LEFT JOIN done USING (r))"""

@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": quality.op10_quality,
 }
 
-ORACLE: dict[str, str] = {"op6_chat_format": chat.OP6_SQL}
+ORACLE: dict[str, str] = {"op3_line_dedup": line_templates.OP3_SQL, "op6_chat_format": chat.OP6_SQL, "op9_jaccard": similarity_join.OP9_SQL}

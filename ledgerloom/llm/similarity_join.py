@@ -467,3 +467,23 @@ def one_per_component(docs: DataFrame, width: int = 5, num: int = 80, den: int =
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
+#: All pairs that share a shingle, and the closure of their links: for small tables only.
+OP9_SQL = r"""WITH RECURSIVE words AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1
+), shared AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS MATERIALIZED (
+  SELECT u, v FROM shared JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v WHERE 100 * shared.n >= 85 * (a.n + b.n - shared.n)
+), reach AS (
+  SELECT doc_id AS u, doc_id AS v FROM words UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u
+), smallest AS (
+  SELECT u, min(v) AS component_id FROM reach GROUP BY 1
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM words LEFT JOIN sizes USING (doc_id) JOIN smallest ON u = doc_id"""
