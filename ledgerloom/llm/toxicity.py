@@ -9,7 +9,9 @@ A long text is scored in overlapping windows that cover it whole, and its score
 so that a few toxic words are not averaged away.
 
 Defined cases: null and empty texts (no n-gram) get the score of the bias alone, as all-punctuation
-texts do; without labels every score is 0.5; repeated rows get equal scores.
+texts do; without labels every score is 0.5; repeated rows get equal scores; a null doc_id is kept; an empty
+table gives no rows; other columns are ignored; texts of any length are read whole, and one must fit a task's memory
+(about 75 bytes for each of its bytes).
 """
 
 from __future__ import annotations
