@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, language, line_templates, packing, quality, secrets, similarity_join, toxicity
+from . import chat, decontaminate, fingerprints, hard_negatives, language, line_templates, packing, quality, secrets, similarity_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": language.op1_language,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_jaccard": similarity_join.op9_jaccard,
     "op10_quality": quality.op10_quality,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
 }
 
-ORACLE: dict[str, str] = {"op3_line_dedup": line_templates.OP3_SQL, "op6_chat_format": chat.OP6_SQL, "op9_jaccard": similarity_join.OP9_SQL}
+ORACLE: dict[str, str] = {"op3_line_dedup": line_templates.OP3_SQL, "op6_chat_format": chat.OP6_SQL, "op9_jaccard": similarity_join.OP9_SQL, "op11_hard_negatives": hard_negatives.OP11_SQL}

@@ -9,7 +9,7 @@ from ledgerloom.llm.queries import ORACLE, QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_against_sql(spark, medium, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{medium}/{t}.parquet')")
     got, want = QUERIES[name](spark, medium), con.sql(ORACLE[name])
     assert got.columns == want.columns
