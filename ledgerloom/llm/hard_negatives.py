@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table, tidy
 
 #: Rows of a chunk, anchors of a block, chunks that meet a block in one task, rows multiplied at once.
-CHUNK, ANCHORS, GROUP, TILE = 1000, 4096, 64, 512
+CHUNK, ANCHORS, GROUP, TILE = 1000, 4096, 8, 512
 #: Largest component.
 MOST = 2.0**150
 #: Sums of whole numbers up to here are exact in float32.
@@ -197,10 +197,11 @@ def best(s: np.ndarray, ids: np.ndarray, fits: np.ndarray, count: int) -> Iterat
         held[row, column] = low
 
 
-def _met(blocks: DataFrame, chunks: DataFrame, pick, schema: str) -> DataFrame:
-    """Every block with every group of chunks, in tasks of their own; ``pick(block row, anchors, rows, scores)`` yields tables of finds."""
+def _met(blocks: DataFrame, chunks: DataFrame, pick, count: int) -> DataFrame:
+    """Every block with every group of chunks, in tasks of their own; ``pick(block row, anchors, rows, scores)``
+    gives columns of finds, of which each task sends the best ``count`` for an anchor and ``nth``."""
     slots = (blocks.agg(F.max(_slot())).first()[0] or 0) + 1
-    groups = max(1, chunks.count() // GROUP)
+    groups = max(1, -(-chunks.count() // GROUP))
     # the stated query set against all rows, in blocks: each block goes to every group, each chunk to every slot of blocks
     left = blocks.withColumnRenamed("chunk", "block").withColumn("slot", _slot("block")).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     right = chunks.withColumn("grp", F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("int")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
@@ -218,12 +219,16 @@ def _met(blocks: DataFrame, chunks: DataFrame, pick, schema: str) -> DataFrame:
                 for at in range(0, len(other), TILE):
                     s = scores(mine, other[at : at + TILE])
                     out += pick(block, ours, tuple(x[at : at + TILE] for x in theirs), s)
-        names = [c.split()[0] for c in schema.split(", ")]
-        kinds = [{"long": pa.int64(), "int": pa.int32()}[c.split()[1]] for c in schema.split(", ")]
-        columns = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(len(names))]
-        return pa.Table.from_arrays([pa.array(c.astype(np.int64), pa.int64()).cast(k) for c, k in zip(columns, kinds, strict=True)], names)
+        block, place, anchor, nth, vec, score = (np.concatenate([np.asarray(o[k], np.int64) for o in out]) if out else np.zeros(0, np.int64) for k in range(6))
+        order = np.lexsort((vec, ~score, nth, place, block))
+        key = np.stack([block, place, nth])[:, order]
+        begins = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]) if len(order) else np.zeros(0, bool)
+        at = np.arange(len(order))
+        kept = order[at - np.maximum.accumulate(np.where(begins, at, 0)) < count]
+        names, kinds = zip(*(c.split() for c in FOUND.split(", ")), strict=True)
+        return pa.Table.from_arrays([pa.array(c[kept], pa.int64()).cast({"long": pa.int64(), "int": pa.int32()}[k]) for c, k in zip((block, place, anchor, nth, vec, score), kinds, strict=True)], list(names))
 
-    return left.groupBy("slot", "grp").cogroup(right.groupBy("slot", "grp")).applyInArrow(run, schema)
+    return left.groupBy("slot", "grp").cogroup(right.groupBy("slot", "grp")).applyInArrow(run, FOUND)
 
 
 def _slot(number: str = "chunk") -> Column:
@@ -255,7 +260,7 @@ def hard_negatives(rows: DataFrame, positives: int = 5, negatives: int = 3, low:
         fits = (ours[1][:, None] == theirs[1]) & (ours[0][:, None] != theirs[0])
         return [(np.full(len(r), block["block"]), r, ours[0][r], r * 0, theirs[0][c], _long(s[r, c])) for r, c in best(s, theirs[0], fits, positives)]
 
-    near = _first(_met(blocks, chunks, same_label, FOUND), ["block", "place"], positives)
+    near = _first(_met(blocks, chunks, same_label, positives), ["block", "place"], positives)
     near = materialize(near.select("block", "place", "anchor_id", F.col("rank").alias("nth"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
 
     def windows(key: tuple, t: pa.Table) -> pa.Table:
@@ -280,7 +285,7 @@ def hard_negatives(rows: DataFrame, positives: int = 5, negatives: int = 3, low:
                 out.append((np.full(len(r), block["block"]), at[r], ours[0][at[r]], np.full(len(r), nth), theirs[0][c], _long(mine[r, c])))
         return out
 
-    far = _first(_met(wanted, chunks, in_window, FOUND), ["block", "place", "nth"], negatives)
+    far = _first(_met(wanted, chunks, in_window, negatives), ["block", "place", "nth"], negatives)
     met = far.select("block", "place", "nth", "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
     return near.join(met, ["block", "place", "nth"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
