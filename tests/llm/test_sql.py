@@ -13,5 +13,5 @@ def test_against_sql(spark, medium, name):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{medium}/{t}.parquet')")
     got, want = QUERIES[name](spark, medium), con.sql(ORACLE[name])
     assert got.columns == want.columns
-    assert [f.dataType.simpleString() for f in got.schema.fields] == [{"BIGINT": "bigint", "VARCHAR": "string", "INTEGER": "int"}[str(t)] for t in want.types]
+    assert [f.dataType.simpleString() for f in got.schema.fields] == [{"BIGINT": "bigint", "VARCHAR": "string", "INTEGER": "int", "BOOLEAN": "boolean"}[str(t)] for t in want.types]
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
