@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import hashlib
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +36,9 @@ from .packing import byte_letters
 
 #: Distinct chunks, and tokens of them, that a worker remembers.
 CACHE_CHUNKS, CACHE_TOKENS = 200_000, 2_000_000
-SLICE = 2 << 20
+SLICE = 1 << 20
+#: Links of a group whose ids are counted before they are paired.
+LARGE = 1 << 12
 #: Pairs whose counts go to every task.
 HOT = 1 << 17
 #: An id pair as one number: a * B_IDS + b.
@@ -60,13 +61,16 @@ def chunk_starts(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.union1d(at[split], rows[:-1][np.diff(rows) > 0])
 
 
-def refined(coarse: list[int], exact: list[bool], sizes: list[int]) -> list[int]:
-    """Token ends: the coarse ones where they are exact, else counted on from the last by decoded bytes."""
-    out, at = [], 0
-    for end, good, size in zip(coarse, exact, sizes, strict=True):
-        at = end if good else at + size
-        out.append(at)
-    return out
+def refined(coarse: np.ndarray, exact: np.ndarray, sizes: np.ndarray, firsts: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Token ends: the coarse ones where they are exact, else counted on by decoded bytes from the last exact one of
+    the chunk or from its begin. ``firsts``: the first token of each token's chunk, ``begins``: where that chunk begins."""
+    if exact.all():
+        return coarse
+    total = np.cumsum(sizes)
+    at = np.arange(len(coarse))
+    last = np.maximum.accumulate(np.where(exact, at, -1))
+    inside = last >= firsts
+    return np.where(inside, coarse[last] + total - total[last], begins + total - (total - sizes)[firsts])
 
 
 class Aligner:
@@ -86,6 +90,9 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(self.b.id_to_piece(list(range(self.b.get_piece_size()))))]
         self.blank = self.b.piece_to_id("▁")
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        #: An id and what follows it: A's within and at the end of a group, B's likewise.
+        self.said = [f"{i}{mark}" for mark in ",|,;" for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         self._forget()
 
     def _forget(self) -> None:
@@ -95,55 +102,78 @@ class Aligner:
         self.facts = array("q")
         self.keys, self.times, self.ends = array("q"), array("q"), array("q", [0])
 
-    def spans_a(self, word: str, e) -> tuple[list[int], list[int]]:
-        """Ids and byte ends of a chunk's tokens."""
-        ids, ends = e.ids, [o[1] for o in e.offsets]
-        if word.isascii():
-            return ids, ends
-        at = [0]
-        for c in word:
-            at.append(at[-1] + len(c.encode()))
-        begins = [o[0] for o in e.offsets]
-        exact = [k + 1 == len(ids) or begins[k + 1] >= ends[k] for k in range(len(ids))]
-        return ids, refined([at[x] for x in ends], exact, [len(self.bytes_a[i]) for i in ids])
-
-    def spans_b(self, word: str, proto) -> tuple[list[int], list[int]]:
-        if word == " ":
-            return [self.blank], [1]
-        ids, ends = [p.id for p in proto.pieces], [p.end + 1 for p in proto.pieces]  # the model's own blank comes first
-        exact = [end > before for before, end in zip([0, *ends], ends)]
-        return ids, ends if all(exact) else refined(ends, exact, [len(self.bytes_b[i]) for i in ids])
+    def spans(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """Of chunks that stand one behind another: ids, byte ends and chunk numbers of A's tokens, then of B's, and the chunks' begins and end."""
+        raw = np.frombuffer("".join(words).encode(), np.uint8)
+        char_at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        chars = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+        starts = char_at[chars]
+        encoded = self.a.encode_batch(words, add_special_tokens=False)
+        ids_a = np.array([i for e in encoded for i in e.ids], np.int64)
+        offsets = np.array([o for e in encoded for o in e.offsets], np.int64).reshape(-1, 2)
+        counts = np.array([len(e.ids) for e in encoded])
+        of_a = np.repeat(np.arange(len(words)), counts)
+        last = np.append(of_a[1:] != of_a[:-1], True) if len(of_a) else np.zeros(0, bool)
+        exact = last | (np.append(offsets[1:, 0], 0) >= offsets[:, 1])
+        firsts = np.repeat(np.cumsum(counts) - counts, counts)
+        ends_a = refined(char_at[chars[of_a] + offsets[:, 1]], exact, self.sizes_a[ids_a], firsts, starts[of_a])
+        found = [[(self.blank, 0)] if w == " " else [(q.id, q.end) for q in p.pieces] for w, p in zip(words, self.b.encode([w[1:] for w in words], return_type="proto"), strict=True)]
+        spans = np.array([x for f in found for x in f], np.int64).reshape(-1, 2)
+        counts = np.array([len(f) for f in found])
+        of_b = np.repeat(np.arange(len(words)), counts)
+        coarse = starts[of_b] + spans[:, 1] + 1  # the model's own blank comes first
+        first = np.append(True, of_b[1:] != of_b[:-1]) if len(of_b) else np.zeros(0, bool)
+        exact = coarse > np.where(first, starts[of_b], np.append(0, coarse[:-1])) if len(of_b) else first
+        firsts = np.repeat(np.cumsum(counts) - counts, counts)
+        return ids_a, ends_a, of_a, spans[:, 0], refined(coarse, exact, self.sizes_b[spans[:, 0]], firsts, starts[of_b]), of_b, starts
 
     def _learn(self, words: list[str]) -> None:
-        encoded = self.a.encode_batch(words, add_special_tokens=False)
-        protos = self.b.encode([w[1:] for w in words], return_type="proto")
-        for word, e, p in zip(words, encoded, protos, strict=True):
-            (ids_a, ends_a), (ids_b, ends_b), raw = self.spans_a(word, e), self.spans_b(word, p), word.encode()
-            same = b"".join([self.bytes_a[i] for i in ids_a]) == raw == b"".join([self.bytes_b[i] for i in ids_b])
-            pairs: Counter[int] = Counter()
-            parts, links = [], 0
-            if same:
-                i = j = 0
-                both = set(ends_a)
-                for end in [x for x in ends_b if x in both]:
-                    i0, j0 = i, j
-                    while i < len(ends_a) and ends_a[i] <= end:
-                        i += 1
-                    while j < len(ends_b) and ends_b[j] <= end:
-                        j += 1
-                    ga, gb = ids_a[i0:i], ids_b[j0:j]
-                    parts.append(f"{','.join(map(str, ga))}|{','.join(map(str, gb))}")
-                    links += len(ga) * len(gb)
-                    others = Counter(gb)
-                    for x, n in Counter(ga).items():
-                        for y, m in others.items():
-                            pairs[x * B_IDS + y] += n * m
-            self.known[word] = len(self.strings)
-            self.strings.append(";".join(parts).encode())
-            self.facts.extend((len(ids_a), len(ids_b), len(parts), links, not same))
-            self.keys.extend(pairs.keys())
-            self.times.extend(pairs.values())
-            self.ends.append(len(self.keys))
+        ids_a, ends_a, of_a, ids_b, ends_b, of_b, starts = self.spans(words)
+        counts = [np.bincount(of, minlength=len(words)) for of in (of_a, of_b)]
+        raw = "".join(words).encode()
+        same = np.ones(len(words), bool)
+        for ids, n, table, sizes in ((ids_a, counts[0], self.bytes_a, self.sizes_a), (ids_b, counts[1], self.bytes_b, self.sizes_b)):
+            joined = b"".join(map(table.__getitem__, ids.tolist()))
+            at = np.concatenate([[0], np.cumsum(sizes[ids])])[np.concatenate([[0], np.cumsum(n)])].tolist()
+            same &= np.fromiter((joined[a:b] == raw[c:d] for a, b, c, d in zip(at, at[1:], starts.tolist(), starts[1:].tolist())), bool, len(words))
+        keep_a, keep_b = same[of_a], same[of_b]
+        ids_a, ends_a, of_a, ids_b, ends_b = ids_a[keep_a], ends_a[keep_a], of_a[keep_a], ids_b[keep_b], ends_b[keep_b]
+        # groups: both end at the same places
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        n_a, n_b = np.bincount(group_a, minlength=len(common)), np.bincount(group_b, minlength=len(common))
+        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        of = of_a[first_a] if len(common) else of_a[:0]
+        groups = np.bincount(of, minlength=len(words))
+        links = np.bincount(of, weights=n_a * n_b, minlength=len(words)).astype(np.int64)
+        # linked pairs: each A token of a usual group with each B token; ids of a large group are counted first
+        usual = n_a * n_b <= LARGE
+        mine = np.flatnonzero(usual[group_a]) if len(common) else group_a
+        times = n_b[group_a[mine]]
+        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        keys, owner, much = [np.repeat(ids_a[mine], times) * B_IDS + ids_b[np.repeat(first_b[group_a[mine]], times) + within]], [np.repeat(of_a[mine], times)], [np.ones(len(within), np.int64)]
+        for g in np.flatnonzero(~usual):
+            (x, n), (y, m) = (np.unique(ids[f : f + c], return_counts=True) for ids, f, c in ((ids_a, first_a[g], n_a[g]), (ids_b, first_b[g], n_b[g])))
+            keys.append((x[:, None] * B_IDS + y).ravel())
+            owner.append(np.full(len(keys[-1]), of[g]))
+            much.append((n[:, None] * m).ravel())
+        keys, owner, much = np.concatenate(keys), np.concatenate(owner), np.concatenate(much)
+        order = np.argsort(owner, kind="stable")
+        # the groups as text: A's ids, then B's, each with the mark that follows it
+        said = np.zeros(len(ids_a) + len(ids_b), np.int64)
+        kinds = len(self.said) // 4
+        end_a, end_b = np.append(group_a[1:] != group_a[:-1], True)[: len(ids_a)], np.append(group_b[1:] != group_b[:-1], True)[: len(ids_b)]
+        said[np.arange(len(ids_a)) + first_b[group_a]] = ids_a + kinds * end_a
+        said[np.arange(len(ids_b)) + (first_a + n_a)[group_b]] = ids_b + kinds * (2 + end_b)
+        words_said = list(map(self.said.__getitem__, said.tolist()))
+        at = np.concatenate([[0], np.cumsum(same * (counts[0] + counts[1]))]).tolist()
+        number = len(self.strings)
+        self.known.update(zip(words, range(number, number + len(words)), strict=True))
+        self.strings += ["".join(words_said[a:b])[:-1].encode() for a, b in zip(at, at[1:])]
+        self.facts.frombytes(np.stack([counts[0], counts[1], groups, links, ~same], 1).astype(np.int64).tobytes())
+        self.ends.frombytes((len(self.keys) + np.cumsum(np.bincount(owner, minlength=len(words)))).astype(np.int64).tobytes())
+        self.keys.frombytes(keys[order].tobytes())
+        self.times.frombytes(much[order].tobytes())
 
     def codes(self, chunks: list[str]) -> np.ndarray:
         if len(self.known) > CACHE_CHUNKS or len(self.keys) > CACHE_TOKENS:

@@ -7,11 +7,12 @@
    members were drawn without replacement. A set needs about SIZE * ln(SIZE) hashes, not SIZE times its members.
 2. Equal sets form a class, of which one row is banded: ``BANDS`` bands of ``ROWS`` coordinates. Two sets at a
    similarity of 0.8 share no band once in 10 ** 8.
-3. In small buckets all pairs are candidates. A larger bucket has one leader that meets every member; by the
-   triangle inequality of Jaccard distance linked and far members cannot link, and a part that is one component
-   needs no pair. Open parts of up to ``WHOLE`` members are paired across components; larger ones are banded
-   again by ``SUBS`` bands of ``SUB_ROWS`` coordinates that no earlier level used. After ``LEVELS`` such
-   rounds the rest is paired across components exhaustively, spread over ``SALTS`` tasks a part.
+3. In small buckets all pairs are candidates. A larger bucket has a leader that meets every member: the first in one
+   of ``VARIANTS`` global orders, so a group meets a few leaders in all its bands together. By the triangle inequality
+   of Jaccard distance linked and far members cannot link, and a part that is one component needs no pair. Parts
+   that stay open get other leaders, ``ROUNDS`` times; each round costs in proportion to their members.
+   What is left is paired across components, each pair in the first band that it shares only: had it been ruled
+   out there, or tried, no other band need look at it. Parts of over ``BLOCK`` members are dealt out in blocks.
 4. Parity bitmaps rule most unlike pairs out with certainty; the others are verified on the full sets of
    whole texts. Components come from star rounds.
 
@@ -26,19 +27,21 @@ are null, and is kept only then; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents_only, map_texts, materialize, mix64, table
-from .similarity_join import _linked, _met, _open, _parts, _possible, _shared_ids, _with_roots, bucket_pairs, parity_bitmaps, shingle_sets
+from .common import documents_only, map_texts, materialize, mix64, table, tidy
+from .similarity_join import _linked, _open, _shared_ids, _with_roots, bucket_pairs, parity_bitmaps, shingle_sets
 
 SIZE = 512
 BANDS, ROWS = 60, 6
-#: Bands of one further level.
-SUBS, SUB_ROWS, LEVELS = 24, 3, 3
-SMALL, WHOLE, SALTS = 16, 512, 64
+#: A bucket's key ends in the number of its band.
+BAND_BITS = 6
+SMALL, VARIANTS, ROUNDS, BLOCK = 16, 4, 2, 4096
 #: Hashes computed at once.
 AT_ONCE = 1 << 17
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -79,16 +82,16 @@ def sketches(h: np.ndarray, n: np.ndarray, size: int = SIZE) -> np.ndarray:
     return out.reshape(-1, size)
 
 
-def band_hashes(s: np.ndarray, begin: int, bands: int, rows: int) -> np.ndarray:
-    """A 32-bit hash of each band of ``rows`` coordinates from ``begin`` on."""
-    part = s[:, begin : begin + bands * rows].reshape(len(s), bands, rows)
+def band_hashes(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A 32-bit hash of each band of ``rows`` coordinates."""
+    part = s[:, : bands * rows].reshape(len(s), bands, rows)
     out = np.zeros((len(s), bands), np.uint64)
     for k in range(rows):
         out = mix64(out + part[:, :, k])
     return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-DIGESTS = "doc_id long, n int, s1 long, s2 long, parity binary, bands array<int>, subs array<int>"
+DIGESTS = "doc_id long, n int, s1 long, s2 long, parity binary, bands array<int>"
 
 
 def digests(docs: DataFrame, width: int, least: int) -> DataFrame:
@@ -106,11 +109,9 @@ def digests(docs: DataFrame, width: int, least: int) -> DataFrame:
                 sums.append(pa.array(s.view(np.int64)))
             banded = n >= least
             s = sketches(h[np.repeat(banded, n)], n[banded])
-            lists = []
-            for bands in (band_hashes(s, 0, BANDS, ROWS), band_hashes(s, BANDS * ROWS, SUBS * (LEVELS - 1), SUB_ROWS)):
-                ends = np.concatenate([[0], np.cumsum(banded * bands.shape[1])])
-                lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands.ravel())))
-            columns = [part.column("doc_id"), pa.array(n, pa.int32()), *sums, parity_bitmaps(h, n), *lists]
+            ends = np.concatenate([[0], np.cumsum(banded * BANDS)])
+            bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(band_hashes(s, BANDS, ROWS).ravel()))
+            columns = [part.column("doc_id"), pa.array(n, pa.int32()), *sums, parity_bitmaps(h, n), bands]
             return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in DIGESTS.split(", ")])
 
         return work
@@ -118,55 +119,100 @@ def digests(docs: DataFrame, width: int, least: int) -> DataFrame:
     return map_texts(docs, DIGESTS, build)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, small: int = SMALL, whole: int = WHOLE, levels: int = LEVELS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, small: int = SMALL, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``; sets link at a Jaccard similarity of num / den or more."""
     docs = documents_only(docs)
     # sets that link and differ share so many members at least
     least = -(-num // (den - num)) if num < den else 1 << 30
     made = materialize(digests(docs, width, least), "digests")
-    c = made.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("vid"), F.first(F.struct("parity", "bands", "subs")).alias("same"))
+    c = made.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("vid"), F.first(F.struct("parity", "bands")).alias("same"))
     classes = materialize(c.select("n", "s1", "s2", F.col("vid").isNotNull().alias("named"), F.coalesce("vid", F.xxhash64("s1", "s2")).alias("vid"), "same.*"), "classes")
-    roots = _roots(docs, made, classes, width, num, den, small, whole, levels).select(F.col("u").alias("vid"), F.col("v").alias("root"))
+    roots = _roots(docs, made, classes, width, num, den, small, rounds, block).select(F.col("u").alias("vid"), F.col("v").alias("root"))
     named = classes.select("vid", "n", "s1", "s2", "named").join(roots, "vid", "left").select("n", "s1", "s2", F.when(F.col("named"), F.coalesce("root", "vid")).alias("component_id"))
     some = made.where("n > 0").select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left").select("doc_id", "n", "component_id")
     none = made.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return some.unionByName(none).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _roots(docs: DataFrame, made: DataFrame, classes: DataFrame, width: int, num: int, den: int, small: int, whole: int, levels: int) -> DataFrame:
+def _key(band: Column, *of: Column | str) -> Column:
+    return F.xxhash64(*of).bitwiseAND(F.lit(-1 << BAND_BITS)).bitwiseOR(band.cast("long"))
+
+
+def _band(key: str = "key") -> Column:
+    return F.col(key).bitwiseAND(F.lit((1 << BAND_BITS) - 1))
+
+
+def _roots(docs: DataFrame, made: DataFrame, classes: DataFrame, width: int, num: int, den: int, small: int, rounds: int, block: int) -> DataFrame:
     """Edges (u, v) from each linked class to its component's smallest."""
-    tokens = classes.select(F.col("vid").alias("g"), "n", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "g", "n", F.lit(0).alias("pos"), F.col("g").alias("root"))
+    each = classes.select(F.col("vid").alias("g"), "n", F.posexplode("bands").alias("band", "value"))
+    tokens = each.select(_key(F.col("band"), "band", "value").alias("key"), "g", "n", F.lit(0).alias("pos"), F.col("g").alias("root"))
     buckets = materialize(bucket_pairs(tokens, num, den, small), "buckets")
-    pairs, large = buckets.where("kind = 0").select(F.col("g").alias("u"), F.col("h").alias("v")), buckets.where("kind = 1").select("key", "g", "n", "pos")
+    tried, large = buckets.where("kind = 0").select(F.col("g").alias("u"), F.col("h").alias("v")), buckets.where("kind = 1").select("key", "g", "n")
     forest = _shared_ids(made, classes)
-    apart = lambda p: p.select("u", "v", F.lit(False).alias("star"))
-    for level in range(1, levels + 1):
+    pairs = tried.withColumn("star", F.lit(False))
+    for turn in range(rounds):
         if large.isEmpty():
-            return _linked(forest, apart(pairs), classes, docs, width, num, den)[0]
-        met = materialize(_met(large), "met")
+            return _linked(forest, pairs, classes, docs, width, num, den)[0]
+        met = materialize(_led(large, turn), "met")
         stars = met.select(F.col("lead").alias("u"), F.col("g").alias("v"), F.lit(True).alias("star"))
-        forest, near = _linked(forest, apart(pairs).unionByName(stars), classes, docs, width, num, den)
-        parts = materialize(_open(_with_roots(_parts(met, near), forest)), "open")
-        if parts.isEmpty():
-            return forest
-        if level == levels:
-            break
-        tried = materialize(bucket_pairs(parts, num, den, whole), "buckets")
-        again = materialize(bucket_pairs(_banded_again(tried.where("kind = 1"), classes, level), num, den, whole), "buckets")
-        pairs = tried.where("kind = 0").unionByName(again.where("kind = 0")).select(F.col("g").alias("u"), F.col("h").alias("v"))
-        large = materialize(_open(again.where("kind = 1").select("key", "g", "n", "pos", F.col("h").alias("root"))).drop("root"), "large")
-    other = parts.select("key", *(F.col(c).alias(f"{c}_a") for c in ("g", "n", "pos", "root")), F.pmod(F.xxhash64("g"), F.lit(SALTS)).cast("int").alias("salt"))
-    every = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    fits = (F.col("g_a") < F.col("g")) & (F.col("root_a") != F.col("root")) & _possible("n_a", "pos_a", "n", "pos", num, den, 1)
-    left = other.join(every, ["key", "salt"]).where(fits).select(F.col("g_a").alias("u"), F.col("g").alias("v"))
-    return _linked(forest, apart(left), classes, docs, width, num, den)[0]
-
-
-def _banded_again(rows: DataFrame, classes: DataFrame, level: int) -> DataFrame:
-    """Members (key, g, h: root, n, pos) of too large parts by each band of the next level."""
-    subs = classes.select(F.col("vid").alias("g"), F.slice("subs", SUBS * (level - 1) + 1, SUBS).alias("subs"))
-    each = rows.select("key", "g", "n", "pos", F.col("h").alias("root")).join(subs, "g").select("key", "g", "n", "pos", "root", F.posexplode("subs").alias("band", "value"))
-    return each.select(F.xxhash64("key", "band", "value").alias("key"), "g", "n", "pos", "root")
+        forest, near = _linked(forest, pairs.unionByName(stars), classes, docs, width, num, den)
+        pairs = stars.where("false")
+        large = materialize(_open(_with_roots(_parts(met, near), forest)), "open")
+    if large.isEmpty():
+        return forest
+    left = _first_met(large, classes, num, den, block).withColumn("star", F.lit(False))
+    return _linked(forest, left, classes, docs, width, num, den)[0]
+
+
+def _led(large: DataFrame, turn: int) -> DataFrame:
+    """The members with their bucket's leader, the first in the order of the bucket's variant and turn."""
+    order = F.xxhash64("g", F.pmod("key", F.lit(VARIANTS)), F.lit(turn))
+    leads = large.groupBy("key").agg(F.min_by("g", order).alias("lead"))
+    return large.select("key", "g", "n").join(leads, "key").where("g != lead")
+
+
+def _parts(met: DataFrame, near: DataFrame) -> DataFrame:
+    """The buckets' members without their leaders, dealt into the parts within which links may be left: 0 linked and near ones, 1 near and far ones."""
+    told = met.select("*", F.least("lead", "g").alias("u"), F.greatest("lead", "g").alias("v")).join(near, ["u", "v"], "left")
+    part = F.when(F.col("linked"), F.array(F.lit(0))).when(F.col("linked").isNull(), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+    return told.select("key", "g", "n", F.explode(part).alias("part")).select(_key(_band(), "key", "part").alias("key"), "g", "n")
+
+
+def _first_met(rows: DataFrame, classes: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """Pairs (u, v) of members (key, g, n, root) of different roots, in the first band that both share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None  # the block whose rows ``theirs`` are held against
+        for batch in batches:
+            key, blk, side, g, n, root = (batch.column(c).to_numpy() for c in ("key", "blk", "side", "g", "n", "root"))
+            bands = batch.column("bands").flatten().to_numpy().reshape(len(g), -1)
+            begins = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (blk[1:] != blk[:-1])])) if len(g) else []
+            for a, e in zip(begins, [*begins[1:], len(g)]):
+                at = np.arange(a, e)
+                ours, theirs = at[side[at] == 0], at[side[at] == 1]
+                name, mine = (key[a], blk[a]), (g[ours], n[ours], root[ours], bands[ours])
+                held = (name, tuple(np.concatenate([x, y]) for x, y in zip(held[1], mine, strict=True))) if held and held[0] == name else (name, mine)
+                yield from across(int(name[0]) & ((1 << BAND_BITS) - 1), held[1], (g[theirs], n[theirs], root[theirs], bands[theirs]))
+
+    def across(band: int, ours: tuple, theirs: tuple) -> Iterator[pa.RecordBatch]:
+        step = max(1, (1 << 21) // max(1, len(ours[0])))
+        for at in range(0, len(theirs[0]), step):
+            g, n, root, bands = (x[at : at + step] for x in theirs)
+            small, high = np.minimum(ours[1][:, None], n), np.maximum(ours[1][:, None], n)
+            i, j = np.nonzero((ours[0][:, None] < g) & (ours[2][:, None] != root) & (den * small.astype(np.int64) >= num * high.astype(np.int64)))
+            for k in range(0, len(i), 1 << 16):
+                u, v = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                first = ~(ours[3][u, :band] == bands[v, :band]).any(1)
+                yield pa.RecordBatch.from_arrays([pa.array(ours[0][u[first]]), pa.array(g[v[first]])], ["u", "v"])
+
+    blocks = rows.groupBy("key").agg(F.expr(f"cast((count(*) + {block - 1}) div {block} as int)").alias("blocks"))
+    held = rows.join(blocks, "key").join(classes.select(F.col("vid").alias("g"), "bands"), "g")
+    own = F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int")
+    # each member stands in its own block, and meets all blocks of its part
+    places = F.concat(F.array(F.struct(own.alias("blk"), F.lit(0).alias("side"))), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.cast("int").alias("blk"), F.lit(1).alias("side"))))
+    dealt = held.select("key", "g", "n", "root", "bands", F.explode(places).alias("at")).select("key", "at.blk", "at.side", "g", "n", "root", "bands")
+    width = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.repartition(width, "key", "blk").sortWithinPartitions("key", "blk", "side").mapInArrow(tidy(run), "u long, v long").distinct()
 
 
 def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

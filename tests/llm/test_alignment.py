@@ -79,12 +79,19 @@ def test_whole_table(spark, aligner, small, hot):
 
 def test_refined_ends_are_the_decoded_ones(aligner):
     rnd = random.Random(7)
-    for _ in range(400):
-        word = " " + "".join(rnd.choice([x for x in LETTERS if x[0] != " "]) for _ in range(6))
-        ids, ends = aligner.spans_a(word, aligner.a.encode(word, add_special_tokens=False))
-        assert [len(b"".join(aligner.bytes_a[i] for i in ids[: k + 1])) for k in range(len(ids))] == ends
-        ids, ends = aligner.spans_b(word, aligner.b.encode(word[1:], return_type="proto"))
-        assert [len(b"".join(aligner.bytes_b[i] for i in ids[: k + 1])) for k in range(len(ids))] == ends
+    words = [" " + "".join(rnd.choice([x for x in LETTERS if x[0] != " " and "\u2581" not in x]) for _ in range(6)) for _ in range(400)]
+    ids_a, ends_a, _, ids_b, ends_b, _, starts = aligner.spans(words)
+    assert ends_a.tolist() == aligner.sizes_a[ids_a].cumsum().tolist() and ends_b.tolist() == aligner.sizes_b[ids_b].cumsum().tolist()
+    assert starts[-1] == sum(len(w.encode()) for w in words)
+
+
+def test_large_groups(spark, aligner, monkeypatch):
+    monkeypatch.setattr(al, "LARGE", 1)
+    rows = [(i, "abc\U0001f469\u200d\U0001f467xyzzy 中文字漢 don't 12345678 " * i) for i in range(4)]
+    again = al.Aligner(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+    got = again.slice(pa.array([t for _, t in rows]))
+    assert [(*n, d) for n, d in zip(got["numbers"].tolist(), got["digests"])] == [(*r[1:5], r[7]) for r in plain(aligner, rows)]
+    assert sum(got["times"]) == sum(r[4] for r in plain(aligner, rows))
 
 
 def test_cache_is_forgotten(aligner, monkeypatch):

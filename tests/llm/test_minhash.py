@@ -61,11 +61,11 @@ def test_whole_table_against_brute_force(spark, medium, texts):
     assert result(m.op12_minhash(spark, medium)) == jaccard_components(texts.items(), 2, 80, 100)
 
 
-@pytest.mark.parametrize("small, whole, levels", [(16, 512, 3), (3, 4, 3), (2, 2, 1)])
-def test_hot_groups_against_brute_force(spark, small, whole, levels):
+@pytest.mark.parametrize("small, rounds, block", [(16, 2, 4096), (3, 1, 4), (2, 1, 7)])
+def test_hot_groups_against_brute_force(spark, small, rounds, block):
     rows = hot_rows(90, 3)
     made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert result(m.near_duplicates(made, 2, 80, 100, small=small, whole=whole, levels=levels)) == jaccard_components(rows, 2, 80, 100)
+    assert result(m.near_duplicates(made, 2, 80, 100, small=small, rounds=rounds, block=block)) == jaccard_components(rows, 2, 80, 100)
 
 
 def test_small_sets_and_other_thresholds(spark):
