@@ -12,7 +12,8 @@ only for the fit are such words cut.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without training rows all
 texts are ``und``; ties go to the language that sorts first; repeated rows get equal results; an empty table
-gives no rows; other columns are ignored. More than 1,000 languages are an error.
+gives no rows; other columns are ignored. Every language is learned, however often its texts repeat; of more than
+1,000 the most frequent are, and the others cannot be predicted. Memory does not grow with their number.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ BLOCK = 24
 PER_LANGUAGE, MAX_CHARS = 400, 4000
 ROUNDS = 4
 SLOTS, SLOTS_LEFT = 22, 16
+#: Words times languages that are scored at once.
+AT_ONCE = 80_000
 #: Blocks of a long word that are worked out at once.
 TOGETHER = 128
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -221,9 +224,10 @@ class LanguageModel:
         short = [i for i, w in enumerate(words) if len(w) <= BLOCK]
         for chars, word in by_length([words[i] for i in short]) if short else ():
             word = np.array(short)[word]
-            for a in range(0, len(word), 20_000):
-                alpha = forward(self.pieces.of(chars[a : a + 20_000]), self.probability)[-1]
-                np.add.at(out, word[a : a + 20_000], np.log(np.maximum(alpha, 1e-300)))
+            step = max(1, AT_ONCE // max(1, len(self.languages)))
+            for a in range(0, len(word), step):
+                alpha = forward(self.pieces.of(chars[a : a + step]), self.probability)[-1]
+                np.add.at(out, word[a : a + step], np.log(np.maximum(alpha, 1e-300)))
         return out
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -258,7 +262,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
         return work
 
-    return map_texts(documents_only(docs), "doc_id long, lang_pred string, score double", build, limit=4 << 20)
+    return map_texts(documents_only(docs), "doc_id long, lang_pred string, score double", build, limit=max(1 << 16, (4 << 20) * 4 // max(4, len(model.languages))))
 
 
 def fit(docs: DataFrame, usable, path: str | None = None) -> LanguageModel:

@@ -6,6 +6,10 @@ taken, so a sample's size on the driver is bounded by its number of rows times `
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +17,10 @@ from .common import crc_mod
 
 #: A text longer than the bound is read in so many windows.
 WINDOWS = 4
-#: Texts of all values of a column together, and values at most (more are an error, none is left out silently).
+#: Texts of all values of a column together, and values at most: the most frequent ones.
 ALL_VALUES, MOST_VALUES = 20_000, 1000
-#: Rows that the choice of ``per_value`` ones ranks exactly: so many times as many, by hash.
-SPARE = 20
+#: Hashes that a task holds before it sends them on.
+HELD = 1 << 20
 
 
 def windowed(text: Column, chars: int) -> Column:
@@ -50,28 +54,51 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     return out
 
 
+def smallest_hashes(rows: DataFrame, count: int) -> DataFrame:
+    """v, h: the ``count`` smallest different hashes of each value of ``rows`` (v string, h long).
+
+    Each task keeps that many of a value, so neither repeated nor frequent texts are moved.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def send() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([v for v, h in held.items() for _ in range(len(h))], pa.string()), pa.array(np.concatenate([*held.values(), np.zeros(0, np.int64)]), pa.int64())], ["v", "h"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            coded = batch.column("v").dictionary_encode()
+            place, h = coded.indices.to_numpy(), batch.column("h").to_numpy()
+            for k, v in enumerate(coded.dictionary.to_pylist()):
+                held[v] = np.union1d(held.get(v, h[:0]), h[place == k])[:count]
+            if sum(map(len, held.values())) > HELD:
+                yield send()
+        yield send()
+
+    least = rows.mapInArrow(run, "v string, h long").distinct()
+    return least.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("h"))).where(F.col("nth") <= count).select("v", "h")
+
+
 def per_value_sample(docs: DataFrame, value: str, usable: Column, per_value: int, chars: int) -> dict[str, list[str]]:
     """The ``per_value`` different texts of each value of a column that come first by hash (fewer where there are so many
-    values that all together would pass ``ALL_VALUES``). Every value is there, however frequent the others."""
-    rows = docs.where(F.col(value).isNotNull() & F.col("text").isNotNull() & usable)
-    counts = {r[value]: r["count"] for r in rows.groupBy(value).count().limit(MOST_VALUES + 1).collect()}
-    if not counts:
+    values that all together would pass ``ALL_VALUES``). Every value is there, however frequent the others and however
+    often its texts repeat; of more than ``MOST_VALUES`` values the most frequent are (ties: the first by name)."""
+    rows = docs.where(F.col(value).isNotNull() & F.col("text").isNotNull() & usable).withColumn(value, F.col(value).cast("string"))
+    known = [r[value] for r in rows.groupBy(value).count().orderBy(F.desc("count"), value).limit(MOST_VALUES).collect()]
+    if not known:
         return {}
-    if len(counts) > MOST_VALUES:
-        raise ValueError(f"more than {MOST_VALUES} values of {value}")
-    per_value = min(per_value, max(1, ALL_VALUES // len(counts)))
-    # the first by hash are among those below a share of the hash's range; rare values pass whole
-    share = F.create_map(*(F.lit(x) for v, n in counts.items() for x in (v, min(1.0, SPARE * per_value / n))))
+    per_value = min(per_value, max(1, ALL_VALUES // len(known)))
     keyed = rows.select(F.col(value).alias("v"), F.xxhash64("text").alias("h"), "text")
-    near = keyed.where(F.shiftrightunsigned("h", 33) / float(1 << 31) < share[F.col("v")])
-    few = near.select("v", "h").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("h"))).where(F.col("nth") <= per_value)
-    # at most ALL_VALUES rows of a value and a number
+    few = smallest_hashes(keyed.where(F.col("v").isin(known)).select("v", "h"), per_value)
+    # at most ALL_VALUES (or one for each value) rows of a value and a number
     small = docs.sparkSession.createDataFrame([(r["v"], r["h"]) for r in few.collect()], "v string, h long")
-    texts = keyed.join(F.broadcast(small), ["v", "h"]).groupBy("v", "h").agg(F.first(windowed(F.col("text"), chars)).alias("text"))
-    out: dict[str, list[str]] = {v: [] for v in counts}
+    texts = keyed.join(F.broadcast(small), ["v", "h"]).groupBy("v", "h").agg(F.min(windowed(F.col("text"), chars)).alias("text"))
+    out: dict[str, list[str]] = {v: [] for v in sorted(known)}
     for r in texts.collect():
         out[r["v"]].append(r["text"])
-    return {v: sorted(t) for v, t in out.items() if t}
+    return {v: sorted(t) for v, t in out.items()}
 
 
 def held_out(modulus: int, remainder: int) -> Column:

@@ -132,8 +132,39 @@ def test_a_rare_language_beside_a_very_frequent_one(spark):
     docs = many.unionByName(spark.createDataFrame([(-1, "qua vork nym zephil ostra", "xx")], "doc_id long, text string, lang string"))
     sample = sampling.per_value_sample(docs, "lang", F.lit(True), 50, 1000)
     assert len(sample["en"]) == 50 and sample["xx"] == ["qua vork nym zephil ostra"]
-    same = docs.withColumn("text", F.lit("one text for all"))
-    assert {k: len(v) for k, v in sampling.per_value_sample(same, "lang", F.lit(True), 50, 1000).items()} == {"en": 1, "xx": 1}
+
+
+@pytest.mark.parametrize("copy", ["one text for all", "another text for all", "a third text", "zhun veb otta", "x"])
+def test_no_language_vanishes_where_texts_repeat(spark, copy):
+    rows = spark.range(0, 1_000_000, 1, 5)
+    docs = rows.selectExpr("id as doc_id", f"'{copy}' as text", "'en' as lang")
+    docs = docs.unionByName(rows.where("id < 60000").selectExpr("id as doc_id", f"concat('{copy} ', id % 3) as text", "'xx' as lang")).unionByName(rows.where("id < 5").selectExpr("id as doc_id", f"'{copy}' as text", "'yy' as lang"))
+    sample = sampling.per_value_sample(docs, "lang", F.lit(True), 50, 1000)
+    assert sample == {"en": [copy], "xx": [f"{copy} {k}" for k in range(3)], "yy": [copy]}
+
+
+def test_bottom_hashes_are_those_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "HELD", 10)
+    rows = spark.range(0, 3000, 1, 7).selectExpr("string(id % 4) as v", "xxhash64(id % 500) as h")
+    want = {}
+    for r in rows.distinct().collect():
+        want.setdefault(r["v"], []).append(r["h"])
+    got = {}
+    for r in sampling.smallest_hashes(rows, 20).collect():
+        got.setdefault(r["v"], []).append(r["h"])
+    assert {v: sorted(h) for v, h in got.items()} == {v: sorted(h)[:20] for v, h in want.items()}
+
+
+def test_many_languages(spark, monkeypatch):
+    rows = [(i, f"{chr(97 + i % 26) * 3}{chr(97 + i // 26) * 3} " * 3, f"l{i:03}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, F.lit(True))
+    assert len(model.languages) == 300
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, model).collect()}
+    assert sum(found[i] == lang for i, _, lang in rows) >= 270
+    monkeypatch.setattr(sampling, "MOST_VALUES", 10)
+    more = docs.unionByName(docs.where("doc_id >= 290"))
+    assert list(sampling.per_value_sample(more, "lang", F.lit(True), 5, 100)) == [f"l{i}" for i in range(290, 300)]
 
 
 def test_quality_score_by_plain_loops():
