@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from .common import documents_only, map_texts, materialize, raw_bytes, table, ti
 from .packing import byte_letters
 
 #: Distinct chunks, and tokens of them, that a worker remembers.
-CACHE_CHUNKS, CACHE_TOKENS = 200_000, 2_000_000
+CACHE_CHUNKS, CACHE_TOKENS = 150_000, 1_500_000
 SLICE = 1 << 20
 #: Links of a group whose ids are counted before they are paired.
 LARGE = 1 << 12
@@ -95,7 +96,23 @@ class Aligner:
         self.said = [f"{i}{mark}" for mark in ",|,;" for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         self._forget()
 
+    def _keep_used(self) -> None:
+        """Forgets the chunks that no later slice than their first held."""
+        kept = np.flatnonzero(np.frombuffer(self.used, np.uint8))
+        words, strings, facts = list(self.known), self.strings, np.frombuffer(self.facts, np.int64).reshape(-1, 5)[kept]
+        ends = np.frombuffer(self.ends, np.int64)
+        (keys, at), (times, _) = (_gather(np.frombuffer(x, np.int64) if x else ends[:0], ends, kept) for x in (self.keys, self.times))
+        del ends
+        self._forget()
+        if len(kept) < CACHE_CHUNKS // 2 and len(keys) < CACHE_TOKENS // 2:
+            self.known = {words[k]: n for n, k in enumerate(kept.tolist())}
+            self.strings = [strings[k] for k in kept.tolist()]
+            self.used = bytearray(len(kept))
+            for pool, values in ((self.facts, facts), (self.keys, keys), (self.times, times), (self.ends, at[1:])):
+                pool.frombytes(np.ascontiguousarray(values).tobytes())
+
     def _forget(self) -> None:
+        self.used = bytearray()
         self.known: dict[str, int] = {}
         self.strings: list[bytes] = []
         #: n_a, n_b, n_groups, n_links and whether the bytes differ, of each chunk.
@@ -109,17 +126,22 @@ class Aligner:
         chars = np.concatenate([[0], np.cumsum([len(w) for w in words])])
         starts = char_at[chars]
         encoded = self.a.encode_batch(words, add_special_tokens=False)
-        ids_a = np.array([i for e in encoded for i in e.ids], np.int64)
-        offsets = np.array([o for e in encoded for o in e.offsets], np.int64).reshape(-1, 2)
-        counts = np.array([len(e.ids) for e in encoded])
+        lists = [e.ids for e in encoded]
+        counts = np.array([len(x) for x in lists], np.int64)
+        ids_a = np.array(list(chain.from_iterable(lists)), np.int64)
+        offsets = [e.offsets for e in encoded]
+        ends = np.array([o[1] for x in offsets for o in x], np.int64)
         of_a = np.repeat(np.arange(len(words)), counts)
         last = np.append(of_a[1:] != of_a[:-1], True) if len(of_a) else np.zeros(0, bool)
-        exact = last | (np.append(offsets[1:, 0], 0) >= offsets[:, 1])
+        if len(char_at) <= len(raw):  # else every character is a byte, and no two tokens share one
+            exact = last | (np.append(np.array([o[0] for x in offsets for o in x], np.int64)[1:], 0) >= ends)
+        else:
+            exact = np.ones(len(ends), bool)
         firsts = np.repeat(np.cumsum(counts) - counts, counts)
-        ends_a = refined(char_at[chars[of_a] + offsets[:, 1]], exact, self.sizes_a[ids_a], firsts, starts[of_a])
+        ends_a = refined(char_at[chars[of_a] + ends], exact, self.sizes_a[ids_a], firsts, starts[of_a])
         found = [[(self.blank, 0)] if w == " " else [(q.id, q.end) for q in p.pieces] for w, p in zip(words, self.b.encode([w[1:] for w in words], return_type="proto"), strict=True)]
-        spans = np.array([x for f in found for x in f], np.int64).reshape(-1, 2)
-        counts = np.array([len(f) for f in found])
+        counts = np.array([len(f) for f in found], np.int64)
+        spans = np.array(list(chain.from_iterable(chain.from_iterable(found))), np.int64).reshape(-1, 2)
         of_b = np.repeat(np.arange(len(words)), counts)
         coarse = starts[of_b] + spans[:, 1] + 1  # the model's own blank comes first
         first = np.append(True, of_b[1:] != of_b[:-1]) if len(of_b) else np.zeros(0, bool)
@@ -177,11 +199,15 @@ class Aligner:
 
     def codes(self, chunks: list[str]) -> np.ndarray:
         if len(self.known) > CACHE_CHUNKS or len(self.keys) > CACHE_TOKENS:
-            self._forget()
+            self._keep_used()
+        before = len(self.strings)
         fresh = [c for c in chunks if c not in self.known]
         for at in range(0, len(fresh), 2000):
             self._learn(fresh[at : at + 2000])
-        return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        out = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        self.used.extend(bytes(len(self.strings) - before))
+        np.frombuffer(self.used, np.uint8)[out[out < before]] = 1
+        return out
 
     def slice(self, texts: pa.Array) -> dict:
         """What is written of a slice of texts; see ``SLICES``."""
