@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..sources.schema import FACT, STATES, SUMMARY, TYPES
+from ..sources.schema import FACT, REASONS, STATES, SUMMARY, TOTAL, TYPES
 from .summary import control_totals
 
 
@@ -31,9 +33,9 @@ def constraint_report(fact: DataFrame) -> DataFrame:
     return rows.unionByName(key)
 
 
-def reconcile(evaluated_fact: DataFrame, staged_summary: DataFrame) -> tuple:
-    """The totals, if the staged summary's total row equals those of the source to the cent."""
-    expected = tuple(control_totals(evaluated_fact).first())
+def reconcile(evaluated_fact: DataFrame | tuple, staged_summary: DataFrame) -> tuple:
+    """The totals, if the staged summary's total row equals those of the source (rows, or their totals) to the cent."""
+    expected = evaluated_fact if isinstance(evaluated_fact, tuple) else tuple(control_totals(evaluated_fact).first())
     rows = staged_summary.where(F.col("tipo_transaccion").isNull()).select(*SUMMARY.names[1:]).collect()
     actual = tuple(rows[0]) if len(rows) == 1 else None
     if actual != expected:
@@ -41,6 +43,25 @@ def reconcile(evaluated_fact: DataFrame, staged_summary: DataFrame) -> tuple:
     return expected
 
 
+def observed(name: str) -> tuple[Observation, list[Column]]:
+    """An observation of evaluated rows (with ``monto_neto``) and its measures: rows by reason, and the accepted rows' sums.
+
+    It counts while the rows are written; nothing behind it may sample them again, such as a range exchange.
+    """
+    ok = F.col("motivo_rechazo").isNull()
+    sums = [F.sum(F.when(ok, F.col(c))).cast(TOTAL).alias(c) for c in ("monto", "monto_neto")]
+    return Observation(name), [F.count("*").alias("filas"), *(F.count_if(F.col("motivo_rechazo") == r).alias(r) for r in REASONS), *sums]
+
+
+def observed_report(seen: dict) -> tuple[dict, tuple]:
+    """``run_report``'s row and ``control_totals``' from what was observed."""
+    by = {r: seen[r] for r in sorted(REASONS) if seen[r]}
+    refused, rows = sum(by.values()), seen["filas"]
+    report = {"filas_leidas": rows, "filas_aceptadas": rows - refused, "filas_rechazadas": refused, "porcentaje_rechazado": round(100.0 * refused / rows, 2) if rows else 0.0, "por_motivo": ",".join(f"{r}={n}" for r, n in by.items())}
+    zero = Decimal("0.00")
+    return report, (rows - refused, seen["monto"] or zero, seen["monto_neto"] or zero)
+
+
 def source_profile(raw: DataFrame) -> DataFrame:
     """Rows, nulls by column, repeated ids (nulls count as one value) and amounts that are not positive, in one row."""
     distinct = F.countDistinct("id") + F.coalesce(F.max(F.col("id").isNull().cast("int")), F.lit(0))

@@ -71,12 +71,16 @@ def history_rows(fact: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def history_counts(fact: DataFrame, requests: DataFrame) -> DataFrame:
-    """request_id, cantidad (the page's size) and status: 422 invalid, 404 no row and no offset, else 200."""
+    """request_id, cantidad (the page's size) and status: 422 invalid, 404 no row and no offset, else 200.
+
+    A page's size follows from the user's number of rows, which is counted once, before rows move.
+    """
     parsed = parse_requests(requests)
-    sizes = history_rows(fact, requests).groupBy("request_id").agg(F.count("*").alias("cantidad"))
-    cantidad = F.coalesce("cantidad", F.lit(0))
+    rows = fact.groupBy("usuario_id").agg(F.count("*").alias("__rows"))
+    met = parsed.join(rows, "usuario_id", "left")
+    cantidad = F.least(F.col("limit").cast("bigint"), F.greatest(F.lit(0).cast("bigint"), F.coalesce("__rows", F.lit(0)) - F.col("offset")))
     status = F.when(~F.col("valid"), 422).when((cantidad == 0) & (F.col("offset") == 0), 404).otherwise(200)
-    return parsed.join(sizes, "request_id", "left").select("request_id", cantidad.cast("bigint").alias("cantidad"), status.cast("int").alias("status"))
+    return met.select("request_id", F.when(F.col("valid"), cantidad).otherwise(0).cast("bigint").alias("cantidad"), status.cast("int").alias("status"))
 
 
 def history_documents(fact: DataFrame, requests: DataFrame) -> DataFrame:

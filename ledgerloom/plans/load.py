@@ -36,8 +36,8 @@ class LoadResult:
 def load(store: Store, raw: DataFrame, order: list[str]) -> LoadResult:
     """Publishes a raw batch as the store's next version, all or nothing.
 
-    The evaluated rows are written once (accepted rows with their net amount), so neither the split nor
-    the totals repeat the search for repeated ids. Rejects are written even if no row is accepted, in the staging
+    The evaluated rows are written once (accepted rows with their net amount), so the split does not repeat the
+    search for repeated ids; rows by reason and control totals are observed on that write and need no scan. Rejects are written even if no row is accepted, in the staging
     folder; readers see nothing of a load that fails. The version holds a metrics document: rows, rejects by
     reason, seconds by phase, rows a second and the audited totals (to the moment of publication).
     """
@@ -53,13 +53,14 @@ def load(store: Store, raw: DataFrame, order: list[str]) -> LoadResult:
     took("repeated ids")
     rows = evaluate.evaluate(raw, order, spark.read.parquet(staged + "/again"))
     ok = rows["motivo_rechazo"].isNull()
-    rows.withColumn("monto_neto", evaluate.net_amount(rows["monto"], rows["tipo_transaccion"], ok)).select(*FACT.names, "motivo_rechazo").write.option("compression", "zstd").parquet(staged + "/evaluated")
+    seen, measures = audit.observed(f"load {staged}")
+    rows.withColumn("monto_neto", evaluate.net_amount(rows["monto"], rows["tipo_transaccion"], ok)).select(*FACT.names, "motivo_rechazo").observe(seen, *measures).write.parquet(staged + "/evaluated")
+    report, expected = audit.observed_report(seen.get)
     evaluated = spark.read.parquet(staged + "/evaluated")
     took("evaluate")
     fact, rejects = evaluated.where("motivo_rechazo is null").select(*FACT.names), evaluated.where("motivo_rechazo is not null").select(*REJECT.names)
-    report, *_ = together(
+    together(
         spark,
-        lambda: audit.run_report(evaluated).first().asDict(),
         lambda: rejects.write.option("compression", "zstd").parquet(staged + "/rejects"),
         lambda: write_clustered(fact, staged + "/fact"),
     )
@@ -70,7 +71,7 @@ def load(store: Store, raw: DataFrame, order: list[str]) -> LoadResult:
 
     def summarised() -> tuple:
         write_summary(written, staged)
-        return audit.reconcile(fact, spark.read.parquet(staged + "/summary"))
+        return audit.reconcile(expected, spark.read.parquet(staged + "/summary"))
 
     totals, broken = together(spark, summarised, lambda: audit.constraint_report(written).where("violaciones > 0").collect())
     if broken:
@@ -89,9 +90,9 @@ def load(store: Store, raw: DataFrame, order: list[str]) -> LoadResult:
         "escrito_en": datetime.now(timezone.utc).isoformat(),
     }
     write_metrics(spark, metrics, staged)
-    for scratch in ("/evaluated", "/again"):
-        fs, at = store._fs(staged + scratch)
-        fs.delete(at, True)
     version = store.publish(staged)
+    for scratch in ("/evaluated", "/again"):  # no reader looks for them
+        fs, at = store._fs(version + scratch)
+        fs.delete(at, True)
     took("publish")
     return LoadResult(version, totals, report, seconds, metrics)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import uniform
-from ..operators import audit, request_log, serving, summary
+from ..operators import audit, request_log, sampling, serving, summary
 from ..operators.evaluate import accepted, evaluate, normalize, rejected
 from ..sources.fixtures import ODD_REQUESTS, raw_transactions, requests, table
 from ..sources.schema import DEFAULT_STATE, FACT, RATES, RAW, REASONS, STATES, TYPES
@@ -158,6 +158,23 @@ def request_log_series(spark, sf_dir):
     return request_log.request_log_series(_log(spark, sf_dir), "1 hour", "1 hour")
 
 
+def request_log_history(spark, sf_dir):
+    """Two-hour windows that slide by an hour."""
+    rounded = lambda c: F.round(c, 6).alias(c)
+    out = request_log.request_log_history(_log(spark, sf_dir), "1 hour", 2)
+    return out.select("every", "name", "desde", "hasta", "requests", "failures", rounded("rps"), rounded("fps"), *request_log.HISTORY, "total_requests", "total_failures", rounded("total_mean"), "total_min", "total_max", rounded("total_mean_size"))
+
+
+def order_sample(spark, sf_dir):
+    """A thousandth of all orders exactly, rounded down, without replacement."""
+    return sampling.exact_sample(table(spark, sf_dir, "orders"), "o_orderkey", 0.001).select("o_orderkey", "o_totalprice")
+
+
+def order_sample_by_price(spark, sf_dir):
+    """A hundred orders drawn by price, without replacement."""
+    return sampling.weighted_sample(table(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice", 100).select("o_orderkey", "o_totalprice")
+
+
 def run_report(spark, sf_dir):
     return audit.run_report(evaluated(spark, sf_dir))
 
@@ -168,7 +185,7 @@ QUERIES: dict[str, Query] = {
         normalized_transactions, rejection_reasons, accepted_transactions, rejected_transactions, reject_counts, control_totals,
         summary_by_type, summary_document, user_history_page, history_batch, history_page_counts, request_status,
         history_json, busiest_user, constraint_report, source_profile, source_head, summary_consistency, reconciliation, published_snapshot,
-        synthetic_uniforms, schema_description, request_log_report, request_log_series, run_report,
+        synthetic_uniforms, schema_description, request_log_report, request_log_series, request_log_history, order_sample, order_sample_by_price, run_report,
     )
 }
 
@@ -250,6 +267,23 @@ _LOG_AGG = "count(*) AS requests, count(*) FILTER (event_type = 'error') AS fail
     f"round(quantile_cont(value, {p}), 6) AS {name}" for name, p in request_log.PERCENTILES.items()
 ) + ", round(avg(value), 6) AS mean, round(avg(length(props)), 6) AS mean_size, round(count(*) / (epoch_us(max(ts)) - epoch_us(min(ts))) * 1e6, 4) AS rps"
 
+_DIGITS = "CASE WHEN abs(value) < 10 THEN round(value, 2) WHEN abs(value) < 100 THEN round(value, 1) WHEN abs(value) < 1000 THEN round(value, 0) WHEN abs(value) < 10000 THEN round(value, -1) WHEN abs(value) < 100000 THEN round(value, -2) ELSE round(value, -3) END"
+_HISTORY_SQL = f"""WITH log AS (
+  SELECT event_type AS name, value, {_DIGITS} AS bucket, length(props) AS size, event_type = 'error' AS failed, date_trunc('hour', ts) AS pane FROM events
+), both_ AS (
+  SELECT 0 AS every, * FROM log UNION ALL SELECT 1, NULL, value, bucket, size, failed, pane FROM log
+), wide AS (
+  SELECT *, unnest([pane, pane - INTERVAL 1 HOUR]) AS desde FROM both_
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY every, name, desde ORDER BY bucket) AS nth, count(value) OVER (PARTITION BY every, name, desde) AS n FROM wide
+), told AS (
+  SELECT every, name, desde, desde + INTERVAL 2 HOUR AS hasta, count(*) AS requests, count(*) FILTER (failed) AS failures, round(count(*) / 7200.0::DOUBLE, 6) AS rps, round(count(*) FILTER (failed) / 7200.0::DOUBLE, 6) AS fps,
+    {', '.join(f'min(bucket) FILTER (nth * 10000 >= n * {p}) AS {k}' for k, p in request_log.HISTORY.items())} FROM ranked GROUP BY 1, 2, 3
+)
+SELECT t.*, count(*) AS total_requests, count(*) FILTER (b.failed) AS total_failures, round(avg(b.value), 6) AS total_mean, min(b.value) AS total_min, max(b.value) AS total_max, round(avg(b.size), 6) AS total_mean_size
+FROM told t JOIN both_ b ON b.every = t.every AND b.name IS NOT DISTINCT FROM t.name AND b.pane + INTERVAL 1 HOUR <= t.hasta GROUP BY ALL"""
+_MD5 = lambda salt: f"('0x' || substr(md5('42:{salt}:' || o_orderkey), 1, 8))::BIGINT"
+
 _REPORT_SQL = """SELECT count(*) AS filas_leidas, count(*) FILTER (motivo_rechazo IS NULL) AS filas_aceptadas, count(*) FILTER (motivo_rechazo IS NOT NULL) AS filas_rechazadas,
   round(100.0 * count(*) FILTER (motivo_rechazo IS NOT NULL) / count(*), 2)::DOUBLE AS porcentaje_rechazado,
   (SELECT string_agg(motivo_rechazo || '=' || n, ',' ORDER BY motivo_rechazo) FROM (SELECT motivo_rechazo, count(*) AS n FROM evaluated WHERE motivo_rechazo IS NOT NULL GROUP BY 1)) AS por_motivo
@@ -285,5 +319,8 @@ ORACLE: dict[str, str] = {
     + " UNION ALL ".join(f"SELECT {i + 1} AS posicion, '{f.name}' AS columna, '{'timestamp_ntz' if f.name == 'fecha' else f.dataType.simpleString()}' AS tipo, false AS admite_nulos, count({f.name}) AS no_nulos FROM fact" for i, f in enumerate(FACT.fields)),
     "request_log_report": f"SELECT event_type AS name, {_LOG_AGG} FROM events GROUP BY ROLLUP (event_type)",
     "request_log_series": "SELECT date_trunc('hour', ts) AS desde, date_trunc('hour', ts) + INTERVAL 1 HOUR AS hasta, count(*) AS requests, count(*) FILTER (event_type = 'error') AS failures, max(value) AS max_latency FROM events GROUP BY 1, 2",
+    "request_log_history": _HISTORY_SQL,
+    "order_sample": f"SELECT o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (ORDER BY {_MD5('sample')}, o_orderkey) <= floor(count(*) OVER () * 0.001)",
+    "order_sample_by_price": f"SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 0 ORDER BY -ln(({_MD5('draw')} + 0.5) / 4294967296.0::DOUBLE) / o_totalprice::DOUBLE, o_orderkey LIMIT 100",
     "run_report": f"WITH {_EVALUATED_SQL} {_REPORT_SQL}",
 }
