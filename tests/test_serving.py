@@ -99,3 +99,11 @@ def test_summary_document(spark, rows):
     assert empty["total_transacciones"] == 0 and empty["por_tipo"] == []
     with pytest.raises(Exception, match="no total row"):
         serving.summary_document(type_summary(rows).where("tipo_transaccion is not null")).collect()
+
+
+def test_page_sizes_need_no_window(spark, small):
+    from ledgerloom.plans import queries
+
+    for query in (queries.request_status, queries.history_page_counts):
+        plan = query(spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "CartesianProduct" not in plan

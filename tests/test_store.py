@@ -104,3 +104,17 @@ def test_an_empty_selection_of_the_tables_has_a_total(spark, small):
 def test_declared_columns_hold_no_nulls(spark):
     described = audit.describe(accepted(evaluate(raw(spark, GOOD), ["place"])), FACT).collect()
     assert [r["columna"] for r in described] == FACT.names and not any(r["admite_nulos"] for r in described)
+
+
+def test_observed_totals_are_those_of_a_scan(spark, small, tmp_path):
+    from ledgerloom.operators.evaluate import net_amount
+    from ledgerloom.operators.summary import control_totals
+    from ledgerloom.sources.fixtures import raw_transactions
+
+    rows = evaluate(raw_transactions(spark, small), ["seq", "src_id"])
+    rows = rows.withColumn("monto_neto", net_amount(rows["monto"], rows["tipo_transaccion"], rows["motivo_rechazo"].isNull()))
+    seen, measures = audit.observed("test")
+    rows.observe(seen, *measures).write.parquet(f"{tmp_path}/rows")
+    report, totals = audit.observed_report(seen.get)
+    assert report == audit.run_report(rows).first().asDict()
+    assert totals == tuple(control_totals(rows.where("motivo_rechazo is null")).first())
