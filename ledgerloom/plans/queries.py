@@ -161,8 +161,9 @@ def request_log_series(spark, sf_dir):
 def request_log_history(spark, sf_dir):
     """Two-hour windows that slide by an hour."""
     rounded = lambda c: F.round(c, 6).alias(c)
+    up = lambda c: F.round(F.col(c) + 1e-9, 6).alias(c)  # noqa: E731  a mean that lies half-way goes up whatever the order of its sum
     out = request_log.request_log_history(_log(spark, sf_dir), "1 hour", 2)
-    return out.select("every", "name", "desde", "hasta", "requests", "failures", rounded("rps"), rounded("fps"), *request_log.HISTORY, "total_requests", "total_failures", rounded("total_mean"), "total_min", "total_max", rounded("total_mean_size"))
+    return out.select("every", "name", "desde", "hasta", "requests", "failures", rounded("rps"), rounded("fps"), *request_log.HISTORY, "total_requests", "total_failures", up("total_mean"), "total_min", "total_max", up("total_mean_size"))
 
 
 def order_sample(spark, sf_dir):
@@ -280,7 +281,7 @@ _HISTORY_SQL = f"""WITH log AS (
   SELECT every, name, desde, desde + INTERVAL 2 HOUR AS hasta, count(*) AS requests, count(*) FILTER (failed) AS failures, round(count(*) / 7200.0::DOUBLE, 6) AS rps, round(count(*) FILTER (failed) / 7200.0::DOUBLE, 6) AS fps,
     {', '.join(f'min(bucket) FILTER (nth * 10000 >= n * {p}) AS {k}' for k, p in request_log.HISTORY.items())} FROM ranked GROUP BY 1, 2, 3
 )
-SELECT t.*, count(*) AS total_requests, count(*) FILTER (b.failed) AS total_failures, round(avg(b.value), 6) AS total_mean, min(b.value) AS total_min, max(b.value) AS total_max, round(avg(b.size), 6) AS total_mean_size
+SELECT t.*, count(*) AS total_requests, count(*) FILTER (b.failed) AS total_failures, round(avg(b.value) + 1e-9::DOUBLE, 6) AS total_mean, min(b.value) AS total_min, max(b.value) AS total_max, round(avg(b.size) + 1e-9::DOUBLE, 6) AS total_mean_size
 FROM told t JOIN both_ b ON b.every = t.every AND b.name IS NOT DISTINCT FROM t.name AND b.pane + INTERVAL 1 HOUR <= t.hasta GROUP BY ALL"""
 _MD5 = lambda salt: f"('0x' || substr(md5('42:{salt}:' || o_orderkey), 1, 8))::BIGINT"
 
