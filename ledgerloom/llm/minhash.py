@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents_only, map_texts, materialize, mix64, table, tidy
-from .similarity_join import _linked, _open, _shared_ids, _with_roots, bucket_pairs, parity_bitmaps, shingle_sets
+from .similarity_join import _linked, _open, _shared_ids, _with_roots, bucket_pairs, needed, parity_bitmaps, shingle_sets
 
 SIZE = 512
 BANDS, ROWS = 60, 6
@@ -178,39 +178,74 @@ def _parts(met: DataFrame, near: DataFrame) -> DataFrame:
     return told.select("key", "g", "n", F.explode(part).alias("part")).select(_key(_band(), "key", "part").alias("key"), "g", "n")
 
 
+#: Bytes of the folded bitmaps that pairs are compared by, the longest that both have.
+FOLDS = (8, 32, 128, 512)
+
+
+def folds(bitmaps: list[bytes]) -> tuple[np.ndarray, ...]:
+    """The bitmaps' lengths, and each folded to every length of ``FOLDS`` (zeros where it is shorter)."""
+    lengths = np.array([len(b) for b in bitmaps], np.int64)
+    out = [np.zeros((len(bitmaps), size // 8), np.uint64) for size in FOLDS]
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        bits = np.frombuffer(b"".join(bitmaps[k] for k in at), np.uint64).reshape(len(at), -1)
+        for size, folded in zip(reversed(FOLDS), reversed(out)):
+            if length >= size:
+                while bits.shape[1] > size // 8:
+                    half = bits.shape[1] // 2
+                    bits = bits[:, :half] ^ bits[:, half:]
+                folded[at] = bits
+    return (lengths, *out)
+
+
+def least_difference(a: tuple, b: tuple, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For pairs of rows of two ``folds``: in how many members their sets differ at least."""
+    common = np.minimum(a[0][u], b[0][v])
+    out = np.zeros(len(u), np.int64)
+    for k, size in enumerate(FOLDS):
+        fits = (common >= size) & (common < (FOLDS[k + 1] if k + 1 < len(FOLDS) else 1 << 62))
+        out[fits] = np.bitwise_count(a[k + 1][u[fits]] ^ b[k + 1][v[fits]]).sum(1)
+    return out
+
+
 def _first_met(rows: DataFrame, classes: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """Pairs (u, v) of members (key, g, n, root) of different roots, in the first band that both share."""
+    """Pairs (u, v) of members (key, g, n, root) of different roots, in the first band that both share.
+    Those whose parity bitmaps rule a link out with certainty are left out where they are made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the block whose rows ``theirs`` are held against
         for batch in batches:
             key, blk, side, g, n, root = (batch.column(c).to_numpy() for c in ("key", "blk", "side", "g", "n", "root"))
             bands = batch.column("bands").flatten().to_numpy().reshape(len(g), -1)
+            parity = folds(batch.column("parity").to_pylist())
             begins = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (blk[1:] != blk[:-1])])) if len(g) else []
             for a, e in zip(begins, [*begins[1:], len(g)]):
                 at = np.arange(a, e)
                 ours, theirs = at[side[at] == 0], at[side[at] == 1]
-                name, mine = (key[a], blk[a]), (g[ours], n[ours], root[ours], bands[ours])
+                name, mine = (key[a], blk[a]), (g[ours], n[ours], root[ours], bands[ours], *(x[ours] for x in parity))
                 held = (name, tuple(np.concatenate([x, y]) for x, y in zip(held[1], mine, strict=True))) if held and held[0] == name else (name, mine)
-                yield from across(int(name[0]) & ((1 << BAND_BITS) - 1), held[1], (g[theirs], n[theirs], root[theirs], bands[theirs]))
+                yield from across(int(name[0]) & ((1 << BAND_BITS) - 1), held[1], (g[theirs], n[theirs], root[theirs], bands[theirs], *(x[theirs] for x in parity)))
 
     def across(band: int, ours: tuple, theirs: tuple) -> Iterator[pa.RecordBatch]:
         step = max(1, (1 << 21) // max(1, len(ours[0])))
         for at in range(0, len(theirs[0]), step):
-            g, n, root, bands = (x[at : at + step] for x in theirs)
+            g, n, root, bands, *parity = (x[at : at + step] for x in theirs)
             small, high = np.minimum(ours[1][:, None], n), np.maximum(ours[1][:, None], n)
             i, j = np.nonzero((ours[0][:, None] < g) & (ours[2][:, None] != root) & (den * small.astype(np.int64) >= num * high.astype(np.int64)))
             for k in range(0, len(i), 1 << 16):
                 u, v = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
                 first = ~(ours[3][u, :band] == bands[v, :band]).any(1)
-                yield pa.RecordBatch.from_arrays([pa.array(ours[0][u[first]]), pa.array(g[v[first]])], ["u", "v"])
+                u, v = u[first], v[first]
+                a, b = ours[1][u].astype(np.int64), n[v].astype(np.int64)
+                may = least_difference(ours[4:], tuple(parity), u, v) <= a + b - 2 * needed(a, b, num, den)
+                yield pa.RecordBatch.from_arrays([pa.array(ours[0][u[may]]), pa.array(g[v[may]])], ["u", "v"])
 
     blocks = rows.groupBy("key").agg(F.expr(f"cast((count(*) + {block - 1}) div {block} as int)").alias("blocks"))
-    held = rows.join(blocks, "key").join(classes.select(F.col("vid").alias("g"), "bands"), "g")
+    held = rows.join(blocks, "key").join(classes.select(F.col("vid").alias("g"), "bands", "parity"), "g")
     own = F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int")
     # each member stands in its own block, and meets all blocks of its part
     places = F.concat(F.array(F.struct(own.alias("blk"), F.lit(0).alias("side"))), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.cast("int").alias("blk"), F.lit(1).alias("side"))))
-    dealt = held.select("key", "g", "n", "root", "bands", F.explode(places).alias("at")).select("key", "at.blk", "at.side", "g", "n", "root", "bands")
+    dealt = held.select("key", "g", "n", "root", "bands", "parity", F.explode(places).alias("at")).select("key", "at.blk", "at.side", "g", "n", "root", "bands", "parity")
     width = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return dealt.repartition(width, "key", "blk").sortWithinPartitions("key", "blk", "side").mapInArrow(tidy(run), "u long, v long").distinct()
 

@@ -83,3 +83,14 @@ def test_odd_rows(odd, empty):
     assert {(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 7, True)} <= found
     assert {(r["component_id"], r["kept"]) for r in rows if r["doc_id"] is None} == {(None, True)}
     assert m.near_duplicates(empty).collect() == []
+
+
+def test_bitmaps_never_overstate_a_difference():
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 1 << 63, 6000, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, k)) for k in (4, 30, 31, 200, 900, 1000, 5000)] * 2
+    n = np.array([len(x) for x in sets])
+    f = m.folds(m.parity_bitmaps(np.concatenate(sets), n).to_pylist())
+    u, v = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    found = m.least_difference(f, f, u, v)
+    assert all(d <= len(np.setxor1d(sets[i], sets[j])) for i, j, d in zip(u, v, found)) and (found[u == v] == 0).all() and found.max() > 100
