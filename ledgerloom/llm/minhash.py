@@ -7,8 +7,8 @@
    members were drawn without replacement. A set needs about SIZE * ln(SIZE) hashes, not SIZE times its members.
 2. Equal sets form a class, of which one row is banded: ``BANDS`` bands of ``ROWS`` coordinates. Two sets at a
    similarity of 0.8 share no band once in 10 ** 8.
-3. In small buckets all pairs are candidates. A larger bucket has a leader that meets every member: the first in an
-   order of the band's own, so a member meets about as many leaders as it has large buckets. By the triangle inequality
+3. In small buckets all pairs are candidates. A larger bucket has a leader that meets every member: the first in one
+   order of all classes, so the buckets of a group share few leaders, and pairs that many bands name are tried once. By the triangle inequality
    of Jaccard distance linked and far members cannot link, and a part that is one component needs no pair. Parts
    that stay open get other leaders, ``ROUNDS`` times; each round costs in proportion to their members.
    What is left is paired across components, each pair in the first band that it shares only: had it been ruled
@@ -41,7 +41,7 @@ SIZE = 512
 BANDS, ROWS = 60, 6
 #: A bucket's key ends in the number of its band.
 BAND_BITS = 6
-SMALL, ROUNDS, BLOCK = 16, 2, 4096
+SMALL, ROUNDS, BLOCK = 8, 2, 4096
 #: Hashes computed at once.
 AT_ONCE = 1 << 17
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -165,8 +165,8 @@ def _roots(docs: DataFrame, made: DataFrame, classes: DataFrame, width: int, num
 
 
 def _led(large: DataFrame, turn: int) -> DataFrame:
-    """The members with their bucket's leader, the first in the order of its band and the turn."""
-    order = F.xxhash64("g", _band(), F.lit(turn))
+    """The members with their bucket's leader, the first in the order of the turn, which is that of all bands."""
+    order = F.xxhash64("g", F.lit(turn))
     leads = large.groupBy("key").agg(F.min_by("g", order).alias("lead"))
     return large.select("key", "g", "n").join(leads, "key").where("g != lead")
 
