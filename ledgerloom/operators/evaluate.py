@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import net_amount, normal_state, normal_type, rejection_reason
@@ -24,16 +24,58 @@ def repeated_ids(rows: DataFrame, order: list[str]) -> DataFrame:
     return found.where("__rows > 1").select(F.col("id").alias("__id"), "__least")
 
 
+#: Bits of the map of repeated ids: 1,024 rows of 4 KB at most, whatever the batch's size.
+MAP_BITS = 25
+
+
+def _place(id: Column) -> Column:
+    """An id's bit in the map, from 1 on, as the bitmap functions number them."""
+    return F.pmod(F.xxhash64(id), F.lit(1 << MAP_BITS)) + 1
+
+
+def repeated_map(again: DataFrame) -> DataFrame:
+    """__part, __bits: a map of hashed repeated ids, of a size that does not grow."""
+    at = again.select(_place(F.col("__id")).alias("at"))
+    return at.groupBy(F.bitmap_bucket_number("at").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__bits"))
+
+
+def with_maybe_repeated(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """Adds ``__maybe``: false for null ids and for all ids that certainly come once."""
+    place = _place(F.col("id"))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("__bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    # the bit's value in its byte; bits are numbered from the low end
+    held = byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (bit % 8).cast("int") + 1)) != 0
+    met = rows.join(F.broadcast(repeated_map(again)), F.when(F.col("id").isNotNull(), F.bitmap_bucket_number(place)) == F.col("__part"), "left")
+    return met.withColumn("__maybe", F.coalesce(held & F.col("id").isNotNull(), F.lit(False))).drop("__part", "__bits")
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether Spark's own estimate of the size is below the session's limit for broadcasts."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= limit
+
+
 def mark_first(rows: DataFrame, order: list[str], again: DataFrame | None = None) -> DataFrame:
     """Adds ``__first``: whether a row is the first of its id in input order.
 
-    Only the repeated ids meet the rows in a join, so an id that is sent a billion times sits in no task.
-    ``again`` may hold ``repeated_ids`` read back from a file: Spark then knows its size, and moves no row where
-    it is small. Rows with a null id are first; nothing depends on it.
+    Where the repeated ids are small enough to be sent to all tasks, no row moves. Otherwise a bitmap of them, of fixed
+    size, tells the rows whose id certainly comes once: those, and all with a null id, stay where they are, and the
+    others alone are shuffled to the list of repeated ids. A map that fills up lets more rows through; results are
+    the same. Rows with a null id are first; nothing depends on it. ``again`` may hold ``repeated_ids`` read back
+    from a file, whose size Spark knows.
     """
     again = repeated_ids(rows, order) if again is None else again
-    marked = rows.join(again, rows["id"] == again["__id"], "left")
-    return marked.withColumn("__first", F.col("__least").isNull() | (F.struct(*order) == F.col("__least"))).drop("__id", "__least")
+    first = F.col("__least").isNull() | (F.struct(*order) == F.col("__least"))
+
+    def told(some: DataFrame) -> DataFrame:
+        return some.join(again, some["id"] == again["__id"], "left").withColumn("__first", first).drop("__id", "__least")
+
+    if is_small(again):
+        return told(rows)
+    split = with_maybe_repeated(rows, again)
+    once = split.where("not __maybe").drop("__maybe").withColumn("__first", F.lit(True))
+    return once.unionByName(told(split.where("__maybe").drop("__maybe")))
 
 
 def evaluate(raw: DataFrame, order: list[str], again: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Bounds and defaults of requests.
 MOST_USER, MOST_LIMIT, DEFAULT_LIMIT, MOST_OFFSET = 2_147_483_647, 1000, 100, 2_147_483_647
-#: Groups that one user's rows are dealt over before they are ranked.
+#: Groups that a user's rows of one day are dealt over before they are ranked.
 SALTS = 64
 PAGE = ("id", "fecha", "monto", "monto_neto", "tipo_transaccion", "estado")
 JSON_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
@@ -53,21 +53,33 @@ def parse_requests(requests: DataFrame) -> DataFrame:
     )
 
 
+def touched_days(fact: DataFrame, requests: DataFrame) -> DataFrame:
+    """request_id, usuario_id, __from, __to (ranks), and each day that the page touches with the number of newer rows."""
+    valid = parse_requests(requests).where("valid")
+    day = F.to_date("fecha").alias("__day")
+    days = fact.join(valid.select("usuario_id").distinct(), "usuario_id", "left_semi").groupBy("usuario_id", day).agg(F.count("*").alias("__rows"))
+    upto = F.sum("__rows").over(Window.partitionBy("usuario_id").orderBy(F.desc("__day")))
+    sums = days.select("usuario_id", "__day", (upto - F.col("__rows")).alias("__newer"), upto.alias("__upto"))
+    r = valid.select("request_id", "usuario_id", F.col("offset").cast("long").alias("__from"), (F.col("offset").cast("long") + F.col("limit")).alias("__to"))
+    return r.join(sums, "usuario_id").where("__newer < __to and __upto > __from").drop("__upto")
+
+
 def history_rows(fact: DataFrame, requests: DataFrame) -> DataFrame:
     """request_id, rn and the page's columns for each row of each valid request's page.
 
-    A user's rows are ranked as far as that user's own requests reach. They are dealt over ``SALTS`` groups,
-    each of which keeps its newest rows; only those meet in the user's ranking.
+    Counted order statistics: a user's rows are counted by day before they move, and running sums of the counts, newest
+    day first, tell the days that a page touches. Rows of those days alone are read and ranked, each day by itself,
+    so a far offset moves no newer row.
     """
-    valid = parse_requests(requests).where("valid")
-    reach = valid.groupBy("usuario_id").agg(F.max(F.col("limit").cast("long") + F.col("offset")).alias("__most"))
-    asked = fact.join(reach, "usuario_id").withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    touched = touched_days(fact, requests)
+    # how far each day must be ranked
+    reach = touched.groupBy("usuario_id", "__day").agg(F.max(F.col("__to") - F.col("__newer")).alias("__most"))
+    read = fact.withColumn("__day", F.to_date("fecha")).join(reach, ["usuario_id", "__day"]).withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     newest = (F.desc("fecha"), F.desc("id"))
-    near = asked.withColumn("rn", F.row_number().over(Window.partitionBy("usuario_id", "__salt").orderBy(*newest))).where("rn <= __most")
-    ranked = near.withColumn("rn", F.row_number().over(Window.partitionBy("usuario_id").orderBy(*newest))).where("rn <= __most")
-    r, t = valid.alias("r"), ranked.alias("t")
-    inside = (F.col("r.usuario_id") == F.col("t.usuario_id")) & (F.col("t.rn") > F.col("r.offset")) & (F.col("t.rn") <= F.col("r.offset").cast("long") + F.col("r.limit"))
-    return r.join(t, inside).select("r.request_id", "r.usuario_id", "t.rn", *(f"t.{c}" for c in PAGE))
+    near = read.withColumn("__nth", F.row_number().over(Window.partitionBy("usuario_id", "__day", "__salt").orderBy(*newest))).where("__nth <= __most")
+    ranked = near.withColumn("__nth", F.row_number().over(Window.partitionBy("usuario_id", "__day").orderBy(*newest))).where("__nth <= __most").select("usuario_id", "__day", "__nth", *PAGE)
+    met = touched.join(ranked, ["usuario_id", "__day"]).withColumn("rn", (F.col("__newer") + F.col("__nth")).cast("int"))
+    return met.where("rn > __from and rn <= __to").select("request_id", "usuario_id", "rn", *PAGE)
 
 
 def history_counts(fact: DataFrame, requests: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.expressions import net_amount, stripped, uniform
-from ledgerloom.operators.evaluate import accepted, evaluate, rejected
+from ledgerloom.operators.evaluate import accepted, evaluate, rejected, repeated_ids, with_maybe_repeated
 from ledgerloom.sources.schema import FACT, RATES, RAW, REASONS, TYPES
 
 AT = datetime(2024, 11, 3, 7, 45, tzinfo=timezone.utc)
@@ -93,6 +93,26 @@ def test_an_id_sent_very_often_is_refused_after_the_first(spark):
     assert "Window" not in plan and "partial_min" in plan
 
 
+def test_only_ids_that_may_be_repeated_move(spark):
+    """Null ids and one hot id hold half of all rows; without broadcasts of data the join sees candidates only."""
+    rows = spark.range(40_000).selectExpr("case when id % 4 = 0 then null when id % 4 = 1 then 7 when id % 400 = 2 then 1000000 + id div 800 else 2000000 + id end as id", "timestamp '2025-01-05 00:00:00' as fecha", "1 as usuario_id", "cast(2 as decimal(14,2)) as monto", "'RETIRO' as tipo_transaccion", "string(null) as estado", "40000 - id as place")
+    want = sorted((r["place"], r["motivo_rechazo"]) for r in evaluate(rows, ["place"]).collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = evaluate(rows, ["place"])
+        assert sorted((r["place"], r["motivo_rechazo"]) for r in done.collect()) == want
+        assert [r["n"] for r in done.groupBy("motivo_rechazo").agg(F.count("*").alias("n")).orderBy("motivo_rechazo").collect()] == [19_950 + 1, 10_000 - 1 + 50, 10_000]
+        again = repeated_ids(rows, ["place"])
+        seen = with_maybe_repeated(rows, again)
+        assert seen.where("__maybe and id is null").count() == 0
+        assert seen.where("__maybe").join(again, F.col("id") == F.col("__id"), "left_semi").count() == rows.join(again, F.col("id") == F.col("__id"), "left_semi").count()
+        assert seen.where("__maybe").count() < 10_000 + 100 + 50
+        plan = done._jdf.queryExecution().executedPlan().toString()
+        assert "bitmap_construct_agg" in plan and "Union" in plan and "Python" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_null_ids_are_never_duplicates(spark):
     rows = [(None, AT, 1, D("1.00"), "COMPRA", None)] * 3
     assert set(reasons(spark, rows).values()) == {"id_nulo"}

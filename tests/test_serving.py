@@ -1,4 +1,5 @@
 import json
+import re
 from decimal import Decimal as D
 
 import pytest
@@ -73,8 +74,22 @@ def test_plans_of_the_registered_queries(spark, small):
     page = QUERIES["user_history_page"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in page
     batch = QUERIES["history_batch"](spark, small)._jdf.queryExecution().executedPlan().toString()
-    # ranked by user and group first, cut at the user's own reach, then by user
-    assert "usuario_id" in batch and "__salt" in batch and batch.count("(rn") >= 2 and "__most" in batch
+    # counted by user and day, then only the touched days' rows are ranked
+    assert "partial_count" in batch and "__newer" in batch and "__day" in batch
+    assert not re.search(r"Window \[row_number\(\)[^\n]*?\], \[usuario_id#\d+\], ", batch)
+
+
+def test_a_far_page_reads_no_other_day(spark, tmp_path):
+    """Rows that are ranked are those of the page's days."""
+    many = spark.range(6_000).selectExpr("id", "timestamp '2024-01-01' + make_interval(0,0,0,id % 60,0,0,id div 60) as fecha", "int(6) as usuario_id", "cast(1 as decimal(14,2)) as monto", "cast(1 as decimal(14,2)) as monto_neto", "'RETIRO' as tipo_transaccion", "'FALLIDA' as estado")
+    found = serving.history_rows(many, asked(spark, [("6", "10", "5795"), ("6", "1000", "5990"), ("6", "3", "6000"), ("6", "120", "50")]))
+    want = [r["id"] for r in many.orderBy(F.desc("fecha"), F.desc("id")).collect()]
+    pages = {}
+    for r in sorted(found.collect(), key=lambda r: r["rn"]):
+        pages.setdefault(r["request_id"], []).append(r["id"])
+    assert pages == {0: want[5795:5805], 1: want[5990:], 3: want[50:170]}
+    days = serving.touched_days(many, asked(spark, [("6", "10", "5795")])).collect()
+    assert sorted((str(d["__day"]), d["__newer"]) for d in days) == [("2024-01-02", 5800), ("2024-01-03", 5700)]
 
 
 def test_documents(spark, rows):
