@@ -9,10 +9,11 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import audit, evaluate
 from ..sources.schema import FACT, REJECT
-from ..sources.store import Store, write_clustered, write_metrics, write_summary
+from ..sources.store import Store, write_clustered, write_metrics, write_summary, written_files
 
 
 def together(spark: SparkSession, *jobs: Callable[[], object]) -> list:
@@ -39,15 +40,28 @@ def load(store: Store, raw: DataFrame, order: list[str]) -> LoadResult:
     The evaluated rows are written once (accepted rows with their net amount), so the split does not repeat the
     search for repeated ids; rows by reason and control totals are observed on that write and need no scan. Rejects are written even if no row is accepted, in the staging
     folder; readers see nothing of a load that fails. The version holds a metrics document: rows, rejects by
-    reason, seconds by phase, rows a second and the audited totals (to the moment of publication).
+    reason, seconds by phase, rows a second, files and megabytes of the fact, and the audited totals (to the moment of publication).
+    A load that fails gives up the lease of its staging folder; one that another load overtook raises ConcurrentLoadError.
     """
-    spark, seconds, staged = store.spark, {}, store.stage()
+    staged = store.stage()
+    try:
+        return _load(store, raw, order, staged)
+    except Exception:
+        if store.staged(staged):
+            store.release(staged)
+        raise
+
+
+def _load(store: Store, raw: DataFrame, order: list[str], staged: str) -> LoadResult:
+    spark, seconds = store.spark, {}
     began = started = time.time()
 
     def took(step: str) -> None:
         nonlocal began
         seconds[step] = round(time.time() - began, 3)
         began = time.time()
+        if store.staged(staged):
+            store.renew(staged)
 
     evaluate.repeated_ids(raw, order).write.parquet(staged + "/again")
     took("repeated ids")
@@ -73,7 +87,10 @@ def load(store: Store, raw: DataFrame, order: list[str]) -> LoadResult:
         write_summary(written, staged)
         return audit.reconcile(expected, spark.read.parquet(staged + "/summary"))
 
-    totals, broken = together(spark, summarised, lambda: audit.constraint_report(written).where("violaciones > 0").collect())
+    def files() -> tuple:
+        return tuple(written_files(written).agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first())
+
+    totals, broken, (batches, size) = together(spark, summarised, lambda: audit.constraint_report(written).where("violaciones > 0").collect(), files)
     if broken:
         raise audit.ReconciliationError(f"constraints violated: {broken}")
     took("audit")
@@ -86,6 +103,9 @@ def load(store: Store, raw: DataFrame, order: list[str]) -> LoadResult:
         "tiempos_s": dict(seconds),
         "total_s": round(total, 3),
         "total_filas_por_segundo": round(report["filas_leidas"] / max(total, 1e-3)),
+        "lotes": batches,
+        "mb_enviados": round(size / 1e6, 3),
+        "filas_escritas_por_segundo": round(report["filas_aceptadas"] / max(seconds["write"], 1e-3)),
         "auditoria": dict(zip(("total_transacciones", "monto_total", "monto_neto_total"), map(str, totals), strict=True)),
         "escrito_en": datetime.now(timezone.utc).isoformat(),
     }

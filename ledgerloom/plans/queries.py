@@ -14,7 +14,7 @@ from ..operators import audit, request_log, sampling, serving, summary
 from ..operators.evaluate import accepted, evaluate, normalize, rejected
 from ..sources.fixtures import ODD_REQUESTS, raw_transactions, requests, table
 from ..sources.schema import DEFAULT_STATE, FACT, RATES, RAW, REASONS, STATES, TYPES
-from ..sources.store import Store, write_version
+from ..sources.store import Store, read_csv, write_csv, write_version
 from .load import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,6 +136,13 @@ def published_snapshot(spark, sf_dir):
     return published(spark, sf_dir).fact().withColumn("fecha", F.col("fecha").cast("timestamp_ntz"))
 
 
+def csv_round_trip(spark, sf_dir):
+    """The fact written in the bulk format, in files of bounded size, and read back in its own types."""
+    path = shared_root(spark)
+    write_csv(fact(spark, sf_dir).withColumn("fecha", F.col("fecha").cast("timestamp")), path)
+    return read_csv(spark, path).withColumn("fecha", F.col("fecha").cast("timestamp_ntz"))
+
+
 def synthetic_uniforms(spark, sf_dir):
     """The reproducible random numbers by order, in whole 32-bit steps."""
     k = F.col("o_orderkey")
@@ -185,7 +192,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         normalized_transactions, rejection_reasons, accepted_transactions, rejected_transactions, reject_counts, control_totals,
         summary_by_type, summary_document, user_history_page, history_batch, history_page_counts, request_status,
-        history_json, busiest_user, constraint_report, source_profile, source_head, summary_consistency, reconciliation, published_snapshot,
+        history_json, busiest_user, constraint_report, source_profile, source_head, summary_consistency, reconciliation, published_snapshot, csv_round_trip,
         synthetic_uniforms, schema_description, request_log_report, request_log_series, request_log_history, order_sample, order_sample_by_price, run_report,
     )
 }
@@ -314,6 +321,7 @@ ORACLE: dict[str, str] = {
     + ", ".join(f"sum({c}) FILTER (tipo_transaccion IS NOT NULL) = sum({c}) FILTER (tipo_transaccion IS NULL) AS {n}" for c, n in (("total_transacciones", "conteo_cuadra"), ("monto_total", "monto_cuadra"), ("monto_neto_total", "neto_cuadra")))
     + ", bool_and(monto_neto_total <= monto_total) AS neto_no_excede FROM s",
     "reconciliation": f"WITH {_EVALUATED_SQL} SELECT {_SUMS} FROM fact",
+    "csv_round_trip": f"WITH {_EVALUATED_SQL} SELECT * FROM fact",
     "published_snapshot": f"WITH {_EVALUATED_SQL} SELECT * FROM fact",
     "synthetic_uniforms": "SELECT o_orderkey AS clave, ('0x' || substr(md5('42:type:' || o_orderkey), 1, 8))::BIGINT AS tipo_u, ('0x' || substr(md5('42:state:' || o_orderkey), 1, 8))::BIGINT / 4294967296.0 < 0.9 AS completada FROM orders",
     "schema_description": f"WITH {_EVALUATED_SQL} "

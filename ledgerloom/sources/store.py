@@ -1,13 +1,19 @@
 """A store of published versions: data are staged, audited, moved, and made current by one pointer file.
 
-Layout below the root: ``staging/<load>/``, ``versions/<load>/{fact,summary,rejects}`` and ``CURRENT``, which
-names the live version; a loaded version has its ``metrics``, one JSON document, as well. Readers resolve the pointer once, so fact and summary always belong together.
+Layout below the root: ``staging/<load>/``, ``versions/<load>/{fact,summary,rejects}`` and ``pointers/<number>``, the
+largest of which names the live version; a loaded version has its ``metrics``, one JSON document, as well. Readers resolve
+the pointer once, so fact and summary always belong together. A pointer is created and never overwritten: each load
+notes the number that was live when it began, and of two loads that began on the same version the second to publish
+is refused. This rests on a file system that creates a file only where there is none, as HDFS does; on local disks
+loads of one driver are kept apart by a lock. The note is the staging folder's lease as well: clean-up spares young leases.
 All file operations go through Hadoop's file system API, so the root may lie in any store Spark can write.
 """
 
 from __future__ import annotations
 
 import json
+import threading
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -17,6 +23,13 @@ from pyspark.sql import functions as F
 from ..operators import summary as summaries
 from .schema import FACT, REJECT, STORED_SUMMARY
 
+LEASE = "_lease"
+_POINTING = threading.Lock()
+
+
+class ConcurrentLoadError(RuntimeError):
+    """Another load was published first; this one was not."""
+
 
 @dataclass
 class Store:
@@ -31,12 +44,28 @@ class Store:
     def path(self, *parts: str) -> str:
         return "/".join((self.root.rstrip("/"), *parts))
 
+    def _read(self, path: str) -> str:
+        fs, at = self._fs(path)
+        stream = fs.open(at)
+        try:
+            return self.spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream).decode()
+        finally:
+            stream.close()
+
+    def _pointer(self) -> tuple[int, str | None]:
+        """The number and the name of the live version; one that is still being written does not count."""
+        fs, at = self._fs(self.path("pointers"))
+        numbers = sorted((int(f.getPath().getName()) for f in fs.listStatus(at)), reverse=True) if fs.exists(at) else []
+        for number in numbers:
+            text = self._read(self.path("pointers", f"{number:012d}"))
+            if text.endswith("\n"):
+                return number, text.strip()
+        return 0, None
+
     def current(self) -> str | None:
         """The live version's path, None before the first publication."""
-        fs, at = self._fs(self.path("CURRENT"))
-        if not fs.exists(at):
-            return None
-        return self.path("versions", self.spark.read.text(self.path("CURRENT")).first()[0])
+        load = self._pointer()[1]
+        return load and self.path("versions", load)
 
     def live(self) -> str:
         """The live version's path; an error before the first publication."""
@@ -56,39 +85,74 @@ class Store:
 
     def metrics(self) -> dict:
         """The metrics document of the load that made the live version."""
-        return json.loads(self.spark.read.text(self.live() + "/metrics").first()[0])
+        return json.loads(self._read(self.live() + "/metrics/part-0.txt"))
 
     def stage(self) -> str:
-        """A fresh staging folder's path."""
-        return self.path("staging", uuid.uuid4().hex)
-
-    def drop_staging(self) -> None:
-        """Deletes what abandoned loads left; no load may be running."""
+        """A fresh staging folder, with a lease that notes the live version's number."""
+        staged = self.path("staging", uuid.uuid4().hex)
+        self._write(staged + "/" + LEASE, f"{self._pointer()[0]}\n")
+        return staged
+
+    def staged(self, staged: str) -> bool:
+        """Whether the folder still waits for its publication, under a lease."""
+        fs, at = self._fs(staged + "/" + LEASE)
+        return fs.exists(at)
+
+    def renew(self, staged: str) -> None:
+        """Makes the lease young again; a load does so between its steps."""
+        fs, at = self._fs(staged + "/" + LEASE)
+        fs.setTimes(at, int(time.time() * 1000), -1)
+
+    def release(self, staged: str) -> None:
+        """Gives up the lease of a load that failed: the next clean-up may take its folder."""
+        fs, at = self._fs(staged + "/" + LEASE)
+        fs.delete(at, False)
+
+    def drop_staging(self, lease_seconds: float = 24 * 3600) -> list[str]:
+        """Deletes the staging folders whose load gave up its lease, or has not renewed it for so long; returns their names."""
         fs, at = self._fs(self.path("staging"))
-        if fs.exists(at):
-            fs.delete(at, True)
+        dropped = []
+        for folder in fs.listStatus(at) if fs.exists(at) else []:
+            name = folder.getPath().getName()
+            lease = self._fs(self.path("staging", name, LEASE))[1]
+            if not fs.exists(lease) or fs.getFileStatus(lease).getModificationTime() < (time.time() - lease_seconds) * 1000:
+                fs.delete(folder.getPath(), True)
+                dropped.append(name)
+        return dropped
 
     def publish(self, staged: str) -> str:
-        """Moves a staged folder among the versions, then replaces the pointer; returns the version's path."""
+        """Moves a staged folder among the versions, then creates the next pointer; returns the version's path.
+
+        ConcurrentLoadError where another load published since this one was staged. Its data are then no version that any
+        reader sees, and go back to the staging folder without a lease.
+        """
         load = staged.rstrip("/").rpartition("/")[2]
+        began = int(self._read(staged + "/" + LEASE))
         fs, source = self._fs(staged)
         _, target = self._fs(self.path("versions", load))
         fs.mkdirs(target.getParent())
         if not fs.rename(source, target):
             raise OSError(f"cannot move {staged} to {target}")
-        self._point_to(load)
+        try:
+            with _POINTING:
+                if self._pointer()[0] != began:
+                    raise ConcurrentLoadError(f"another load was published after {load} had begun")
+                self._write(self.path("pointers", f"{began + 1:012d}"), load + "\n")
+        except Exception as error:
+            fs.rename(target, source)
+            self.release(staged)
+            if "FileAlreadyExists" in str(error):
+                raise ConcurrentLoadError(f"another load was published while {load} was") from error
+            raise
+        self.release(self.path("versions", load))
         return self.path("versions", load)
 
-    def _point_to(self, load: str) -> None:
-        jvm = self.spark._jvm
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs(self.root)[0].getUri(), self.spark._jsc.hadoopConfiguration())
-        fs, fresh = self._fs(self.path(f"CURRENT.{uuid.uuid4().hex}"))
-        out = fs.create(fresh, True)
-        out.write(bytearray((load + "\n").encode()))
+    def _write(self, path: str, text: str) -> None:
+        """A new small file; an error if there is one."""
+        fs, at = self._fs(path)
+        out = fs.create(at, False)
+        out.write(bytearray(text.encode()))
         out.close()
-        overwrite = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(fresh, self._fs(self.path("CURRENT"))[1], overwrite)
 
     def init(self, reset: bool = False) -> str:
         """Publishes an empty fact with a zero total, unless a version is live already (``reset``: always)."""
@@ -124,6 +188,17 @@ def write_csv(fact: DataFrame, path: str, rows_per_file: int = 50_000) -> None:
     fact.select(*FACT.names, *(c for c in fact.columns if c not in FACT.names)).write.option("header", "false").option("maxRecordsPerFile", rows_per_file).mode("overwrite").csv(path)
 
 
+def written_files(df: DataFrame) -> DataFrame:
+    """archivo, filas, bytes of each file that ``df`` is read from; files without a row do not appear."""
+    found = df.groupBy(F.col("_metadata.file_path").alias("archivo"), F.col("_metadata.file_size").alias("bytes"))
+    return found.agg(F.count("*").alias("filas")).select("archivo", "filas", "bytes")
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_csv`` wrote, in the fact's columns and types; a malformed line is an error."""
+    return spark.read.schema(FACT).option("header", "false").option("mode", "FAILFAST").csv(path)
+
+
 def read_batch(spark: SparkSession, path: str) -> DataFrame:
     """A raw batch with the declared schema, plus ``file`` and ``row``, its input order."""
     from ..operators.evaluate import with_input_order

@@ -8,8 +8,8 @@ from ledgerloom.operators import audit
 from ledgerloom.operators.evaluate import accepted, evaluate
 from ledgerloom.operators.summary import consistency, type_summary
 from ledgerloom.plans.load import load
-from ledgerloom.sources.schema import FACT, RAW
-from ledgerloom.sources.store import Store, read_batch, write_clustered, write_csv
+from ledgerloom.sources.schema import FACT, RAW, REJECT
+from ledgerloom.sources.store import ConcurrentLoadError, Store, read_batch, read_csv, write_clustered, write_csv, write_version, written_files
 
 AT = datetime(2025, 6, 1, 12, tzinfo=timezone.utc)
 
@@ -39,7 +39,7 @@ def test_publish_and_read_back(spark, tmp_path):
     assert store.fact().count() == 7 and store.rejects().count() == 2
     doc = store.metrics()
     assert doc == result.metrics and (doc["filas_leidas"], doc["filas_cargadas"], doc["rechazos_por_motivo"]) == (9, 7, {"duplicado": 2})
-    assert doc["auditoria"]["monto_neto_total"] == "58.80" and doc["total_filas_por_segundo"] > 0 and set(doc["tiempos_s"]) == {"repeated ids", "evaluate", "write", "audit"}
+    assert doc["auditoria"]["monto_neto_total"] == "58.80" and doc["total_filas_por_segundo"] > 0 and (doc["lotes"] > 0) and doc["mb_enviados"] > 0 and set(doc["tiempos_s"]) == {"repeated ids", "evaluate", "write", "audit"}
     assert result.totals == (7, D("70.00"), D("58.80"))
     assert spark.read.parquet(first + "/fact").count() == 0  # the old version is still whole
     assert store.init(reset=True) == store.current() != result.version
@@ -58,6 +58,54 @@ def test_empty_load_publishes_nothing_but_writes_rejects(spark, tmp_path):
         spark.read.parquet(store.path("staging") + "/*/rejects").count()
 
 
+def test_of_two_loads_at_once_one_is_refused(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    before = store.init()
+    at = Barrier(2)
+
+    def one(rows):
+        staged = store.stage()
+        write_version(accepted(evaluate(raw(spark, rows), ["place"])), spark.createDataFrame([], REJECT), staged)
+        at.wait()
+        try:
+            return store.publish(staged)
+        except ConcurrentLoadError as error:
+            return error
+
+    with ThreadPoolExecutor(2) as pool:
+        done = list(pool.map(one, (GOOD, GOOD[:3])))
+    refused = [d for d in done if isinstance(d, ConcurrentLoadError)]
+    (version,) = [d for d in done if isinstance(d, str)]
+    assert len(refused) == 1 and store.current() == version != before
+    assert store.fact().count() == (7 if done[0] == version else 3) == store.summary().where("tipo_transaccion is null").first()["total_transacciones"]
+    # the refused load's folder has no lease and goes; the one of a load that runs stays until its lease is old
+    running = store.stage()
+    assert len(store.drop_staging()) == 1 and store.staged(running)
+    assert load(store, raw(spark, GOOD), ["place"]).version == store.current()
+    with pytest.raises(ConcurrentLoadError):
+        store.publish(running)
+    old = store.stage()
+    assert set(store.drop_staging(-60)) == {x.rpartition("/")[2] for x in (running, old)}
+
+
+def test_csv_round_trip_and_its_files(spark, small, tmp_path):
+    from ledgerloom.plans.queries import fact
+
+    rows = fact(spark, small).withColumn("fecha", F.col("fecha").cast("timestamp"))
+    write_csv(rows, f"file://{tmp_path}/csv", 100)
+    back = read_csv(spark, f"file://{tmp_path}/csv")
+    assert back.exceptAll(rows).count() == rows.exceptAll(back).count() == 0
+    files = written_files(back).collect()
+    assert sum(f["filas"] for f in files) == rows.count() and max(f["filas"] for f in files) == 100
+    assert sum(f["bytes"] for f in files) == sum(p.stat().st_size for p in tmp_path.glob("csv/part-*"))
+    (tmp_path / "bad.csv").write_text("1,nonsense,3\n")
+    with pytest.raises(Exception, match="[Mm]alformed|MALFORMED"):
+        read_csv(spark, f"file://{tmp_path}/bad.csv").collect()
+
+
 def test_tampered_staging_is_refused(spark):
     fact = accepted(evaluate(raw(spark, GOOD), ["place"]))
     summary = type_summary(fact)
