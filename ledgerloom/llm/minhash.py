@@ -8,11 +8,12 @@
 2. Equal sets form a class, of which one row is banded: ``BANDS`` bands of ``ROWS`` coordinates. Two sets at a
    similarity of 0.8 share no band once in 10 ** 8.
 3. In small buckets all pairs are candidates. A larger bucket has a leader that meets every member: the first in one
-   order of all classes, so the buckets of a group share few leaders, and pairs that many bands name are tried once. By the triangle inequality
-   of Jaccard distance linked and far members cannot link, and a part that is one component needs no pair. Parts
-   that stay open get other leaders, ``ROUNDS`` times; each round costs in proportion to their members.
-   What is left is paired across components, each pair in the first band that it shares only: had it been ruled
-   out there, or tried, no other band need look at it. Parts of over ``BLOCK`` members are dealt out in blocks.
+   order of all classes, so the buckets of a group share few leaders. Buckets pass a task as sorted streams that hold
+   ``SMALL`` rows. From there on the members of all buckets of one leader are one cluster, in which each class
+   stands once, however many bands it shares. By the triangle inequality of Jaccard distance linked and far members
+   of a cluster cannot link, and a part that is one component needs no pair. Parts that stay open get other leaders,
+   ``ROUNDS`` times; each round costs in proportion to their members. What is left is paired across components,
+   where a pair shares a band. Parts of over ``BLOCK`` members are dealt out in blocks.
 4. Parity bitmaps rule most unlike pairs out with certainty; the others are verified on the full sets of
    whole texts. Components come from star rounds.
 
@@ -31,16 +32,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents_only, map_texts, materialize, mix64, table, tidy
-from .similarity_join import _linked, _open, _shared_ids, _with_roots, bucket_pairs, needed, parity_bitmaps, shingle_sets
+from .similarity_join import _linked, _open, _runs, _shared_ids, _with_roots, needed, parity_bitmaps, shingle_sets
 
 SIZE = 512
 BANDS, ROWS = 60, 6
-#: A bucket's key ends in the number of its band.
-BAND_BITS = 6
 SMALL, ROUNDS, BLOCK = 8, 2, 4096
 #: Hashes computed at once.
 AT_ONCE = 1 << 17
@@ -134,48 +133,91 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     return some.unionByName(none).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _key(band: Column, *of: Column | str) -> Column:
-    return F.xxhash64(*of).bitwiseAND(F.lit(-1 << BAND_BITS)).bitwiseOR(band.cast("long"))
+BUCKETS = "kind int, u long, v long, n int"
 
 
-def _band(key: str = "key") -> Column:
-    return F.col(key).bitwiseAND(F.lit((1 << BAND_BITS) - 1))
+def _buckets(tokens: DataFrame, num: int, den: int, small: int) -> DataFrame:
+    """Of the buckets of up to ``small`` members the candidate pairs (kind 0; u, v), of the others each member with its
+    leader (kind 1; u the leader, v and n the member). ``tokens``: key, g, n."""
+
+    def out(kind: int, u: np.ndarray, v: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind), pa.int32()), pa.array(u), pa.array(v), pa.array(n, pa.int32())], ["kind", "u", "v", "n"])
+
+    def whole(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, g, n = rows
+        begins = _runs(key)
+        sizes = np.diff(np.append(begins, len(key)))
+        size, first = np.repeat(sizes, sizes), np.repeat(begins, sizes)
+        led = (size > small) & (g[first] != g)
+        yield from out(1, g[first][led], g[led], n[led])
+        place, found = np.arange(len(key)) - first, []
+        for gap in range(1, int(size[size <= small].max(initial=1))):
+            i = np.flatnonzero((size <= small) & (place + gap < size))
+            j = i + gap
+            ok = (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & (g[i] != g[j])
+            found.append(np.stack([np.minimum(g[i[ok]], g[j[ok]]), np.maximum(g[i[ok]], g[j[ok]])]))
+        if found:
+            u, v = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield from out(0, u, v, u * 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((3, 0), np.int64)  # rows of the last key of a batch, which may go on in the next
+        led = None  # a key that is known to be large, and its leader
+        for batch in batches:
+            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "g", "n")])
+            if led:
+                on = rows[0] == led[0]
+                more = on & (rows[1] != led[1])
+                yield from out(1, np.full(more.sum(), led[1]), rows[1][more], rows[2][more])
+                if on.all():
+                    continue
+                rows, led = rows[:, ~on], None
+            rows = np.concatenate([held, rows], axis=1)
+            begin = _runs(rows[0])[-1] if rows.shape[1] else 0
+            yield from whole(rows[:, :begin])
+            held = rows[:, begin:]
+            if held.shape[1] > small:
+                led = held[0, 0], held[1, 0]
+                yield from whole(held)
+                held = held[:, :0]
+        yield from whole(held)
+
+    width = max(1, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = tokens.select("key", "g", "n", F.xxhash64("g", F.lit(0)).alias("rank")).repartition(width, "key").sortWithinPartitions("key", "rank", "g")
+    return ordered.select("key", "g", "n").mapInArrow(tidy(run), BUCKETS)
 
 
 def _roots(docs: DataFrame, made: DataFrame, classes: DataFrame, width: int, num: int, den: int, small: int, rounds: int, block: int) -> DataFrame:
     """Edges (u, v) from each linked class to its component's smallest."""
-    each = classes.select(F.col("vid").alias("g"), "n", F.posexplode("bands").alias("band", "value"))
-    tokens = each.select(_key(F.col("band"), "band", "value").alias("key"), "g", "n", F.lit(0).alias("pos"), F.col("g").alias("root"))
-    buckets = materialize(bucket_pairs(tokens, num, den, small), "buckets")
-    tried, large = buckets.where("kind = 0").select(F.col("g").alias("u"), F.col("h").alias("v")), buckets.where("kind = 1").select("key", "g", "n")
+    tokens = classes.select(F.col("vid").alias("g"), "n", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "g", "n")
+    buckets = materialize(_buckets(tokens, num, den, small), "buckets")
+    pairs = buckets.where("kind = 0").select("u", "v", F.lit(False).alias("star"))
+    met = materialize(buckets.where("kind = 1").select(F.col("u").alias("lead"), F.col("v").alias("g"), "n").distinct(), "met")
     forest = _shared_ids(made, classes)
-    pairs = tried.withColumn("star", F.lit(False))
-    for turn in range(rounds):
-        if large.isEmpty():
-            return _linked(forest, pairs, classes, docs, width, num, den)[0]
-        met = materialize(_led(large, turn), "met")
+    for turn in range(1, rounds + 1):
         stars = met.select(F.col("lead").alias("u"), F.col("g").alias("v"), F.lit(True).alias("star"))
         forest, near = _linked(forest, pairs.unionByName(stars), classes, docs, width, num, den)
-        pairs = stars.where("false")
         large = materialize(_open(_with_roots(_parts(met, near), forest)), "open")
-    if large.isEmpty():
-        return forest
-    left = _first_met(large, classes, num, den, block).withColumn("star", F.lit(False))
+        if large.isEmpty():
+            return forest
+        if turn < rounds:
+            pairs, met = stars.where("false"), materialize(_led(large, turn), "met")
+    left = _banded_pairs(large, classes, num, den, block).withColumn("star", F.lit(False))
     return _linked(forest, left, classes, docs, width, num, den)[0]
 
 
 def _led(large: DataFrame, turn: int) -> DataFrame:
-    """The members with their bucket's leader, the first in the order of the turn, which is that of all bands."""
-    order = F.xxhash64("g", F.lit(turn))
-    leads = large.groupBy("key").agg(F.min_by("g", order).alias("lead"))
-    return large.select("key", "g", "n").join(leads, "key").where("g != lead")
+    """The members with their part's leader, the first in the order of the turn, which is that of all parts."""
+    leads = large.groupBy("key").agg(F.min_by("g", F.xxhash64("g", F.lit(turn))).alias("lead"))
+    return large.select("key", "g", "n").join(leads, "key").where("g != lead").select("lead", "g", "n").distinct()
 
 
 def _parts(met: DataFrame, near: DataFrame) -> DataFrame:
-    """The buckets' members without their leaders, dealt into the parts within which links may be left: 0 linked and near ones, 1 near and far ones."""
+    """The clusters' members without their leaders, dealt into the parts within which links may be left: 0 linked and near ones, 1 near and far ones."""
     told = met.select("*", F.least("lead", "g").alias("u"), F.greatest("lead", "g").alias("v")).join(near, ["u", "v"], "left")
     part = F.when(F.col("linked"), F.array(F.lit(0))).when(F.col("linked").isNull(), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
-    return told.select("key", "g", "n", F.explode(part).alias("part")).select(_key(_band(), "key", "part").alias("key"), "g", "n")
+    return told.select("lead", "g", "n", F.explode(part).alias("part")).select(F.xxhash64("lead", "part").alias("key"), "g", "n")
 
 
 #: Bytes of the folded bitmaps that pairs are compared by, the longest that both have.
@@ -208,8 +250,8 @@ def least_difference(a: tuple, b: tuple, u: np.ndarray, v: np.ndarray) -> np.nda
     return out
 
 
-def _first_met(rows: DataFrame, classes: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """Pairs (u, v) of members (key, g, n, root) of different roots, in the first band that both share.
+def _banded_pairs(rows: DataFrame, classes: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """Pairs (u, v) of members (key, g, n, root) of different roots that share a band.
     Those whose parity bitmaps rule a link out with certainty are left out where they are made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,9 +266,9 @@ def _first_met(rows: DataFrame, classes: DataFrame, num: int, den: int, block: i
                 ours, theirs = at[side[at] == 0], at[side[at] == 1]
                 name, mine = (key[a], blk[a]), (g[ours], n[ours], root[ours], bands[ours], *(x[ours] for x in parity))
                 held = (name, tuple(np.concatenate([x, y]) for x, y in zip(held[1], mine, strict=True))) if held and held[0] == name else (name, mine)
-                yield from across(int(name[0]) & ((1 << BAND_BITS) - 1), held[1], (g[theirs], n[theirs], root[theirs], bands[theirs], *(x[theirs] for x in parity)))
+                yield from across(held[1], (g[theirs], n[theirs], root[theirs], bands[theirs], *(x[theirs] for x in parity)))
 
-    def across(band: int, ours: tuple, theirs: tuple) -> Iterator[pa.RecordBatch]:
+    def across(ours: tuple, theirs: tuple) -> Iterator[pa.RecordBatch]:
         step = max(1, (1 << 21) // max(1, len(ours[0])))
         for at in range(0, len(theirs[0]), step):
             g, n, root, bands, *parity = (x[at : at + step] for x in theirs)
@@ -234,8 +276,8 @@ def _first_met(rows: DataFrame, classes: DataFrame, num: int, den: int, block: i
             i, j = np.nonzero((ours[0][:, None] < g) & (ours[2][:, None] != root) & (den * small.astype(np.int64) >= num * high.astype(np.int64)))
             for k in range(0, len(i), 1 << 16):
                 u, v = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-                first = ~(ours[3][u, :band] == bands[v, :band]).any(1)
-                u, v = u[first], v[first]
+                share = (ours[3][u] == bands[v]).any(1)
+                u, v = u[share], v[share]
                 a, b = ours[1][u].astype(np.int64), n[v].astype(np.int64)
                 may = least_difference(ours[4:], tuple(parity), u, v) <= a + b - 2 * needed(a, b, num, den)
                 yield pa.RecordBatch.from_arrays([pa.array(ours[0][u[may]]), pa.array(g[v[may]])], ["u", "v"])
