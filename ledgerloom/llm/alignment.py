@@ -6,7 +6,8 @@ offsets, and byte-fallback tokens of B have empty spans. Those are refined with
 
 1. A text is cut before blanks that follow no white space. Neither tokenizer joins anything over such a place
    (A's pre-tokeniser begins a word there, none of B's pieces has a blank behind another character), so a chunk's
-   tokens, groups and links are its own; each distinct chunk of a worker is tokenised once.
+   tokens, groups and links are its own; each distinct chunk of a worker is tokenised once, many in one call where
+   that alters none of their bytes.
 2. Texts are read once, in slices. A slice is written as one row: its texts' numbers and digests, its distinct
    linked id pairs with the number of its texts that hold each, and which text holds which pair how often.
 3. The pairs' counts are summed over all slices and the highest of each A id is marked.
@@ -44,6 +45,8 @@ LARGE = 1 << 12
 HOT = 1 << 17
 #: An id pair as one number: a * B_IDS + b.
 B_IDS = 1 << 17
+#: Chunks that are tokenised in one call, then those of a call that altered one of them.
+JOINED = (64, 8)
 #: White space (Unicode's property) of several bytes in UTF-8.
 WIDE_SPACE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
@@ -74,6 +77,10 @@ def refined(coarse: np.ndarray, exact: np.ndarray, sizes: np.ndarray, firsts: np
     return np.where(inside, coarse[last] + total - total[last], begins + total - (total - sizes)[firsts])
 
 
+#: Characters behind which a blank begins no chunk, as in ``chunk_starts``.
+JOINS_BLANKS = frozenset(map(chr, range(33))) | {"\x7f"} | {c.decode() for c in WIDE_SPACE}
+
+
 class Aligner:
     """Both tokenizers, and what is known of the chunks seen so far."""
 
@@ -130,11 +137,11 @@ class Aligner:
         counts = np.array([len(x) for x in lists], np.int64)
         ids_a = np.array(list(chain.from_iterable(lists)), np.int64)
         offsets = [e.offsets for e in encoded]
-        ends = np.array([o[1] for x in offsets for o in x], np.int64)
+        begins, ends = np.fromiter(chain.from_iterable(chain.from_iterable(offsets)), np.int64).reshape(-1, 2).T
         of_a = np.repeat(np.arange(len(words)), counts)
         last = np.append(of_a[1:] != of_a[:-1], True) if len(of_a) else np.zeros(0, bool)
         if len(char_at) <= len(raw):  # else every character is a byte, and no two tokens share one
-            exact = last | (np.append(np.array([o[0] for x in offsets for o in x], np.int64)[1:], 0) >= ends)
+            exact = last | (np.append(begins[1:], 0) >= ends)
         else:
             exact = np.ones(len(ends), bool)
         firsts = np.repeat(np.cumsum(counts) - counts, counts)
@@ -149,15 +156,53 @@ class Aligner:
         firsts = np.repeat(np.cumsum(counts) - counts, counts)
         return ids_a, ends_a, of_a, spans[:, 0], refined(coarse, exact, self.sizes_b[spans[:, 0]], firsts, starts[of_b]), of_b, starts
 
-    def _learn(self, words: list[str]) -> None:
-        ids_a, ends_a, of_a, ids_b, ends_b, of_b, starts = self.spans(words)
-        counts = [np.bincount(of, minlength=len(words)) for of in (of_a, of_b)]
+    def _unaltered(self, words: list[str], ids_a: np.ndarray, of_a: np.ndarray, ids_b: np.ndarray, of_b: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Of each word whether the bytes of its tokens are its own, for both tokenizers."""
         raw = "".join(words).encode()
         same = np.ones(len(words), bool)
-        for ids, n, table, sizes in ((ids_a, counts[0], self.bytes_a, self.sizes_a), (ids_b, counts[1], self.bytes_b, self.sizes_b)):
+        for ids, of, table, sizes in ((ids_a, of_a, self.bytes_a, self.sizes_a), (ids_b, of_b, self.bytes_b, self.sizes_b)):
             joined = b"".join(map(table.__getitem__, ids.tolist()))
-            at = np.concatenate([[0], np.cumsum(sizes[ids])])[np.concatenate([[0], np.cumsum(n)])].tolist()
+            at = np.concatenate([[0], np.cumsum(sizes[ids])])[np.searchsorted(of, np.arange(len(words) + 1))].tolist()
             same &= np.fromiter((joined[a:b] == raw[c:d] for a, b, c, d in zip(at, at[1:], starts.tolist(), starts[1:].tolist())), bool, len(words))
+        return same
+
+    def _learn(self, words: list[str]) -> None:
+        """Chunks are tokenised many in one call where a blank splits them; those of a call whose tokens differ from its
+        bytes or go over a chunk's end are tokenised again in smaller calls, at last each alone."""
+        alone = [w for w in words if w[-1] in JOINS_BLANKS]
+        if alone:
+            words = [w for w in words if w[-1] not in JOINS_BLANKS]
+        for size in JOINED:
+            if not words:
+                break
+            calls = ["".join(words[k : k + size]) for k in range(0, len(words), size)]
+            ids_a, ends_a, of_a, ids_b, ends_b, of_b, starts = self.spans(calls)
+            good = self._unaltered(calls, ids_a, of_a, ids_b, of_b, starts)
+            call = np.arange(len(words)) // size
+            raw = np.frombuffer("".join(calls).encode(), np.uint8)
+            char_at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+            ends = char_at[np.cumsum([len(w) for w in words])]
+            for found in (ends_a, ends_b):
+                good[call[~np.isin(ends, found)]] = False
+            kept = good[call]
+            number = np.cumsum(kept) - 1
+            tokens = []
+            for ids, at, of in ((ids_a, ends_a, of_a), (ids_b, ends_b, of_b)):
+                held = good[of]
+                tokens += [ids[held], at[held], number[np.searchsorted(ends, at[held])]]
+            self._store(words if kept.all() else [w for w, k in zip(words, kept.tolist()) if k], *tokens)
+            words = [] if kept.all() else [w for w, k in zip(words, kept.tolist()) if not k]
+        alone += words
+        if alone:
+            ids_a, ends_a, of_a, ids_b, ends_b, of_b, starts = self.spans(alone)
+            self._store(alone, ids_a, ends_a, of_a, ids_b, ends_b, of_b, self._unaltered(alone, ids_a, of_a, ids_b, of_b, starts))
+
+    def _store(self, words: list[str], ids_a: np.ndarray, ends_a: np.ndarray, of_a: np.ndarray, ids_b: np.ndarray, ends_b: np.ndarray, of_b: np.ndarray, same: np.ndarray | None = None) -> None:
+        """Remembers the chunks with their tokens, groups and links; ``same``: which chunks' bytes are kept (else all)."""
+        if not words:
+            return
+        same = np.ones(len(words), bool) if same is None else same
+        counts = [np.bincount(of, minlength=len(words)) for of in (of_a, of_b)]
         keep_a, keep_b = same[of_a], same[of_b]
         ids_a, ends_a, of_a, ids_b, ends_b = ids_a[keep_a], ends_a[keep_a], of_a[keep_a], ids_b[keep_b], ends_b[keep_b]
         # groups: both end at the same places

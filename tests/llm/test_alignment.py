@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers as P
 import pytest
@@ -110,3 +111,15 @@ def test_odd_rows(spark, aligner, odd, empty):
     assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(plain(aligner, rows), key=key)
     assert al.align(empty).collect() == []
     assert aligned(spark, [(1, None), (2, "")]) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
+
+
+def test_chunks_in_one_call_are_those_of_calls_of_their_own(monkeypatch):
+    paths = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
+    rnd = random.Random(8)
+    letters = "abcdefgh éüß☃中\U0001f600\t\n\x01\x7f　​ﬁ▁"
+    texts = pa.array(["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 60))) for _ in range(400)] + ["plain words of a line " * 40, None, ""])
+    together = al.Aligner(*paths).slice(texts)
+    monkeypatch.setattr(al, "JOINED", ())
+    alone = al.Aligner(*paths).slice(texts)
+    assert together["digests"] == alone["digests"] and any(alone["digests"])
+    assert all(np.array_equal(together[k], alone[k]) for k in ("numbers", "keys", "holders", "ends", "pairs", "times"))
