@@ -24,30 +24,38 @@ def repeated_ids(rows: DataFrame, order: list[str]) -> DataFrame:
     return found.where("__rows > 1").select(F.col("id").alias("__id"), "__least")
 
 
-#: Bits of the map of repeated ids: 1,024 rows of 4 KB at most, whatever the batch's size.
+#: Bits of the map of repeated ids: 2^19 rows of 64 bits at most, whatever the batch's size.
 MAP_BITS = 25
+#: Words of 64 bits in one of the bitmaps that Spark's functions build.
+WORDS = 1 << 9
 
 
 def _place(id: Column) -> Column:
-    """An id's bit in the map, from 1 on, as the bitmap functions number them."""
-    return F.pmod(F.xxhash64(id), F.lit(1 << MAP_BITS)) + 1
+    """An id's bit in the map, from 0 on."""
+    return F.pmod(F.xxhash64(id), F.lit(1 << MAP_BITS))
 
 
 def repeated_map(again: DataFrame) -> DataFrame:
-    """__part, __bits: a map of hashed repeated ids, of a size that does not grow."""
-    at = again.select(_place(F.col("__id")).alias("at"))
-    return at.groupBy(F.bitmap_bucket_number("at").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__bits"))
+    """__word, __bits: the words of a map of hashed repeated ids that have a bit, of a size that does not grow.
+
+    The bitmap functions number bits from 1 on and bytes from the left; a word's first byte is its highest.
+    """
+    at = again.select((_place(F.col("__id")) + 1).alias("at"))
+    maps = at.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    half = lambda i, k: F.conv(F.hex(F.substring(F.col("bits"), i * 8 + 1 + k, F.lit(4))), 16, 10).cast("bigint")
+    words = maps.select("part", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.shiftleft(half(i, 0), 32).bitwiseOR(half(i, 4)))).alias("nth", "__bits"))
+    return words.where("__bits <> 0").select(((F.col("part") - 1) * WORDS + F.col("nth")).alias("__word"), "__bits")
 
 
 def with_maybe_repeated(rows: DataFrame, again: DataFrame) -> DataFrame:
     """Adds ``__maybe``: false for null ids and for all ids that certainly come once."""
     place = _place(F.col("id"))
-    bit = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring("__bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    # the bit's value in its byte; bits are numbered from the low end
-    held = byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (bit % 8).cast("int") + 1)) != 0
-    met = rows.join(F.broadcast(repeated_map(again)), F.when(F.col("id").isNotNull(), F.bitmap_bucket_number(place)) == F.col("__part"), "left")
-    return met.withColumn("__maybe", F.coalesce(held & F.col("id").isNotNull(), F.lit(False))).drop("__part", "__bits")
+    # a row meets one number, never a whole bitmap, which would be copied for it
+    met = rows.join(F.broadcast(repeated_map(again)), F.when(F.col("id").isNotNull(), F.shiftright(place, 6)) == F.col("__word"), "left")
+    inside = F.pmod(place, F.lit(64)).cast("int")
+    bit = (F.lit(7) - F.shiftright(inside, 3)) * 8 + F.pmod(inside, F.lit(8))
+    held = F.call_function("getbit", F.col("__bits"), bit) != 0
+    return met.withColumn("__maybe", F.coalesce(held & F.col("id").isNotNull(), F.lit(False))).drop("__word", "__bits")
 
 
 def is_small(df: DataFrame) -> bool:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import uniform
 from ..operators import audit, request_log, sampling, serving, summary
-from ..operators.evaluate import accepted, evaluate, normalize, rejected
+from ..operators.evaluate import accepted, evaluate, is_small, normalize, rejected, repeated_ids
 from ..sources.fixtures import ODD_REQUESTS, raw_transactions, requests, table
 from ..sources.schema import DEFAULT_STATE, FACT, RATES, RAW, REASONS, STATES, TYPES
 from ..sources.store import Store, read_csv, write_csv, write_version
@@ -23,7 +23,15 @@ PAGE_USER, PAGE_LIMIT, PAGE_OFFSET = 8, 10, 2
 
 
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate(raw_transactions(spark, sf_dir), ORDER)
+    """The evaluated batch. Unless they are surely few, repeated ids are searched for once and written, as in ``load``:
+    their true size is then known, and no later pass over the batch looks for them again."""
+    rows = raw_transactions(spark, sf_dir)
+    again = repeated_ids(rows, ORDER)
+    if not is_small(again):
+        path = shared_root(spark) + "/again"
+        again.write.parquet(path)
+        again = spark.read.parquet(path)
+    return evaluate(rows, ORDER, again)
 
 
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:

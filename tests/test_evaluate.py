@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.expressions import net_amount, stripped, uniform
-from ledgerloom.operators.evaluate import accepted, evaluate, rejected, repeated_ids, with_maybe_repeated
+from ledgerloom.operators.evaluate import MAP_BITS, accepted, evaluate, rejected, repeated_ids, repeated_map, with_maybe_repeated
 from ledgerloom.sources.schema import FACT, RATES, RAW, REASONS, TYPES
 
 AT = datetime(2024, 11, 3, 7, 45, tzinfo=timezone.utc)
@@ -153,3 +153,31 @@ def test_no_python_in_the_plan(spark, small):
 
     plan = QUERIES["summary_by_type"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_map_of_repeated_ids_is_met_by_single_numbers(spark):
+    """Each row meets 64 bits of the map, whose bits are those of the repeated ids and no others."""
+    ids = [7, -1, 0, 2**40, *range(1000, 1500)]
+    again = spark.createDataFrame([(i,) for i in ids], "__id long")
+    words = repeated_map(again)
+    assert dict(words.dtypes) == {"__word": "bigint", "__bits": "bigint"}
+    bits = sum(bin(r["__bits"] & (1 << 64) - 1).count("1") for r in words.collect())
+    assert bits == again.select(F.pmod(F.xxhash64("__id"), F.lit(1 << MAP_BITS))).distinct().count()
+    rows = spark.createDataFrame([(i,) for i in [*ids, *range(10_000, 14_000), None]], "id long")
+    told = {r["id"]: r["__maybe"] for r in with_maybe_repeated(rows, again).collect()}
+    assert all(told[i] for i in ids) and told[None] is False and sum(told.values()) < len(ids) + 10
+
+
+def test_repeated_ids_of_a_large_batch_are_searched_for_once(spark, small):
+    """Queries read the repeated ids from a file, unless they are surely few."""
+    from ledgerloom.plans.queries import evaluated
+
+    want = sorted((r["src_id"], r["seq"], str(r["motivo_rechazo"])) for r in evaluated(spark, small).collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1000")
+    try:
+        done = evaluated(spark, small)
+        assert any("/again/" in f for f in done.inputFiles())
+        assert "partial_min" not in done._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["src_id"], r["seq"], str(r["motivo_rechazo"])) for r in done.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
