@@ -52,10 +52,9 @@ def with_maybe_repeated(rows: DataFrame, again: DataFrame) -> DataFrame:
     place = _place(F.col("id"))
     # a row meets one number, never a whole bitmap, which would be copied for it
     met = rows.join(F.broadcast(repeated_map(again)), F.when(F.col("id").isNotNull(), F.shiftright(place, 6)) == F.col("__word"), "left")
-    inside = F.pmod(place, F.lit(64)).cast("int")
-    bit = (F.lit(7) - F.shiftright(inside, 3)) * 8 + F.pmod(inside, F.lit(8))
-    held = F.call_function("getbit", F.col("__bits"), bit) != 0
-    return met.withColumn("__maybe", F.coalesce(held & F.col("id").isNotNull(), F.lit(False))).drop("__word", "__bits")
+    # bytes are numbered from a word's high end, the bits in them from the low end; a null id meets no word
+    held = F.call_function("getbit", F.col("__bits"), place.bitwiseXOR(F.lit(56)).bitwiseAND(F.lit(63)).cast("int")) != 0
+    return met.withColumn("__maybe", F.coalesce(held, F.lit(False))).drop("__word", "__bits")
 
 
 def is_small(df: DataFrame) -> bool:
@@ -82,7 +81,8 @@ def mark_first(rows: DataFrame, order: list[str], again: DataFrame | None = None
     if is_small(again):
         return told(rows)
     split = with_maybe_repeated(rows, again)
-    once = split.where("not __maybe").drop("__maybe").withColumn("__first", F.lit(True))
+    # true in each row; a literal would let filters on the reason sink below the join, in code too long to be compiled
+    once = split.where("not __maybe").withColumn("__first", ~F.col("__maybe")).drop("__maybe")
     return once.unionByName(told(split.where("__maybe").drop("__maybe")))
 
 
