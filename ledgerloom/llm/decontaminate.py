@@ -4,10 +4,10 @@
    contexts (the word with its two neighbours) each term stands, which gives inverse document frequencies:
    copies of a passage, in whatever documents, repeat its contexts and so take no weight from its words.
    Every term keeps some weight.
-2. A distributed randomised SVD of TF-IDF passages gives ``RANK`` latent directions: tasks multiply their
-   passages (of a bounded hash sample of documents, and the items) into a random subspace and back, the
-   driver orthonormalises a terms x RANK matrix, and a second pass gives the small matrix whose
-   eigenvectors rotate it. The range is improved by power iterations.
+2. A distributed randomised SVD of the TF-IDF passages of all documents and items gives ``RANK`` latent directions
+   in one pass: tasks multiply their passages into a subspace, begun at random and turned towards the items by power
+   iterations on these, and back; the driver takes the eigenvectors from that product (Nystroem's approximation of a
+   matrix of terms by terms, which is never built).
 3. Every passage of every document is projected; those whose cosine to an item reaches ``COSINE`` are
    candidates. Passages are overlapping windows that cover the whole text. So are passages with enough runs of
    ``LEAST_WORDS`` words of an item as they stand, whatever the weight of these words.
@@ -38,13 +38,11 @@ from . import blocks
 from .common import LOWER, SPACE, documents_only, map_texts, materialize, mix64, raw_bytes, table, text_slices, tidy, word_hashes, word_spans
 
 WINDOW, STRIDE = 48, 24
-RANK, EXTRA, POWER = 96, 16, 1
+RANK, EXTRA, POWER = 96, 16, 2
 COSINE, STRONG, WEAK, ANSWER_WORDS = 0.35, 0.75, 0.55, 6
 BLOCK_ITEMS = 2000
-#: The SVD's sample: about so many documents; every passage is then projected, whichever was sampled.
-FIT_DOCS = 20_000
-#: One in so many contexts is kept (by hash) to tell how many there are of all words.
-CONTEXTS = 16
+#: Registers by which the distinct contexts of all words are counted (to 1.6 %).
+REGISTERS = 1 << 12
 #: A candidate passage must hold this share of the item's mass itself (of as much of the item as fits into it).
 SHARED = 0.25
 #: Items of fewer words are matched with whole lines only.
@@ -166,18 +164,14 @@ def _summed(rows: DataFrame, size: tuple[int, int], add: Callable[[np.ndarray, p
 
 
 def random_svd(rows: DataFrame, items: pa.Array, terms: Terms, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """The leading right singular vectors (terms x rank) of the passages of ``rows`` and the items."""
+    """The leading right singular vectors (terms x rank) of the passages of all ``rows`` and the items."""
     width = min(rank + EXTRA, len(idf))
-    basis = np.linalg.qr(np.random.default_rng(1).normal(size=(len(idf), width)))[0].astype(np.float32)
 
-    def vectors(texts: pa.Array):
+    def there_and_back(total: np.ndarray, texts: pa.Array, basis: np.ndarray) -> None:
         words, counts = words_of(texts)
         begin, end, _ = windows(counts)
-        return (*passage_vectors(terms.of(words), begin, end, idf), len(begin))
-
-    def there_and_back(total: np.ndarray, texts: pa.Array, basis: np.ndarray) -> None:
-        passage, term, value, number = vectors(texts)
-        low = project(passage, term, value, number, basis)
+        passage, term, value = passage_vectors(terms.of(words), begin, end, idf)
+        low = project(passage, term, value, len(begin), basis)
         order = np.argsort(term, kind="stable")
         if len(order):
             term = term[order]
@@ -185,25 +179,24 @@ def random_svd(rows: DataFrame, items: pa.Array, terms: Terms, idf: np.ndarray,
             for a in range(0, basis.shape[1], 16):
                 total[term[begin], a : a + 16] += np.add.reduceat(low[passage[order], a : a + 16] * value[order, None], begin, axis=0)
 
-    for _ in range(1 + POWER):
-        total = _summed(rows, basis.shape, lambda t, part, basis=basis: there_and_back(t, part.column("text"), basis))
+    def of_items(basis: np.ndarray) -> np.ndarray:
         own = np.zeros(basis.shape, np.float32)
         there_and_back(own, items, basis)
-        # the items weigh as much as the sample, so that each has a direction of its own
-        total += own * max(1.0, np.linalg.norm(total) / max(1e-9, np.linalg.norm(own)))
-        basis = np.linalg.qr(total)[0].astype(np.float32)
-
-    def gram(total: np.ndarray, texts: pa.Array) -> None:
-        passage, term, value, number = vectors(texts)
-        low = project(passage, term, value, number, basis)
-        total += low.T @ low
+        return own
 
-    small = _summed(rows, (width, width), lambda t, part: gram(t, part.column("text")))
-    own = np.zeros((width, width), np.float32)
-    gram(own, items)
-    small += own * max(1.0, np.linalg.norm(small) / max(1e-9, np.linalg.norm(own)))
-    values, turn = np.linalg.eigh(small)
-    return (basis @ turn[:, np.argsort(-values)[:rank]]).astype(np.float32)
+    basis = np.linalg.qr(np.random.default_rng(1).normal(size=(len(idf), width)))[0].astype(np.float32)
+    for _ in range(POWER):
+        # a part of the random directions stays, for passages that are unlike any item
+        basis = np.linalg.qr(basis * 0.01 + of_items(basis))[0].astype(np.float32)
+    total = _summed(rows, basis.shape, lambda t, part: there_and_back(t, part.column("text"), basis))
+    own = of_items(basis)
+    # the items weigh as much as the documents, so that each has a direction of its own
+    total = total.astype(np.float64) + own * max(1.0, np.linalg.norm(total) / max(1e-9, np.linalg.norm(own)))
+    # Nystroem: the matrix is about total core^-1 total', so its eigenvectors are the left singular vectors of total core^-1/2
+    core = basis.T @ total
+    values, turn = np.linalg.eigh((core + core.T) / 2)
+    held = values > 1e-6 * max(values.max(), 1e-12)
+    return np.linalg.svd(total @ (turn[:, held] / np.sqrt(values[held])), full_matrices=False)[0][:, :rank].astype(np.float32)
 
 
 def common_subsequence(item: list[int], text: list[int]) -> int:
@@ -348,6 +341,22 @@ class Index:
         return [(r, i, *x) for (r, i), x in sorted(best.items())]
 
 
+def registers(context: np.ndarray) -> np.ndarray:
+    """HyperLogLog's registers of the contexts: of those that share their first bits the longest run of zeros, and one, that follows."""
+    out = np.zeros(REGISTERS, np.int64)
+    bits = 64 - (REGISTERS.bit_length() - 1)
+    rest = (context & np.uint64((1 << bits) - 1)).astype(np.float64)
+    np.maximum.at(out, (context >> np.uint64(bits)).astype(np.int64), bits + 1 - np.frexp(rest)[1])
+    return out
+
+
+def distinct_contexts(most: np.ndarray) -> float:
+    """About how many different contexts the registers saw."""
+    empty = int((most == 0).sum())
+    found = 0.7213 / (1 + 1.079 / REGISTERS) * REGISTERS**2 / np.exp2(-most.astype(np.float64)).sum()
+    return REGISTERS * np.log(REGISTERS / empty) if empty and found <= 2.5 * REGISTERS else found
+
+
 def frequencies(docs: DataFrame, terms: Terms) -> np.ndarray:
     """Each term's inverse document frequency by its distinct contexts, as if these were dealt over passages."""
 
@@ -355,21 +364,24 @@ def frequencies(docs: DataFrame, terms: Terms) -> np.ndarray:
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             words, counts = words_of(part.column("text"))
             context, term = contexts(words, counts), terms.of(words)
-            own, every = np.flatnonzero(term >= 0), np.flatnonzero(context % np.uint64(CONTEXTS) == 0)
-            which = np.concatenate([term[own], np.full(len(every), -1)])
-            return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(np.concatenate([context[own], context[every]]).view(np.int64))], ["term", "context"])
+            own, most = np.flatnonzero(term >= 0), registers(context)
+            some = np.flatnonzero(most)
+            # a register's row has its number below zero
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([term[own], -1 - some]), pa.int32()), pa.array(np.concatenate([context[own].view(np.int64), most[some]]))], ["term", "context"])
 
         return work
 
-    seen = np.zeros(len(terms.hashes) + 1)
-    for r in map_texts(docs, "term int, context long", build).groupBy("term").agg(F.approx_count_distinct("context").alias("n")).collect():
-        seen[r["term"]] = r["n"]
-    held = seen[:-1]
-    share = (1 + held) / (1 + max(CONTEXTS * seen[-1], held.sum()))
+    held, most = np.zeros(len(terms.hashes)), np.zeros(REGISTERS, np.int64)
+    for r in map_texts(docs, "term int, context long", build).groupBy("term").agg(F.approx_count_distinct("context").alias("n"), F.max("context").alias("most")).collect():
+        if r["term"] >= 0:
+            held[r["term"]] = r["n"]
+        else:
+            most[-1 - r["term"]] = r["most"]
+    share = (1 + held) / (1 + max(distinct_contexts(most), held.sum()))
     return np.log1p(1 / -np.expm1(WINDOW * np.log1p(-np.minimum(share, 0.999)))) ** 1.5
 
 
-def build_index(docs: DataFrame, items: list[tuple[int, str]], total_docs: int, rank: int = RANK) -> Index | None:
+def build_index(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK) -> Index | None:
     """The index of one block of items over the statistics of all ``docs``; None if no item has a word."""
     texts = pa.array([t for _, t in items], pa.string())
     words, counts = words_of(texts)
@@ -377,9 +389,7 @@ def build_index(docs: DataFrame, items: list[tuple[int, str]], total_docs: int,
         return None
     terms = Terms(np.unique(words))
     idf = frequencies(docs, terms)
-    share = min(1.0, FIT_DOCS / max(1, total_docs))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
-    basis = random_svd(sample, texts, terms, idf, rank)
+    basis = random_svd(docs.select("text"), texts, terms, idf, rank)
     term = terms.of(words)
     ends = np.cumsum(counts)
     latent = project(*passage_vectors(term, ends - counts, ends, idf), len(counts), basis)
@@ -407,9 +417,8 @@ def item_blocks(benchmark: DataFrame, size: int = BLOCK_ITEMS) -> Iterator[list[
 
 def indexes(docs: DataFrame, benchmark: DataFrame, size: int = BLOCK_ITEMS) -> Iterator[Index]:
     """The indexes of the blocks, one after the other."""
-    total = docs.count()
     for block in item_blocks(benchmark, size):
-        if (index := build_index(docs, block, total)) is not None:
+        if (index := build_index(docs, block)) is not None:
             yield index
 
 

@@ -129,3 +129,46 @@ def test_items_of_few_words_match_whole_lines(spark):
     found = sorted((r["doc_id"], r["item_id"]) for r in d.leaks(docs, items).collect() if r["item_id"] is not None)
     assert found == [(1, 7), (1, 8), (4, 7), (4, 8)]
     assert sorted(r["doc_id"] for r in d.without_leaks(docs, items).collect()) == [2, 3, 5]
+
+
+def test_contexts_are_counted_without_a_sample():
+    """Registers of slices, joined by their maxima, count all distinct contexts; repeats do not add to them."""
+    rng = np.random.default_rng(3)
+    for n in (0, 50, 5_000, 300_000):
+        seen = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        most = np.maximum.reduce([d.registers(seen[a::3]) for a in range(3)] + [d.registers(seen)])
+        assert abs(d.distinct_contexts(most) - n) <= 0.06 * n
+
+
+def test_every_document_shapes_the_directions(spark, monkeypatch):
+    """The fit reads each row of the table it is given, whatever the number of rows."""
+    read = []
+    monkeypatch.setattr(d, "random_svd", lambda rows, items, terms, idf, rank=d.RANK: read.append(rows.count()) or np.eye(len(idf), dtype=np.float32))
+    rows = spark.range(25_000).selectExpr("id as doc_id", "concat('alpha beta ', id) as text")
+    assert d.build_index(rows, [(1, "alpha beta gamma delta")]) is not None
+    assert read == [25_000]
+
+
+def test_directions_span_what_the_passages_hold(spark, medium):
+    """The directions of one pass hold nearly as much of the items' passages as the best of that rank."""
+    items = [r["text"] for r in spark.read.parquet(f"{medium}/benchmark.parquet").collect()]
+    docs = d.documents_only(spark.read.parquet(f"{medium}/documents.parquet"))
+    w, _ = d.words_of(pa.array(items))
+    terms = d.Terms(np.unique(w))
+    idf = d.frequencies(docs, terms)
+    basis = d.random_svd(docs.select("text"), pa.array(items), terms, idf, 16)
+    assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-3)
+    texts = [r["text"] for r in docs.collect()]
+
+    def gram(some):
+        words_, counts = d.words_of(pa.array(some))
+        begin, end, _ = d.windows(counts)
+        passage, term, value = d.passage_vectors(terms.of(words_), begin, end, idf)
+        dense = np.zeros((len(begin), len(idf)))
+        dense[passage, term] = value
+        return dense.T @ dense
+
+    c, own = gram(texts), gram(items)
+    c = c / np.trace(c) + own / np.trace(own)
+    best = np.linalg.eigvalsh(c)[::-1][:16].sum()
+    assert np.trace(basis.T @ c @ basis) >= 0.85 * best
