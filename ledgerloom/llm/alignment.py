@@ -23,6 +23,7 @@ doc_id stays null; an empty table gives no rows; other columns are ignored. One
 from __future__ import annotations
 
 import hashlib
+import os
 from array import array
 from collections.abc import Iterator
 from itertools import chain
@@ -88,6 +89,8 @@ class Aligner:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        # threads of its own keep memory for each of them in each worker; tasks fill the cores already
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         letters = {chr(c): b for b, c in byte_letters().items()}

@@ -123,3 +123,21 @@ def test_chunks_in_one_call_are_those_of_calls_of_their_own(monkeypatch):
     alone = al.Aligner(*paths).slice(texts)
     assert together["digests"] == alone["digests"] and any(alone["digests"])
     assert all(np.array_equal(together[k], alone[k]) for k in ("numbers", "keys", "holders", "ends", "pairs", "times"))
+
+
+def test_a_worker_starts_no_threads_of_its_own():
+    """Each thread of a tokenizer would hold memory in each worker of an executor."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import os, pyarrow as pa, public_tokenizers as P
+from ledgerloom.llm import alignment as al
+aligner = al.Aligner(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+before = len(os.listdir("/proc/self/task"))
+aligner.slice(pa.array([f"word{i} other{i * 7} and more" for i in range(5000)]))
+print(len(os.listdir("/proc/self/task")) - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True, timeout=60)
+    assert int(out.stdout.split()[-1]) == 0
